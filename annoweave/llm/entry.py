@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, mpegts, packing, secrets
+from . import dart_minhash, exact_dedup, mixing, mpegts, packing, secrets
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_secret_scan": secrets.op1,
         "op3_media_columns": mpegts.op3,
         "op5_exact_dedup": exact_dedup.op5,
+        "op6_dart_minhash": dart_minhash.op6,
         "op9_mixing": mixing.op9,
         "op10_packing": packing.op10,
     }
