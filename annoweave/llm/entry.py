@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, exact_dedup, mixing, mpegts, packing, secrets
+from . import dart_minhash, exact_dedup, mixing, mpegts, packing, pii, secrets, toxicity
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op3_media_columns": mpegts.op3,
         "op5_exact_dedup": exact_dedup.op5,
         "op6_dart_minhash": dart_minhash.op6,
+        "op7_pii": pii.op7,
+        "op8_toxicity": toxicity.op8,
         "op9_mixing": mixing.op9,
         "op10_packing": packing.op10,
     }
