@@ -268,5 +268,14 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     return docs.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of df that represent their class, with its columns; rows with a null id or a repeated one that stays are kept."""
+    found = near_duplicates(df, text, doc_id, similarity)
+    kept = found.filter("kept or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
+    if kept.count() <= BROADCAST_IDS:
+        kept = F.broadcast(kept)
+    return df.join(kept, df[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
+
+
 def op6(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

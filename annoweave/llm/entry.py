@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, exact_dedup, mixing, mpegts, packing, pii, secrets, toxicity
+from . import dart_minhash, exact_dedup, html_layout, mixing, mpegts, packing, pii, secrets, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_secret_scan": secrets.op1,
+        "op2_token_counts": token_counts.op2,
         "op3_media_columns": mpegts.op3,
+        "op4_html_layout": html_layout.op4,
         "op5_exact_dedup": exact_dedup.op5,
         "op6_dart_minhash": dart_minhash.op6,
         "op7_pii": pii.op7,
