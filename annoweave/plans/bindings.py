@@ -48,7 +48,7 @@ SELECT concat('GO:', lpad(CAST(child AS STRING), 7, '0')) AS child, concat('GO:'
   UNION ALL SELECT t, t - 3, 'regulates' FROM v_term WHERE t >= 3) e""",
     "v_annotation": _ANNOTATION,
     "v_old": "SELECT * FROM v_annotation WHERE in_old",
-    "v_lineage": "SELECT CAST(n_nationkey AS INT) AS taxonomy_id, CAST(n_regionkey AS INT) AS region FROM nation",
+    "v_lineage": "SELECT CAST(n_nationkey + 1000 AS INT) AS taxonomy_id, CAST(n_regionkey AS INT) AS region FROM nation",
     "v_sequence": "SELECT doc_id AS sequence_id, text AS sequence, md5(text) AS sequence_hash, source FROM documents",
 }
 
@@ -192,7 +192,7 @@ class Bound:
 
     @cached_property
     def lineage(self) -> DataFrame:
-        return self.view("v_lineage").select("taxonomy_id", F.array(F.lit(1), F.col("region") + 100, F.col("taxonomy_id") + 1000).alias("lineage"))
+        return self.view("v_lineage").select("taxonomy_id", F.array(F.lit(1), F.col("region") + 100, F.col("taxonomy_id")).alias("lineage"))
 
     def folder(self, name: str) -> str:
         """A new folder below spark.checkpoint.dir, for files that a query writes and reads; a temporary one only where that is unset."""

@@ -116,11 +116,11 @@ def alignment_features(b: Bound):
  CASE WHEN a = z THEN 0 WHEN ra IS NULL OR rz IS NULL THEN NULL WHEN ra = rz THEN 4 ELSE 6 END AS taxonomic_distance,
  CASE WHEN a = z THEN 1 WHEN ra IS NULL OR rz IS NULL THEN 0 WHEN ra = rz THEN 2 ELSE 1 END AS taxonomic_common_ancestors,
  CASE WHEN a = z THEN 'same' WHEN ra IS NULL OR rz IS NULL THEN 'unrelated' WHEN ra = rz THEN 'distant' ELSE 'root-only' END AS taxonomic_relation
- FROM (SELECT c_custkey, c_nationkey AS a, CASE WHEN c_custkey % 10 = 0 THEN 99 ELSE CAST(c_custkey % 25 AS INT) END AS z FROM customer)
+ FROM (SELECT c_custkey, CAST(c_nationkey + 1000 AS INT) AS a, CASE WHEN c_custkey % 10 = 0 THEN 99 ELSE CAST(c_custkey % 25 + 1000 AS INT) END AS z FROM customer)
  LEFT JOIN (SELECT taxonomy_id AS t1, region AS ra FROM v_lineage) ON t1 = a LEFT JOIN (SELECT taxonomy_id AS t2, region AS rz FROM v_lineage) ON t2 = z""",
 )
 def taxonomy_features(b: Bound):
-    pairs = b.table("customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("query_taxonomy_id"), F.when(F.col("c_custkey") % 10 == 0, 99).otherwise(F.col("c_custkey") % 25).cast("int").alias("ref_taxonomy_id"))
+    pairs = b.table("customer").select("c_custkey", (F.col("c_nationkey") + 1000).cast("int").alias("query_taxonomy_id"), F.when(F.col("c_custkey") % 10 == 0, 99).otherwise(F.col("c_custkey") % 25 + 1000).cast("int").alias("ref_taxonomy_id"))
     return features.taxonomy_features(pairs, b.lineage)
 
 
@@ -270,9 +270,9 @@ _SWEEP = f"""SELECT config, protein, go_id, round(CASE config WHEN 'embedding_on
  FROM v_prediction CROSS JOIN (SELECT unnest(['embedding_only', 'embedding_plus_evidence', 'alignment_weighted', 'composite', 'evidence_primary']) AS config)"""
 
 
-@query("config_sweep", f"SELECT config, protein, go_id, round(score, 5) AS score FROM ({_SWEEP})")
+@query("config_sweep", f"SELECT config, protein, go_id, score FROM ({_SWEEP})")
 def config_sweep(b: Bound):
-    return relational.sweep(b.prediction, configs(b)).select("config", "protein", "go_id", F.round("score", 5).alias("score"))
+    return relational.sweep(b.prediction, configs(b)).drop("aspect")
 
 
 @query("experiment_sweep", f"SELECT config, round(fmax, 3) AS fmax, round(threshold_at_fmax, 2) AS tau FROM ({fmax_sql(curve_sql(_SWEEP, _ALL_TRUTH, 'config'), 'config')})")

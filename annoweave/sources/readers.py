@@ -54,7 +54,7 @@ def read_query_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def _stanzas(spark: SparkSession, path: str) -> DataFrame:
     own = spark.read.text(path, lineSep="\n[").filter(F.col("value").startswith("Term]") | F.col("value").startswith("[Term]"))
-    lines = F.filter(F.transform(F.split("value", "\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("!"))
+    lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("!"))
     return own.select(lines.alias("lines")).withColumn("go_id", _value("id: GO:", "id:")).filter("go_id is not null")
 
 
@@ -132,7 +132,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 def read_emapper(spark: SparkSession, path: str) -> DataFrame:
     """(protein, go_id); of a repeated protein the last line with terms counts."""
     rows = _lines(spark, path).select(_fields().alias("f"), F.monotonically_increasing_id().alias("at")).filter("size(f) >= 10")
-    terms = F.array_distinct(F.filter(F.transform(F.split(F.col("f")[9], ","), F.trim), lambda x: x.startswith("GO:")))
+    terms = F.array_distinct(F.filter(F.transform(F.split(F.col("f")[9], ","), lambda x: F.trim(x)), lambda x: x.startswith("GO:")))
     last = rows.select(F.col("f")[0].alias("protein"), "at", terms.alias("terms")).filter("size(terms) > 0").groupBy("protein").agg(F.max_by("terms", "at").alias("terms"))
     return last.select("protein", F.explode("terms").alias("go_id"))
 
@@ -140,7 +140,7 @@ def read_emapper(spark: SparkSession, path: str) -> DataFrame:
 def read_interproscan(spark: SparkSession, path: str) -> DataFrame:
     """(protein, go_id): terms of column 13 without their source; repeated proteins unite."""
     rows = _lines(spark, path).select(_fields().alias("f")).filter("size(f) >= 14")
-    exploded = rows.select(F.col("f")[0].alias("protein"), F.trim(F.explode(F.split(F.col("f")[13], r"\|"))).alias("g")).filter("startswith(g, 'GO:')")
+    exploded = rows.select(F.col("f")[0].alias("protein"), F.explode(F.split(F.col("f")[13], r"\|")).alias("g")).withColumn("g", F.trim("g")).filter("startswith(g, 'GO:')")
     return exploded.select("protein", F.regexp_replace("g", r"\(.*", "").alias("go_id")).distinct()
 
 
