@@ -14,12 +14,12 @@ throws about k·ln k darts whatever its length, and two documents agree in a coo
 probability of their weighted Jaccard coefficient.
 
 Joining: documents with equal words collapse to their smallest id. `BANDS` bands of `ROWS` coordinates
-make buckets (a pair at similarity 0.8 shares one with probability 0.9996). No bucket is expanded into
-pairs. In each round a bucket elects a leader (first the smallest id, then by a hash) and members of
-other classes are checked against it exactly, on their shingle sets; found links merge classes. A last
-round checks every member against the leader of every other class that is still in its bucket, so
-differing small buckets are compared in full. Work per round is linear in the members; big groups
-collapse in the first rounds. Classes are connected components of the verified links.
+make buckets (a pair at similarity 0.8 shares one with probability 0.9996). First every bucket names its
+most central member, the one with most company over all its buckets, as its leader, and each document is checked exactly, on
+shingle sets, against the leader it shares most buckets with: one pair a document, which joins most of any large group. Found
+links merge classes. Buckets that still hold several classes are then compared in full, without emitting pairs: a task gets one bucket, or
+two blocks of a large one (at most 2 · `BLOCK` members), counts all intersections by matrix products and returns only links between
+different classes. Classes are connected components of the verified links; no link between different texts of a bucket is lost.
 
 Null or wordless text has no shingles: such documents are near-duplicates of identical texts only.
 Null ids get no class id of their own making (their row has the class of their text, or null). Repeated
@@ -45,7 +45,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 #: Length of the first rank segment.
 FIRST_SEGMENT = 2.0**-7
-LEADER_ROUNDS = 3
+#: Members of a bucket that are compared in one go, and columns of the matrix that counts their common shingles.
+BLOCK = 512
+COLUMNS = 8_192
 #: Up to so many ids (8 bytes each) or pairs are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 BROADCAST_PAIRS = 300_000
@@ -216,6 +218,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest id of each connected component; smallest labels spread and jump over themselves."""
+    edges = checkpointed(edges.select("a", "b"))
     both = checkpointed(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
     labels = checkpointed(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
@@ -229,41 +232,97 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+def similarities(sets: list[np.ndarray], weights: list[np.ndarray] | None = None) -> np.ndarray:
+    """All weighted Jaccard coefficients of some sets. Elements of one set alone can't be shared, so only the others are counted."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    weight = np.ones(len(row)) if weights is None else np.concatenate(weights)
+    total = np.bincount(row, weight, n)
+    shared = count[column] > 1
+    row, column, weight = row[shared], np.unique(column[shared], return_inverse=True)[1], weight[shared]
+    both = np.zeros((n, n))
+    order = np.argsort(column, kind="stable")
+    row, column, weight = row[order], column[order], weight[order]
+    last = column[-1] + 1 if len(column) else 0
+    levels = np.unique(weight)
+    for at in range(0, last, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        below = 0.0
+        for level in levels:  # the smaller of two weights is the sum over the levels that both reach
+            m = np.zeros((n, COLUMNS), np.float32)
+            up = weight[i:j] >= level
+            m[row[i:j][up], column[i:j][up] - at] = 1
+            both += (level - below) * (m @ m.T)
+            below = level
+    return both / np.maximum(total[:, None] + total[None, :] - both, 1e-300)
+
+
+def block_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between classes in rows (bucket, one, two, class, elements, weights), which are dealt and sorted by bucket and blocks."""
+    keys = ["bucket", "one", "two"]
+    kind = rows.schema["class"].dataType.simpleString()
+
+    def links(group: pd.DataFrame) -> list[tuple]:
+        classes = group["class"].to_numpy()
+        if len(set(classes)) < 2:
+            return []
+        sets = [np.frombuffer(e, _U) for e in group["elements"]]
+        weights = None if group["weights"].isna().any() else [np.frombuffer(w, "<u4").astype(float) for w in group["weights"]]
+        i, j = np.nonzero(np.triu(similarities(sets, weights) >= similarity, 1))
+        return [(min(x, y), max(x, y)) for x, y in set(zip(classes[i].tolist(), classes[j].tolist(), strict=True)) if x != y]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            code = b.groupby(keys, sort=False).ngroup().to_numpy()
+            ends = np.flatnonzero(np.diff(code)) + 1
+            out, begin = [], 0
+            for end in [*ends, len(b)]:
+                part = b.iloc[begin:end]
+                if held and (held[0][keys].iloc[0] != part[keys].iloc[0]).any():
+                    out += links(pd.concat(held))
+                    held = []
+                held.append(part)
+                begin = end
+            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+        if held:
+            yield pd.DataFrame(links(pd.concat(held)), columns=["a", "b"])
+
+    return rows.mapInPandas(run, f"a {kind}, b {kind}").distinct()
+
+
+def merged(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """rows with a class, their classes replaced by those they merged into."""
+    into = labels.select(F.col("node").alias("class"), F.col("label").alias("_into"))
+    return rows.join(into, "class", "left").select(*columns, F.coalesce("_into", "class").alias("class"))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", block: int = BLOCK) -> DataFrame:
     """One row a document: doc_id, class_id (smallest doc_id of its class), kept (it is that one)."""
     docs = checkpointed(signed(df, text, doc_id, bands, rows, weights))
     reps = docs.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     dealt = reps.filter("id is not null").select("id", F.explode("bands").alias("bucket"))
-    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    # Members of buckets with several documents; each is a class of its own at first.
-    members = checkpointed(dealt.join(full, "bucket").select("bucket", "id", F.col("id").alias("class")))
-    ids = checkpointed(members.select("id").distinct())
-    sets = checkpointed(shingle_sets(df, ids, text, doc_id, weights).dropDuplicates(["id"]))
-    classes = ids.select("id", F.col("id").alias("class"))
-    tested = None
-    for round_ in range(leader_rounds + 1):
-        order = F.col("id") if round_ == 0 else F.xxhash64("id", F.lit(round_))
-        if round_ < leader_rounds:  # one leader a bucket
-            leaders = members.groupBy("bucket").agg(F.min_by(F.struct("id", "class"), order).alias("leader"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("bucket", "leader.*")
-        else:  # one of each class in buckets that still hold several
-            several = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("bucket")
-            leaders = members.join(several, "bucket").groupBy("bucket", "class").agg(F.min("id").alias("id"))
-        leaders = leaders.select("bucket", F.col("id").alias("b"), F.col("class").alias("cb"))
-        pairs = members.join(leaders, "bucket").filter("class != cb").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), F.when(F.col("id") < F.col("b"), F.col("class")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("id") < F.col("b"), F.col("cb")).otherwise(F.col("class")).alias("cb"))
-        pairs = pairs.groupBy("a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
-        if round_ == 0:  # of several leaders, the one met in most buckets is the likeliest link
-            pairs = pairs.groupBy("b").agg(F.max_by(F.struct("a", "ca", "cb"), F.struct("shared", "a")).alias("p")).select("p.a", "b", "p.ca", "p.cb")
-        else:
-            pairs = pairs.drop("shared").join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        links = checkpointed(pairs.join(verified(pairs.select("a", "b"), sets, similarity), ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        tested = pairs.select("a", "b") if tested is None else checkpointed(tested.union(pairs.select("a", "b")))
-        if links.isEmpty():
-            continue
-        labels = components(links).withColumnsRenamed({"node": "class", "label": "merged"})
-        merged = F.coalesce("merged", "class").alias("class")
-        classes = checkpointed(classes.join(labels, "class", "left").select("id", merged))
-        members = checkpointed(members.join(labels, "class", "left").select("bucket", "id", merged))
+    full = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = checkpointed(dealt.join(full, "bucket").select("bucket", "n", "id"))  # of buckets with several documents
+    central = checkpointed(members.groupBy("id").agg(F.sum("n").alias("company")))
+    sets = checkpointed(shingle_sets(df, central.select("id"), text, doc_id, weights).dropDuplicates(["id"]))
+
+    leaders = members.join(central, "id").groupBy("bucket").agg(F.min_by("id", F.struct(-F.col("company"), F.col("id"))).alias("leader"))
+    met = members.join(leaders, "bucket").filter("id != leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = checkpointed(met.groupBy(F.col("id").alias("a")).agg(F.max_by("leader", F.struct("shared", "leader")).alias("b")))
+    labels = components(verified(pairs, sets, similarity))
+    classed = checkpointed(merged(members.withColumn("class", F.col("id")), labels, "bucket", "n", "id"))
+
+    several = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("bucket")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    spread = classed.join(several, "bucket").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    spread = spread.select("id", "class", "bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    met = spread.join(sets, "id").select("bucket", "one", "two", "class", "elements", "weights").repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    more = components(block_links(met, similarity))
+    first = merged(central.select("id", F.col("id").alias("class")), labels, "id")
+    classes = merged(first, more, "id")
     named = reps.select("digest", "id").join(classes, "id", "left").select("digest", F.coalesce("class", "id").alias("class_id"))
     return docs.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
