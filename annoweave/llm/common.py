@@ -42,14 +42,18 @@ def doc_bucket(doc_id: str = "doc_id", n: int = 5) -> Column:
 
 
 class Memo(dict):
-    """A dict that computes a missing value once; emptied when it holds `most` entries, so memory stays bounded."""
+    """A dict that computes a missing value once. Of two generations of at most `most` entries, what is still asked for survives, so memory stays bounded."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 300_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value

@@ -19,6 +19,7 @@ rows with a null id too. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -104,29 +105,43 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Latin letters, which stand for themselves before and after this tokenizer's NFC form, then ASCII punctuation: its rules make them one word and one mark.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)")
+
+
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet as a translation: printable Latin-1 bytes stand for themselves, the others for 256, 257, ... in order."""
+    same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in same)}
+
+
 class WordEncoder:
-    """Token ids as little-endian 32-bit bytes. This tokenizer never joins what a space or line feed separates, so words are encoded once and kept."""
+    """Token ids as little-endian 32-bit bytes.
+
+    This tokenizer never joins what a space or line feed separates, so words are encoded once and kept. Plain words go to its
+    BPE model directly; all others through the whole tokenizer.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.memo = Memo(self.encode)
+        self.tokenizer, self.letters = Tokenizer.from_file(file), byte_letters()
+        self.model = self.tokenizer.model
+        self.words, self.parts = Memo(self.word), Memo(self.part)
+
+    def part(self, own: str) -> bytes:
+        if not own.isascii():
+            own = own.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(own)], "<u4").tobytes()
 
-    def encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def word(self, own: str) -> bytes:
+        if m := PLAIN.fullmatch(own):
+            return self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
+        return np.array(self.tokenizer.encode(own, add_special_tokens=False).ids, "<u4").tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        new = list({w for ws in words for w in ws if w not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            if len(memo) + len(part) > memo.most:
-                memo.clear()
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        return [b"".join(map(memo.__getitem__, ws)) for ws in words]
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def pack(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW_TOKENS) -> DataFrame:
