@@ -31,15 +31,25 @@ def distances(q: np.ndarray, r: np.ndarray, metric: str = "cosine") -> np.ndarra
 
 
 def blocks(df: DataFrame, rows: int = BLOCK) -> DataFrame:
-    """(ids, matrix): up to `rows` vectors of a partition packed into one row."""
+    """(ids, matrix, groups): up to `rows` vectors of a partition packed into one row, with their groups if the input has any."""
+    grouped = "groups" in df.columns
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), rows):
                 part = b.iloc[at : at + rows]
-                yield pd.DataFrame({"ids": [part["id"].tolist()], "matrix": [np.stack(part["vector"].to_numpy()).astype("<f4").tobytes()]})
+                groups = [list(g) for g in part["groups"]] if grouped else [[] for _ in range(len(part))]
+                yield pd.DataFrame({"ids": [part["id"].tolist()], "matrix": [np.stack(part["vector"].to_numpy()).astype("<f4").tobytes()], "groups": [groups]})
 
-    return df.filter("vector is not null").select("id", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(pack, f"ids array<{df.schema['id'].dataType.simpleString()}>, matrix binary")
+    columns = ["id", F.col("vector").cast("array<float>").alias("vector"), *(["groups"] if grouped else [])]
+    return df.filter("vector is not null").select(*columns).mapInPandas(pack, f"ids array<{df.schema['id'].dataType.simpleString()}>, matrix binary, groups array<array<string>>")
+
+
+def nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of at least the k smallest distances of each row, with all that tie with the last of them."""
+    n = min(k, d.shape[1])
+    last = np.partition(d, n - 1, axis=1)[:, n - 1]
+    return np.nonzero(d <= last[:, None])
 
 
 def top_k(pairs: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -49,30 +59,34 @@ def top_k(pairs: DataFrame, k: int, *keys: str) -> DataFrame:
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "query", "rank", "ref", "distance")
 
 
-def knn_exact(queries: DataFrame, references: DataFrame, k: int = 5, metric: str = "cosine", threshold: float | None = None, rows: int = BLOCK) -> DataFrame:
-    """Block by block: a matrix product and a local top-k for each pair of blocks, then one shuffle of k rows a query and block."""
+def block_search(queries: DataFrame, references: DataFrame, k: int, metric: str, threshold: float | None, rows: int) -> DataFrame:
+    """(aspect, query, ref, distance): for each pair of blocks a matrix product, then the nearest of each query, by group if references have groups.
+
+    4k rows a query and block go on, so that references that occur several times can't push others out.
+    """
     q = blocks(queries, rows).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q"))
-    r = blocks(references, rows).select(F.col("ids").alias("r_ids"), F.col("matrix").alias("r"))
+    r = blocks(references, rows).select(F.col("ids").alias("r_ids"), F.col("matrix").alias("r"), "groups")
     q_type, r_type = queries.schema["id"].dataType.simpleString(), references.schema["id"].dataType.simpleString()
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for q_ids, qm, r_ids, rm in b.itertuples(index=False):
+            for q_ids, qm, r_ids, rm, groups in b.itertuples(index=False):
                 x, y = np.frombuffer(qm, "<f4").reshape(len(q_ids), -1), np.frombuffer(rm, "<f4").reshape(len(r_ids), -1)
                 d = distances(x, y, metric)
-                names = np.asarray(r_ids)
-                n = min(4 * k, d.shape[1])
-                near = np.argpartition(d, n - 1, axis=1)[:, :n]
-                out = pd.DataFrame({"query": np.repeat(np.asarray(q_ids), n), "ref": names[near.ravel()], "distance": np.take_along_axis(d, near, 1).ravel()})
-                last = np.take_along_axis(d, near, 1).max(1)
-                ties = (d <= last[:, None]).sum(1) > n  # equal distances at the border: all of them go on
-                if ties.any():
-                    i, j = np.nonzero(d[ties] <= last[ties][:, None])
-                    more = pd.DataFrame({"query": np.asarray(q_ids)[ties][i], "ref": names[j], "distance": d[ties][i, j]})
-                    out = pd.concat([out, more]).drop_duplicates()
-                yield out if threshold is None else out[out["distance"] <= threshold]
+                own, near = np.asarray(q_ids), np.asarray(r_ids)
+                names = sorted({g for gs in groups for g in gs}) or [None]
+                for name in names:
+                    at = np.arange(len(near)) if name is None else np.array([i for i, gs in enumerate(groups) if name in gs])
+                    i, j = nearest(d[:, at], 4 * k)
+                    out = pd.DataFrame({"aspect": name, "query": own[i], "ref": near[at[j]], "distance": d[i, at[j]]})
+                    yield out if threshold is None else out[out["distance"] <= threshold]
+
+    return q.crossJoin(r).select("q_ids", "q", "r_ids", "r", "groups").mapInPandas(local, f"aspect string, query {q_type}, ref {r_type}, distance double")
 
-    return top_k(q.crossJoin(r).select("q_ids", "q", "r_ids", "r").mapInPandas(local, f"query {q_type}, ref {r_type}, distance double"), k)
+
+def knn_exact(queries: DataFrame, references: DataFrame, k: int = 5, metric: str = "cosine", threshold: float | None = None, rows: int = BLOCK) -> DataFrame:
+    """Exact neighbours, block by block; the only shuffle has a few times k rows a query and block."""
+    return top_k(block_search(queries.select("id", "vector"), references.select("id", "vector"), k, metric, threshold, rows).drop("aspect"), k)
 
 
 def _pairs(queries: DataFrame, references: DataFrame, on: list[str], metric: str) -> DataFrame:
@@ -87,10 +101,16 @@ def knn_ivf(queries: DataFrame, references: DataFrame, k: int = 5, cells: int =
     as_vector = array_to_vector(F.col("vector").cast("array<double>"))
     data = references.withColumn("features", as_vector)
     model = KMeans(k=max(2, cells), seed=seed, maxIter=10).fit(data)
-    centers = [c.tolist() for c in model.clusterCenters()]
+    centers = np.array(model.clusterCenters())  # cells × dimensions, the index itself
     placed = model.transform(data).select("id", "vector", F.col("prediction").alias("cell"))
-    listed = F.array(*[F.struct(vectors.squared_l2(F.col("vector"), F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)])
-    probed = queries.withColumn("cell", F.explode(F.transform(F.slice(F.array_sort(listed), 1, min(probes, len(centers))), lambda s: s["cell"])))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            d = distances(np.stack(b["vector"].to_numpy()), centers, "l2")
+            yield b.assign(cells=np.argsort(d, axis=1, kind="stable")[:, :probes].tolist())
+
+    types = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in ("id", "vector"))
+    probed = queries.select("id", "vector").mapInPandas(probe, f"{types}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
     return top_k(_pairs(probed, placed, ["cell"], metric).select("query", "ref", "distance"), k)
 
 
@@ -103,11 +123,8 @@ def knn_lsh(queries: DataFrame, references: DataFrame, k: int = 5, threshold: fl
     return top_k(found.select(F.col("datasetA.id").alias("query"), F.col("datasetB.id").alias("ref"), (F.col("euclid") ** 2 / 2).alias("distance")), k)
 
 
-def knn_per_aspect(queries: DataFrame, references: DataFrame, annotated: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
-    """Neighbours among the references annotated in each aspect (ref, aspect); references meet the queries once per aspect they have."""
-    aspects = annotated.select("ref", "aspect").dropna().distinct()
-    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("q"))
-    r = references.select(F.col("id").alias("ref"), F.col("vector").alias("r")).join(aspects.select("ref").distinct(), "ref", "left_semi")
-    distance = (vectors.cosine_distance if metric == "cosine" else vectors.squared_l2)(F.col("q"), F.col("r"))
-    once = q.crossJoin(r).select("query", "ref", distance.alias("distance"))
-    return top_k(once.join(aspects, "ref"), k, "aspect")
+def knn_per_aspect(queries: DataFrame, references: DataFrame, annotated: DataFrame, k: int = 5, metric: str = "cosine", rows: int = BLOCK) -> DataFrame:
+    """Neighbours among the references annotated in each aspect (ref, aspect); each pair of blocks is multiplied once for all aspects."""
+    aspects = annotated.select(F.col("ref").alias("id"), "aspect").dropna().groupBy("id").agg(F.collect_set("aspect").alias("groups"))
+    own = references.select("id", "vector").join(aspects, "id")
+    return top_k(block_search(queries.select("id", "vector"), own, k, metric, None, rows), k, "aspect")

@@ -192,3 +192,19 @@ def test_obo(spark, tmp_path):
     bad.write_text("format-version: 1\n")
     with pytest.raises(ValueError):
         readers.obo_version(spark, str(bad))
+
+
+def test_knn_per_aspect(spark):
+    q, dq = vectors_of(spark, 9, 5, 3, "q")
+    r, dr = vectors_of(spark, 60, 5, 4, "r")
+    marks = [(f"r{i:03d}", a) for i in range(60) for a, m in (("F", 2), ("P", 3)) if i % m == 0] + [("r001", None)]
+    d = knn.distances(q.astype(np.float32), r.astype(np.float32))
+    expected = {(a, f"q{i:03d}", n + 1, f"r{j:03d}") for i in range(9) for a, m in (("F", 2), ("P", 3)) for n, j in enumerate([j for j in np.argsort(d[i]) if j % m == 0][:3])}
+    got = knn.knn_per_aspect(dq, dr, spark.createDataFrame(marks, "ref string, aspect string"), 3, rows=7)
+    assert {tuple(x)[:4] for x in got.collect()} == expected
+
+
+def test_readers_and_streams_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "id string, vector array<double>")
+    full = spark.createDataFrame([("a", [1.0, 0.0])], "id string, vector array<double>")
+    assert knn.knn_exact(empty, full).count() == 0 and knn.knn_exact(full, empty).count() == 0
