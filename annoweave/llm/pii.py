@@ -41,7 +41,7 @@ CONTEXT_AGAINST = ("order", "isbn", "issn", "version", "figure", "table", "page"
 GIVEN_NAMES = frozenset("alice anna anne antonio carlos charles claire daniel david elena emily emma eva francois george hans helen henry isabel jack james jane jean john jose juan julia karl laura lisa lucas luis maria marie mark martin mary max michael miguel nina olivia paul pedro peter pierre robert sara sarah sofia sophie thomas tom william".split())
 MAIL_PROVIDERS = ("gmail", "yahoo", "hotmail", "outlook", "proton", "icloud", "aol", "gmx", "mail")
 
-DIGITS = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
+DIGITS = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20().-]{0,2}[0-9]){6,}(?![A-Za-z0-9])")
 OBFUSCATED = re.compile(r"[A-Za-z0-9._-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z]{2,12}|\.[A-Za-z]{2,12})", re.IGNORECASE)
 NAME = re.compile(r"\b([A-Z][a-z]{1,20})\x20[A-Z][a-z]{1,20}\b")
 GENERATORS = (DIGITS, OBFUSCATED, NAME)

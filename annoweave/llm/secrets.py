@@ -43,7 +43,7 @@ SENSITIVE = ("passw", "passphrase", "pwd", "secret", "token", "api_key", "apikey
 SENSITIVE_RE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE)
 REACH = 80
 SURROUNDING = 256
-#: A candidate: no word, but a run of key characters with a digit or mixed case inside.
+#: A candidate: no word or number, but a run of key characters, letters with a digit or mixed case among them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIN_BITS = 4.0
 #: Entries of the corpus's identifier dictionary.
@@ -95,17 +95,31 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
             if e <= done:
                 continue
             done, own = e, text[s:e]
-            mixed = any(c.isdigit() for c in own) or (own != own.lower() and own != own.upper() and own[1:] != own[1:].lower())
-            if mixed and not any(s < y and x < e for x, _, y in known):
+            letters = any(c.isalpha() for c in own)  # plain numbers are no secrets by themselves
+            mixed = any(c.isdigit() for c in own) or (own[1:] != own[1:].lower() and own != own.upper())
+            if letters and mixed and not any(s < y and x < e for x, _, y in known):
                 found.append((s, e, text[max(0, s - SURROUNDING) : s], text[e : e + SURROUNDING]))
     return found
 
 
+def identifiers_near(text: str) -> list[str]:
+    """Distinct identifiers in the surroundings of sensitive words."""
+    low = text.lower()
+    if not any(w in low for w in SENSITIVE):
+        return []
+    found, done = set(), 0
+    for word in SENSITIVE_RE.finditer(text):
+        end = word.end() + SURROUNDING
+        found.update(IDENTIFIER.findall(text, max(done, word.start() - SURROUNDING), end))
+        done = max(done, end)
+    return sorted(found)
+
+
 CANDIDATE_CHAR = re.compile(r"[A-Za-z0-9+/_=-]").match
 
 
 def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, spans, novel): the pattern spans of every text and its candidates, one row a document."""
+    """(doc_id, spans, novel, near): of every text its pattern spans, candidates, and identifiers beside sensitive words."""
     rows = text_or_empty(df, doc_id, text=text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,18 +129,17 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
                 known = base_spans(t)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in known])
                 novel.append([{"start": s, "end": e, "before": x, "own": t[s:e], "after": y} for s, e, x, y in candidates(t, known)])
-            yield pd.DataFrame({"doc_id": b.iloc[:, 0], "spans": spans, "novel": novel})
+            yield pd.DataFrame({"doc_id": b.iloc[:, 0], "spans": spans, "novel": novel, "near": [identifiers_near(t) for t in b["text"]]})
 
     return rows.mapInPandas(
         run,
-        f"doc_id {df.schema[doc_id].dataType.simpleString()}, spans array<struct<start:int,kind:int,end:int>>, novel array<struct<start:int,end:int,before:string,own:string,after:string>>",
+        f"doc_id {df.schema[doc_id].dataType.simpleString()}, spans array<struct<start:int,kind:int,end:int>>, novel array<struct<start:int,end:int,before:string,own:string,after:string>>, near array<string>",
     )
 
 
 def identifier_dictionary(scanned: DataFrame, size: int = DICTIONARY_SIZE) -> list[str]:
     """The `size` identifiers that most documents have beside sensitive words, ties by the string."""
-    around = scanned.select(F.explode("novel").alias("c")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "c.before", "c.after"), F.lit(f"({IDENTIFIER.pattern})")))).alias("word"))
-    top = around.groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(size)
+    top = scanned.select(F.explode("near").alias("word")).groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(size)
     return [r["word"] for r in top.collect()]
 
 
