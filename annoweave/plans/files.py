@@ -167,12 +167,13 @@ def scan_by_set(b: Bound):
 # -- sinks
 
 
-@query("export_predictions", "SELECT p.protein, p.go_id, t.name AS go_name, t.aspect, round(p.distance, 6) AS distance, p.ref, p.qualifier, p.evidence_code, CAST(NULL AS STRING) AS identity_nw FROM v_prediction p JOIN v_term t ON t.go_id = p.go_id WHERE t.aspect = 'P' AND p.distance <= 0.8")
+@query("export_predictions", f"SELECT p.protein, p.go_id, t.name AS go_name, t.aspect, round(p.distance, 6) AS distance, p.ref, p.qualifier, p.evidence_code, CAST(NULL AS STRING) AS identity_nw, CAST(p.vote_count AS STRING) AS vote_count, printf('%.6g', p.neighbor_distance_std) AS neighbor_distance_std FROM ({_FEATURES}) p JOIN v_term t ON t.go_id = p.go_id WHERE t.aspect = 'P' AND p.distance <= 0.8")
 def export_predictions(b: Bound):
     path = b.folder("predictions")
-    sinks.write_tsv(sinks.prediction_rows(b.prediction, b.term, aspect="P", max_distance=0.8), path)
+    own = transfer.reranker_features(b.neighbours, b.old_labels)
+    sinks.write_predictions(sinks.prediction_rows(own, b.term, aspect="P", max_distance=0.8), path)
     found = b.spark.read.csv(path, sep=TAB, header=True)
-    return found.select("protein", "go_id", "go_name", "aspect", F.round(F.col("distance").cast("double"), 6).alias("distance"), "ref", "qualifier", "evidence_code", "identity_nw")
+    return found.select("protein", "go_id", "go_name", "aspect", F.round(F.col("distance").cast("double"), 6).alias("distance"), "ref", "qualifier", "evidence_code", "identity_nw", "vote_count", "neighbor_distance_std")
 
 
 @query("export_cafa", "SELECT protein, go_id, round(greatest(0, 1 - min(distance)), 4) AS score FROM v_prediction WHERE aspect = 'F' AND protein IN (SELECT protein FROM v_truth WHERE category IN ('NK', 'LK')) GROUP BY 1, 2")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.scoring import ScoringConfig, score
-from ..operators.transfer import complete_features
+from ..operators.transfer import OPTIONAL_DOUBLES, complete_features
 
 # Columns of the prediction export, in order.
 PREDICTION_COLUMNS = (
@@ -22,7 +22,7 @@ def significant(c: Column, digits: int = 6) -> Column:
     """A number with so many significant digits and no trailing zeros, in plain notation from 1e-5 up to 1e6."""
     places = F.greatest(F.lit(0), digits - 1 - F.floor(F.log10(F.abs(c)))).cast("int")
     rounded = F.when(c == 0, F.lit("0")).otherwise(F.format_string(f"%.{digits + 5}f", F.floor(c * F.pow(F.lit(10.0), places) + 0.5) / F.pow(F.lit(10.0), places)))
-    return F.regexp_replace(F.regexp_replace(rounded, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(c.isNotNull(), F.regexp_replace(F.regexp_replace(rounded, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 
 def prediction_rows(predictions: DataFrame, terms: DataFrame, accession: str | None = None, aspect: str | None = None, max_distance: float | None = None) -> DataFrame:
@@ -73,6 +73,11 @@ def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.csv(path, sep="\t", header=header, nullValue="", emptyValue="", quote="")
 
 
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """The prediction export: optional numbers with six significant digits, nulls blank."""
+    write_tsv(rows.withColumns({c: significant(F.col(c)) for c in (*OPTIONAL_DOUBLES, "neighbor_distance_std")}), path)
+
+
 def write_splits(rows: DataFrame, path: str) -> None:
     """Labelled rows by category and split, to be read back one by one or together."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("category", "split").parquet(path)
