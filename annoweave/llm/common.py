@@ -44,7 +44,7 @@ def doc_bucket(doc_id: str = "doc_id", n: int = 5) -> Column:
 class Memo(dict):
     """A dict that computes a missing value once. Of two generations of at most `most` entries, what is still asked for survives, so memory stays bounded."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 80_000):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 

@@ -23,7 +23,7 @@ different classes. Classes are connected components of the verified links; no li
 
 Null or wordless text has no shingles: such documents are near-duplicates of identical texts only.
 Null ids get no class id of their own making (their row has the class of their text, or null). Repeated
-rows fall into one class. Other columns are ignored. Empty tables give empty results.
+rows fall into one class; an id that stands for several texts is checked with one of them. Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> _U(11)).astype(np.float64) * 2.0**-53
 
 
-_HASH = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 1_000_000)
+_HASH = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), 100_000)
 
 
 def words_of(text: str) -> list[str]:

@@ -127,7 +127,7 @@ class WordEncoder:
 
         self.tokenizer, self.letters = Tokenizer.from_file(file), byte_letters()
         self.model = self.tokenizer.model
-        self.words, self.parts = Memo(self.word), Memo(self.part)
+        self.words, self.parts = Memo(self.word, 150_000), Memo(self.part, 100_000)
 
     def part(self, own: str) -> bytes:
         if not own.isascii():
