@@ -75,8 +75,8 @@ class Rollup:
         """Puts the batch's signed sums in place; doing so again leaves the totals as they are."""
         sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         # A batch without changes still leaves its mark, so that commits can be listed.
-        mark = self.spark.createDataFrame([(None, None, None, 0, 0)], "source string, lang string, version string, docs long, tokens long")
-        sums.unionByName(mark).withColumn("batch", F.lit(batch)).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+        mark = self.spark.range(1, numPartitions=1).select(*[F.lit(None).cast("string").alias(k) for k in KEYS], F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"))
+        sums.unionByName(mark).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
 
     def batches(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
