@@ -1,14 +1,14 @@
 """HTML extraction by layout: all visible text of a page, laid out as a reader sees it.
 
 A small tree builder takes care of implied tags (an open paragraph ends before a block, list items, table
-rows and cells end one another, rows and bodies of tables are supplied) and of stray end tags. Visibility rules follow the
-page: elements without boxes, `hidden`, closed `details`, inline and simple style-sheet rules for display and visibility.
+rows and cells end one another, rows and bodies of tables are supplied), of stray end tags, and of what is misplaced in
+tables (text and other elements move before the table, forms there hold nothing). Visibility rules follow the page: elements without boxes, `hidden`, closed `details`, inline and simple style-sheet rules for display and visibility.
 Rendering collapses white space outside `pre`, puts blocks on lines of their own with an empty line where browsers leave a
 margin, numbers and indents lists, and pads table cells into aligned columns.
 
 Work is per page in Arrow batches without a shuffle. Null html counts as empty and renders as the empty string, as does a page
-with nothing visible. Elements nested deeper than `DEEPEST` join their ancestor there, so any depth is safe; no text is lost
-by it. Repeated rows render alike; other columns are ignored.
+with nothing visible. Elements nested deeper than `DEEPEST` join their ancestor there, as do tables without room for their
+cells, so any depth is safe; no text is lost by it. Repeated rows render alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,13 +44,24 @@ ENDS = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "colgroup": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "col": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "rt": ({"rt", "rp"}, {"ruby"}),
     "rp": ({"rt", "rp"}, {"ruby"}),
     "body": ({"head"}, set()),
 }
 IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
 TABLE_SCOPE = frozenset("td th caption table".split())
+#: Elements that hold only parts of tables; all else in them is moved before the table.
+TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+SECTIONS = frozenset("tbody thead tfoot".split())
+#: The parts of tables, and what each may stand in.
+STANDS_IN = dict.fromkeys(("caption", "colgroup", "tbody", "thead", "tfoot"), {"table"}) | {"col": {"table", "colgroup"}, "tr": SECTIONS | {"table"}, "td": TABLE_PARTS, "th": TABLE_PARTS}
+STAYS = frozenset(STANDS_IN) | {"script", "style", "template"}
 DEEPEST = 200
+#: Levels that a table needs at least.
+TABLE_ROOM = 8
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -81,11 +92,24 @@ def build(page: str) -> tuple[Element, list[str]]:
     root = Element("html", {})
     stack, sheets, at, n = [root], [], 0, len(page)
 
+    def place(node: str | Element, moves: bool) -> None:
+        """Appends the node where it belongs: before the table if it may not stand in that."""
+        if moves and stack[-1].tag == "colgroup":
+            stack.pop()
+        if moves and stack[-1].tag in TABLE_PARTS and (i := last({"table"})):
+            stack[i - 1].children.insert(-1, node)  # an open table is the last child of its parent
+        else:
+            stack[-1].children.append(node)
+
+    def last(tags: set | frozenset) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in tags), 0)
+
     def text(s: str) -> None:
         if s:
             if stack[-1].tag == "head" and s.strip():
                 stack.pop()
-            stack[-1].children.append(html.unescape(s) if "&" in s else s)
+            place(html.unescape(s) if "&" in s else s, s.strip(" \t\n\f\r") != "")
 
     def close_upto(tags: set, shelter: set) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -95,11 +119,12 @@ def build(page: str) -> tuple[Element, list[str]]:
                 del stack[i:]
                 return close_upto(tags, shelter)
 
-    def add(tag: str, attrs: dict, stay: bool = True) -> None:
+    def add(tag: str, attrs: dict, stay: bool = True) -> Element:
         own = Element(tag, attrs)
-        stack[-1].children.append(own)
+        place(own, tag not in STAYS)
         if stay and len(stack) < DEEPEST:
             stack.append(own)
+        return own
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -114,12 +139,14 @@ def build(page: str) -> tuple[Element, list[str]]:
         if m[1]:
             if tag == "p" and not any(e.tag == "p" for e in stack):
                 add("p", {}, stay=False)
+            if (tag == "table" or tag in STANDS_IN) and len(stack) > DEEPEST - TABLE_ROOM:
+                add("div", {}, stay=False)
             for i in range(len(stack) - 1, 0, -1):
                 own = stack[i].tag
                 if own == tag:
                     del stack[i:]
                     break
-                if own in TABLE_SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
+                if own in TABLE_SCOPE and (tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") or (own == "table" and tag != "table")):
                     break
             continue
         attrs = attributes(m[3]) if m[3].strip(" /\n\t") else {}
@@ -130,8 +157,23 @@ def build(page: str) -> tuple[Element, list[str]]:
             stack.pop()
         if tag in ENDS_P and any(e.tag == "p" for e in stack[-8:]):
             close_upto({"p"}, {"td", "th", "caption", "table", "button"})
+        if tag in ("form", "table") and stack[last(TABLE_SCOPE | TABLE_PARTS | {"template"})].tag in TABLE_PARTS:
+            if tag == "form":
+                continue
+            del stack[last({"table"}) :]  # a table right in a table ends that
+        if tag == "table" and len(stack) > DEEPEST - TABLE_ROOM:
+            add("div", {}, stay=False)
+            continue
+        parts = tag in STANDS_IN and stack[last({"table", "template"})].tag != "template"
+        if parts and not last({"table"}):
+            if len(stack) > DEEPEST - TABLE_ROOM:
+                add("div", {}, stay=False)  # cells of a table without room are still apart
+            continue
         if tag in ENDS:
             close_upto(*ENDS[tag])
+        if parts:
+            while stack[-1].tag not in STANDS_IN[tag]:
+                stack.pop()
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             add("tr", {})
         if tag in VOID:
@@ -142,9 +184,9 @@ def build(page: str) -> tuple[Element, list[str]]:
             at = end.end() if end else n
             if tag == "style":
                 sheets.append(body)
-            add(tag, attrs, stay=False)
+            own = add(tag, attrs, stay=False)
             if body:
-                stack[-1].children[-1].children.append(html.unescape(body) if tag in ("textarea", "title") else body)
+                own.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
         else:
             add(tag, attrs, stay=not m[3].endswith("/") or tag not in ("svg", "path"))
     return root, sheets
@@ -233,6 +275,11 @@ class Renderer:
                 return False
         return True
 
+    def sees(self, e: Element, visible: bool) -> bool:
+        """Whether text right in the element is visible, given that of its parent."""
+        m = VISIBILITY.search(e.attributes.get("style", "").lower()) if e.attributes else None
+        return m[1] == "visible" if m else visible
+
     def block(self, children: list, visible: bool = True, preformatted: bool = False) -> str:
         out = Layout()
         self.inside(children, out, visible, preformatted)
@@ -248,8 +295,7 @@ class Renderer:
 
     def element(self, e: Element, out: Layout, visible: bool, pre: bool) -> None:
         tag, a = e.tag, e.attributes
-        if a and (m := VISIBILITY.search(a.get("style", "").lower())):
-            visible = m[1] == "visible"
+        visible = self.sees(e, visible)
         if tag == "br":
             if out.line:
                 out.end_line()
@@ -328,9 +374,10 @@ class Renderer:
             elif not self.shows(part):
                 continue
             elif part.tag == "tr":
-                rows.append(self.cells(part, visible))
+                rows.append(self.cells(part, self.sees(part, visible)))
             elif part.tag in ("tbody", "thead", "tfoot"):
-                rows += [self.cells(r, visible) for r in part.children if not isinstance(r, str) and r.tag == "tr" and self.shows(r)]
+                inner = self.sees(part, visible)
+                rows += [self.cells(r, self.sees(r, inner)) for r in part.children if not isinstance(r, str) and r.tag == "tr" and self.shows(r)]
             else:
                 self.element(part, out, visible, False)
                 out.end_line(1)
@@ -361,7 +408,7 @@ class Renderer:
         for c in row.children:
             if not isinstance(c, str) and c.tag in ("td", "th") and self.shows(c):
                 span = c.attributes.get("colspan", "1")
-                own = self.block(c.children, visible)
+                own = self.block(c.children, self.sees(c, visible))
                 found.append((min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,6}", span) else 1, own.split("\n") if own else []))
         return found
 

@@ -240,6 +240,40 @@ def test_layout(page, text):
     assert html_layout.render(page) == text
 
 
+MISPLACED = [
+    ("<table><tr><form><td>Name<td>42</form></tr><tr><td>Sum<td>7</table>", "Name  42\nSum   7"),
+    ("<table><tr>text</tr><tr><td>a</table>", "text\n\na"),
+    ("<table><tbody>text<tr><td>a</table>", "text\n\na"),
+    ("<table><tr><div>own</div><td>a</table>", "own\n\na"),
+    ("<table><tr><table><tr><td>in</table>after", "in\n\nafter"),
+    ("<table><tr><caption>top<td>a<tr><td>b</table>", "top\na\nb"),
+    ("<table><tr><td>a<table><tr><td>in</table>b</td><td>c</table>", "a   c\n\nin\n\nb"),
+    ("<table style='visibility:hidden'><tr><td style='visibility:visible'>yes<td>no</table>", "yes"),
+    ("<div>" * 300 + "<table><tr><td>a<td>b</table>c", "a\nb\nc"),
+    ("<div>" * 198 + "<table><tr><td>a<td>b</table>c", "a\nb\nc"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), MISPLACED)
+def test_misplaced_in_tables(page, text):
+    assert html_layout.render(page) == text
+
+
+def test_all_text_nodes_come_out():
+    rng = np.random.default_rng(3)
+    tags = "table tbody thead tfoot tr td th caption colgroup col form div p b ul li a h2 blockquote dl dt dd".split()
+    for k in range(3_000):
+        page, n = ["<div>", "<table><tr><td>", "<b>"][k % 3] * [0, 0, 0, 63, 190, 198, 250][k % 7], 0
+        for _ in range(rng.integers(1, 30)):
+            what = rng.integers(0, 10)
+            if what < 4:
+                page += f" x{n}y "
+                n += 1
+            else:
+                page += f"<{'/' if what > 7 else ''}{rng.choice(tags)}>"
+        assert sorted(re.findall(r"\bx[0-9]+y\b", html_layout.render(page))) == sorted(f"x{i}y" for i in range(n)), page
+
+
 def test_deep_and_long_pages():
     assert html_layout.render("<div>" * 20_000 + "deep") == "deep"
     assert html_layout.render("<p>" + "word " * 100_000).count("word") == 100_000
