@@ -6,11 +6,12 @@ compressed bytes, that is how much longer the surrounding code grows under zstan
 string is in it. The compressor is primed with a dictionary of identifiers: fixed ones from
 everyday code and the most frequent ones found beside sensitive words anywhere in the corpus. A
 string that the dictionary and its surroundings don't explain (bits per character at least
-`MIN_BITS`) is reported unless a pattern span covers it already.
+`MIN_BITS`, `MIN_PRICE` bits in all) is reported unless a pattern span covers it already. Only the price
+decides, not length, case or digits. A reported string is sensitive surroundings itself, so the context
+runs on over all lines of a private key.
 
-One pass over the texts keeps the spans and the few candidates with their surroundings; counting
-identifiers and pricing work on that small checkpointed table. The dictionary is top-k by counts
-over all documents, ties by the string, so it is bounded and the same on every run.
+One pass over the texts counts identifiers, a second one finds and prices the strings of each text. The dictionary
+is top-k by counts over all documents, ties by the string, so it is bounded and the same on every run.
 
 Null text counts as empty; an empty text has no spans. Positions are code points, end exclusive.
 Repeated rows are scanned each on their own; other columns of the input are ignored.
@@ -20,14 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_or_empty
+from .common import table, text_or_empty
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(
@@ -43,9 +44,10 @@ SENSITIVE = ("passw", "passphrase", "pwd", "secret", "token", "api_key", "apikey
 SENSITIVE_RE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE)
 REACH = 80
 SURROUNDING = 256
-#: A candidate: no word or number, but a run of key characters, letters with a digit or mixed case among them.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate: a run of key characters. One of fewer than 8 can't hold `MIN_PRICE` bits.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 MIN_BITS = 4.0
+MIN_PRICE = 64
 #: Entries of the corpus's identifier dictionary.
 DICTIONARY_SIZE = 2_000
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_]{2,31}")
@@ -65,6 +67,7 @@ serialize server service session set signature size source ssh static status str
 test thread throw timeout timestamp token true type undefined update upload url user username utf8 uuid value var vector
 version void while write yaml
 """.split()
+KEY_MARKS = [f"-----{x} {kind}PRIVATE KEY-----" for kind in ("ENCRYPTED ", "DSA ", "EC ", "OPENSSH ", "RSA ", "") for x in ("END", "BEGIN")]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,27 +82,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str]]:
-    """(start, end, text before, text after) of strings near sensitive words that no pattern span touches."""
+def novel_spans(text: str, known: list[tuple[int, int, int]], novel: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """(start, end) of the novel strings in sensitive context that no pattern span touches.
+
+    Context reaches `REACH` characters to both sides of a sensitive word, and on from each string that is reported there.
+    """
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
-    found, done = [], 0
-    for word in SENSITIVE_RE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, word.start() - REACH), min(len(text), word.end() + REACH)):
-            s, e = m.span()
-            while e < len(text) and CANDIDATE_CHAR(text[e]):  # the window may have cut it
-                e += 1
-            while s > done and CANDIDATE_CHAR(text[s - 1]):
-                s -= 1
-            if e <= done:
-                continue
-            done, own = e, text[s:e]
-            letters = any(c.isalpha() for c in own)  # plain numbers are no secrets by themselves
-            mixed = any(c.isdigit() for c in own) or (own[1:] != own[1:].lower() and own != own.upper())
-            if letters and mixed and not any(s < y and x < e for x, _, y in known):
-                found.append((s, e, text[max(0, s - SURROUNDING) : s], text[e : e + SURROUNDING]))
-    return found
+    words = [m.span() for m in SENSITIVE_RE.finditer(text)]
+    items, at = [(s, e, True) for s, _, e in known], 0
+    taken, furthest = sorted((s, e) for s, _, e in known), 0
+    for m in CANDIDATE.finditer(text):
+        s, e = m.span()
+        while at < len(taken) and taken[at][0] < e:
+            furthest = max(furthest, taken[at][1])
+            at += 1
+        if furthest <= s:
+            items.append((s, e, False))
+    items.sort()
+    reported, priced = [False] * len(items), [False] * len(items)
+
+    def reach(k: int) -> bool:
+        if not priced[k]:
+            s, e, is_known = items[k]
+            priced[k], reported[k] = True, is_known or novel(s, e)
+        return reported[k]
+
+    until, at = -1, 0  # where the context ends that began before
+    for k, (s, e, _) in enumerate(items):
+        while at < len(words) and words[at][0] < e:
+            until = max(until, words[at][1] + REACH)
+            at += 1
+        if (s <= until or (at < len(words) and e >= words[at][0] - REACH)) and reach(k):
+            until = max(until, e + REACH)
+    since = len(text) + 1  # where the context begins that ends after
+    for k in range(len(items) - 1, -1, -1):
+        if reported[k] or (items[k][1] >= since and reach(k)):
+            since = min(since, items[k][0] - REACH)
+    return [(s, e) for (s, e, is_known), yes in zip(items, reported, strict=True) if yes and not is_known]
 
 
 def identifiers_near(text: str) -> list[str]:
@@ -115,32 +136,15 @@ def identifiers_near(text: str) -> list[str]:
     return sorted(found)
 
 
-CANDIDATE_CHAR = re.compile(r"[A-Za-z0-9+/_=-]").match
-
-
-def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, spans, novel, near): of every text its pattern spans, candidates, and identifiers beside sensitive words."""
-    rows = text_or_empty(df, doc_id, text=text)
+def identifier_dictionary(df: DataFrame, size: int = DICTIONARY_SIZE, text: str = "text") -> list[str]:
+    """The `size` identifiers that most documents have beside sensitive words, ties by the string."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            spans, novel = [], []
-            for t in b["text"]:
-                known = base_spans(t)
-                spans.append([{"start": s, "kind": k, "end": e} for s, k, e in known])
-                novel.append([{"start": s, "end": e, "before": x, "own": t[s:e], "after": y} for s, e, x, y in candidates(t, known)])
-            yield pd.DataFrame({"doc_id": b.iloc[:, 0], "spans": spans, "novel": novel, "near": [identifiers_near(t) for t in b["text"]]})
+            yield pd.DataFrame({"word": [w for t in b["text"] for w in identifiers_near(t)]}, dtype=object)
 
-    return rows.mapInPandas(
-        run,
-        f"doc_id {df.schema[doc_id].dataType.simpleString()}, spans array<struct<start:int,kind:int,end:int>>, novel array<struct<start:int,end:int,before:string,own:string,after:string>>, near array<string>",
-    )
-
-
-def identifier_dictionary(scanned: DataFrame, size: int = DICTIONARY_SIZE) -> list[str]:
-    """The `size` identifiers that most documents have beside sensitive words, ties by the string."""
-    top = scanned.select(F.explode("near").alias("word")).groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+    near = text_or_empty(df, text=text).mapInPandas(run, "word string")
+    return [r["word"] for r in near.groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(size).collect()]
 
 
 class Novelty:
@@ -149,14 +153,22 @@ class Novelty:
     def __init__(self, identifiers: list[str]):
         # zstandard prefers what stands near the end of a dictionary, so the most frequent go last.
         words = list(dict.fromkeys([*identifiers, *CODE_IDENTIFIERS]))
-        primed = zstandard.ZstdCompressionDict(" ".join(reversed(words)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed = zstandard.ZstdCompressionDict(" ".join([*reversed(words), *SENSITIVE, *KEY_MARKS]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         primed.precompute_compress(level=9)
         self.compress = zstandard.ZstdCompressor(dict_data=primed, write_content_size=False, write_checksum=False).compress
 
-    def bits(self, before: str, own: str, after: str) -> float:
-        """Bits per character that the string adds to its surroundings."""
+    def bits(self, before: str, own: str, after: str) -> int:
+        """Bits that the string adds to its surroundings."""
         around = len(self.compress((before + after).encode("utf-8", "surrogatepass")))
-        return 8 * max(0, len(self.compress((before + own + after).encode("utf-8", "surrogatepass"))) - around) / len(own)
+        return 8 * max(0, len(self.compress((before + own + after).encode("utf-8", "surrogatepass"))) - around)
+
+    def spans(self, text: str, known: list[tuple[int, int, int]], min_bits: float) -> list[tuple[int, int]]:
+        """(start, end) of the text's novel strings."""
+
+        def novel(s: int, e: int) -> bool:
+            return self.bits(text[max(0, s - SURROUNDING) : s], text[s:e], text[e : e + SURROUNDING]) >= max(MIN_PRICE, min_bits * (e - s))
+
+        return novel_spans(text, known, novel)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -165,21 +177,21 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def find_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_bits: float = MIN_BITS, dictionary_size: int = DICTIONARY_SIZE) -> DataFrame:
     """One row a document: counts, the base spans' hash and all spans, patterns and novel strings alike."""
-    scanned = checkpointed(scan(df, text, doc_id))
-    words = identifier_dictionary(scanned, dictionary_size)
+    words = identifier_dictionary(df, dictionary_size, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         novelty = Novelty(words)
         for b in batches:
             out = []
-            for spans, novel in zip(b["spans"], b["novel"], strict=True):
-                base = [(x["start"], x["kind"], x["end"]) for x in spans]
-                new = [(x["start"], 3, x["end"]) for x in novel if novelty.bits(x["before"], x["own"], x["after"]) >= min_bits]
+            for t in b["text"]:
+                base = base_spans(t)
+                new = [(s, 3, e) for s, e in novelty.spans(t, base, min_bits)]
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 out.append((*n, len(new), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + new)))
-            yield pd.concat([b[["doc_id"]], pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"], index=b.index)], axis=1)
+            columns = ["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]
+            yield pd.concat([b.iloc[:, :1].set_axis(["doc_id"], axis=1), pd.DataFrame(out, columns=columns, index=b.index)], axis=1)
 
-    return scanned.mapInPandas(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return text_or_empty(df, doc_id, text=text).mapInPandas(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 def op1(spark, sf_dir):
