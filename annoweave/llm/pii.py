@@ -2,11 +2,11 @@ r"""Personal data: patterns, and weak supervision over looser candidates.
 
 Pattern spans (`email`, `ip`, `card`, `phone`) are always reported. The method adds `weak` spans: a
 loose candidate generator (numbers of 7 digits or more with any separators, obfuscated mail addresses,
-capitalised name pairs) is labelled by three kinds of labelers, each of which votes personal, not personal
+all pairs of neighbouring capitalised words in any alphabet that has capitals) is labelled by three kinds of labelers, each of which votes personal, not personal
 or nothing: patterns (shape of the candidate), gazetteers (dialling codes, mail providers, given names)
 and context (words before the candidate). Expectation-maximisation over the vote patterns of all candidates in
 the corpus estimates every labeler's reliability and each pattern's probability (Dawid-Skene with one
-coin per labeler and class); a logistic model of the candidate's features is then trained on those
+coin per labeler and class; for names, where labelers speak up for one side only, also how often each votes at all); a logistic model of the candidate's features is then trained on those
 probabilities and decides. Vote and feature patterns are counted over all documents first; there are
 at most 3^6 · 2^6 of them, so the models train on exact sufficient statistics that don't grow with the corpus.
 
@@ -18,7 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import sys
+import unicodedata
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,8 +46,19 @@ MAIL_PROVIDERS = ("gmail", "yahoo", "hotmail", "outlook", "proton", "icloud", "a
 
 DIGITS = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20().-]{0,2}[0-9]){6,}(?![A-Za-z0-9])")
 OBFUSCATED = re.compile(r"[A-Za-z0-9._-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z]{2,12}|\.[A-Za-z]{2,12})", re.IGNORECASE)
-NAME = re.compile(r"\b([A-Z][a-z]{1,20})\x20[A-Z][a-z]{1,20}\b")
-GENERATORS = (DIGITS, OBFUSCATED, NAME)
+
+
+def letters(test: Callable[[str], bool]) -> str:
+    """The characters that pass, as ranges for a regular expression."""
+    found = [i for i in range(sys.maxunicode + 1) if test(chr(i))]
+    starts, ends = [i for i in found if not test(chr(i - 1))], [i for i in found if not test(chr(i + 1))]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True))
+
+
+UPPER, LOWER = f"[{letters(str.isupper)}]", f"[{letters(str.islower)}\u0300-\u036f]"
+REST = rf"(?:{LOWER}{{1,20}}|['\u2019])(?:[-'\u2019]?{UPPER}{LOWER}{{1,20}})?"  # of Anna, Jean-Luc, McDonald, O'Brien
+#: Two names, with an initial between them or not; what precedes is looked at after the first letter, which is faster.
+NAME = re.compile(rf"{UPPER}(?<!\w.){REST}(?:[\x20\xa0]{UPPER}\.)?[\x20\xa0]({UPPER}{REST})(?!\w)")
 CONTEXT_WORD = re.compile(r"[A-Za-z]+")
 REACH = 40
 LABELERS = ("shape", "obfuscation", "gazetteer", "context_for", "context_against", "length")
@@ -87,15 +101,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def name_pairs(text: str) -> Iterator[re.Match]:
+    """Matches of NAME, each from the last word of the one before on, so that pairs overlap."""
+    at = 0
+    while m := NAME.search(text, at):
+        yield m
+        at = m.start(1)
+
+
+def plain(word: str) -> str:
+    """Lower case without accents."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+
+
+GENERATORS = (DIGITS.finditer, OBFUSCATED.finditer, name_pairs)
+
+
 def votes(kind: int, own: str, before: str) -> tuple[list[int], int]:
     """Each labeler's vote (1 personal, 0 not, -1 nothing) and the candidate's features as bits."""
     near = [w.lower() for w in CONTEXT_WORD.findall(before)][-4:]
     digits = "".join(c for c in own if c.isdigit())
     separated = kind == 0 and any(c in " -.()" for c in own)
-    names = own.split()[0].lower() in GIVEN_NAMES if kind == 2 else False
+    words = [plain(w) for w in own.split()] if kind == 2 else [""]
+    names = words[0] in GIVEN_NAMES
     provider = kind == 1 and any(p in own.lower() for p in MAIL_PROVIDERS)
     dialling = kind == 0 and (before.rstrip().endswith("+") or digits.startswith("00"))
     for_, against = any(w in CONTEXT_FOR for w in near), any(w in CONTEXT_AGAINST for w in near)
+    against = against or any(w in CONTEXT_FOR or w in CONTEXT_AGAINST for w in words)  # Dear Anna is no name
     out = [
         1 if separated and 9 <= len(digits) <= 16 else 0 if kind == 0 else -1,
         1 if kind == 1 else -1,
@@ -113,14 +145,12 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     found, taken = [], sorted((s, e) for s, _, e in known)
     starts = [s for s, _ in taken]
     low = text.lower()
-    for kind, pattern in enumerate(GENERATORS):
+    for kind, matches in enumerate(GENERATORS):
         if kind == 1 and not ("[at" in low or "(at" in low or "[ at" in low or "( at" in low):
             continue
-        for m in pattern.finditer(text):
+        for m in matches(text):
             s, e = m.span()
-            if kind == 2 and m[1].lower() not in GIVEN_NAMES:
-                continue  # no labeler but the context has anything to say about other capitalised pairs
-            i = np.searchsorted(starts, e) if starts else 0
+            i = bisect_left(starts, e)
             if any(x < e and s < y for x, y in taken[max(0, i - 2) : i + 1]):
                 continue
             v, bits = votes(kind, m[0][:80], text[max(0, s - REACH) : s])
@@ -143,21 +173,28 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame
     return text_or_empty(df, doc_id, text=text).mapInPandas(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, spans array<struct<start:int,kind:int,end:int>>, loose array<struct<start:int,end:int,votes:int,bits:int>>")
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: int = 100, silence: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Probability of class 1 for each vote pattern (rows of -1, 0, 1), and each labeler's accuracies (class, labeler).
 
     Starts from the majority vote; the accuracies carry a prior of 8 right votes of 10, so that a labeler
-    that rarely votes keeps its meaning.
+    that rarely votes keeps its meaning. With `silence` it also counts how often a labeler votes in each class: one that
+    only ever says 1 tells nothing by what it says, but by when it does.
     """
     said, yes = patterns >= 0, patterns == 1
     p = np.clip((yes.sum(1) + 0.5) / (said.sum(1) + 1), 0.02, 0.98)
-    right = np.full((2, patterns.shape[1]), 0.8)
+    if silence:  # the class may be rare, so what nobody votes for must not fill it at the start
+        p = np.where(yes.any(1), p, 1e-3)
+    right, speaks = np.full((2, patterns.shape[1]), 0.8), np.full((2, patterns.shape[1]), 0.5)
+    overall = np.clip(counts @ said / max(counts.sum(), 1), 1e-6, 1 - 1e-6)
     for _ in range(steps):
         for c, q in ((1, p), (0, 1 - p)):
             n = (counts * q) @ said
             right[c] = ((counts * q) @ (said & (yes == bool(c))) + 8) / (n + 10)
+            if silence:
+                speaks[c] = ((counts * q) @ said + 10 * overall) / ((counts * q).sum() + 10)
         prior = np.clip((counts @ p + 1) / (counts.sum() + 2), 0.01, 0.99)
         log = np.log(prior / (1 - prior)) + np.where(said, np.where(yes, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0])), 0).sum(1)
+        log += np.where(said, np.log(speaks[1] / speaks[0]), np.log((1 - speaks[1]) / (1 - speaks[0]))).sum(1)
         new = 1 / (1 + np.exp(-log))
         if np.abs(new - p).max() < 1e-9:
             break
@@ -188,9 +225,13 @@ def fit(scanned: DataFrame) -> dict[int, float]:
         return {}
     pattern = np.array([[r["votes"] // 3**k % 3 - 1 for k in range(n)] for r in rows])
     bits, counts = np.array([[r["bits"] >> k & 1 for k in range(6)] for r in rows], float), np.array([float(r["count"]) for r in rows])
-    p, _ = expectation_maximisation(pattern, counts)
-    w = train_classifier(bits, p, counts)
-    return {r["bits"]: float(1 / (1 + np.exp(-(b @ w[:-1] + w[-1])))) for r, b in zip(rows, bits, strict=True)}
+    found, names = {}, bits[:, 2] > 0
+    for some, silence, ridge in ((names, True, 0.01), (~names, False, 1.0)):  # names are rare among pairs: weights of few rows count
+        if some.any():
+            p, _ = expectation_maximisation(pattern[some], counts[some], silence=silence)
+            w = train_classifier(bits[some], p, counts[some], ridge=ridge)
+            found |= {int(b): float(1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))) for b, x in zip(bits[some] @ 2 ** np.arange(6), bits[some], strict=True)}
+    return found
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -169,6 +169,16 @@ def test_weak_supervision_learns_reliabilities():
     assert np.mean([(lookup[tuple(v)] > 0.5) == t for v, t in zip(votes.tolist(), truth, strict=True)]) > best - 0.005
 
 
+def test_names_behind_capitals_and_outside_the_list(spark):
+    noise = [f"the {a} {b} was" for a in "Green Big General Open New Old Public Data".split() for b in "House Market License Street River Bank".split()]
+    lines = ["Dear Anna Smith, ", "Mr Rajesh Kumar", "Dear Éloïse Žáková,", "signed: Иван Петров", "Contact Mary Jones", "Dr John Q. Public", "Mrs Emily O'Brien", "call Jean-Luc McDonald now"] * 3
+    names = ["Anna Smith", "Rajesh Kumar", "Éloïse Žáková", "Иван Петров", "Mary Jones", "John Q. Public", "Emily O'Brien", "Jean-Luc McDonald"] * 3
+    rows = {r.doc_id: r.spans for r in pii.find_pii(docs_of(spark, lines + noise)).collect()}
+    for i, (line, name) in enumerate(zip(lines, names, strict=True)):
+        assert rows[i] == f"weak:{line.index(name)}:{line.index(name) + len(name)}"
+    assert not any(rows[i] for i in range(len(lines), len(rows)))
+
+
 # -- 2: rollups
 
 
