@@ -354,8 +354,14 @@ def test_misra_gries_keeps_frequent_items(spark):
 # -- 6: near copies
 
 
-def brute_classes(texts, weights="set"):
-    sets = [dict(zip(*(x.tolist() for x in dart_minhash.shingles(dart_minhash.words_of(t or ""), weights == "count")), strict=True)) for t in texts]
+def brute_classes(texts, weights="tf"):
+    """Connected components over all pairs of texts; shingles are plain tuples of words here."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"\w+", (t or "").lower())
+        size = min(5, len(words))
+        found = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else {}
+        sets.append({k: {"set": 1, "count": n, "tf": 1 + np.log2(n)}[weights] for k, n in found.items()})
     parent = list(range(len(texts)))
 
     def find(i):
@@ -378,10 +384,10 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize(("weights", "block"), [("set", 512), ("set", 8), ("count", 512)])
+@pytest.mark.parametrize(("weights", "block"), [("tf", 256), ("tf", 8), ("set", 8), ("count", 256)])
 def test_near_copies(spark, weights, block):
     rng = np.random.default_rng(5)
-    base = [[f"w{rng.integers(5000)}" for _ in range(120)] for _ in range(6)]
+    base = [[f"w{rng.integers(5000)}" for _ in range(80)] + [f"line{k}" for k in range(8)] * 5 for _ in range(6)]  # some lines repeated
     texts = [edited(rng, b, int(n)) for b in base for n in rng.integers(0, 9, 25)] + ["", None, "one", "one", "...", "!!!"]
     rng.shuffle(texts)
     got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(docs_of(spark, texts), weights=weights, block=block).collect()}
@@ -389,7 +395,7 @@ def test_near_copies(spark, weights, block):
     wrong = sum(got[i] != c for i, c in enumerate(expected))
     assert wrong <= 1  # a pair at 0.8 misses every bucket once in 2,500 times
     kept = dart_minhash.drop_near_duplicates(docs_of(spark, texts))
-    if weights == "set":
+    if weights == "tf":
         assert abs(kept.count() - len(set(expected))) <= 1
 
 
@@ -407,7 +413,7 @@ def test_signatures_estimate_weighted_jaccard(counted):
         s = dart_minhash.dart_signatures([(a, wa), (b, wb), (a[:0], wa[:0])], 800)
         errors.append((s[0] == s[1]).mean() - both / (wa.sum() + wb.sum() - both))
         assert not s[2].any()
-        exact = dart_minhash.similarities([a, b], [wa, wb])
+        exact = dart_minhash.similarities([np.sort(a), np.sort(b)], [wa, wb])
         assert exact[0, 1] == pytest.approx(both / (wa.sum() + wb.sum() - both))
     assert abs(np.mean(errors)) < 0.01 and np.max(np.abs(errors)) < 0.08
 
@@ -415,19 +421,43 @@ def test_signatures_estimate_weighted_jaccard(counted):
 # -- 8: toxicity
 
 
-def test_factorization_machine_scores_as_spark_does(spark):
-    from pyspark.ml.classification import FMClassifier
-    from pyspark.ml.linalg import Vectors
+def pair_corpus(rng, n):
+    """Texts in which each of two words tells nothing and the two together tell all: label 1 if exactly one of them is there."""
+    noise = [f"noise{k}" for k in range(40)]
+    rows = []
+    for i in range(n):
+        a, b = rng.random(2) < 0.5
+        words = [*rng.choice(noise, 8, replace=False), *(["aster"] if a else []), *(["birch"] if b else [])]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a != b)))
+    return rows
 
+
+def test_factorization_machine_learns_what_only_a_pair_tells(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, Tokenizer
+
+    rows = pair_corpus(np.random.default_rng(4), 1_500)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert len(held) > 200 and np.mean([p == y for p, y in held]) > 0.95
+    linear = HashingTF(inputCol="words", outputCol="features").transform(Tokenizer(inputCol="text", outputCol="words").transform(docs)).join(labels.withColumnRenamed("toxic", "label"), "doc_id")
+    found = LogisticRegression(regParam=0.001).fit(linear.filter("crc32(cast(doc_id as string)) % 5 != 0")).transform(linear.filter("crc32(cast(doc_id as string)) % 5 = 0")).collect()
+    assert np.mean([r.prediction == r.label for r in found]) < 0.7
+
+
+def test_scores_are_those_of_a_factorization_machine():
     rng = np.random.default_rng(0)
-    x = (rng.random((300, 6)) < 0.4).astype(float)
-    y = ((x[:, 0] * x[:, 1]) > 0).astype(float)  # only the pair tells
-    data = spark.createDataFrame([(float(b), Vectors.dense(a.tolist())) for a, b in zip(x, y, strict=True)], ["label", "features"])
-    fm = FMClassifier(factorSize=4, maxIter=150, stepSize=0.1, seed=1).fit(data)
-    own = toxicity.Model(tuple(range(6)), float(fm.intercept), fm.linear.toArray(), fm.factors.toArray())
-    theirs = [r.probability[1] for r in fm.transform(data).collect()]
-    ours = [own.score(np.flatnonzero(a)) for a in x]
-    assert np.allclose(ours, theirs) and np.mean((np.array(ours) > 0.5) == y) > 0.97
+    model = toxicity.Model(0.3, rng.normal(size=toxicity.BUCKETS), rng.normal(size=(toxicity.BUCKETS, 3)))
+    texts = ["", "one", "Two words", "words two TWO straße straßen", "a " * 50]
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        own = sorted({b for w in set(re.findall(r"\w+", text.lower())) for b in toxicity.word_terms(w)})
+        z = 0.3 + sum(model.linear[b] for b in own) + sum(model.factors[x] @ model.factors[y] for x, y in itertools.combinations(own, 2))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+        one = model.scores([text])
+        assert one[0] == pytest.approx(got)
 
 
 def test_toxicity_held_out(spark):
