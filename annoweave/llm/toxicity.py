@@ -1,146 +1,171 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document's terms are its distinct words, lower case, and the words' beginnings of 4, 5 and 6
-characters, each hashed into 2^18 buckets. The `FEATURES` buckets most associated with the label (chi
-squared over document counts) are the inputs of Spark's FMClassifier: linear weights plus factor vectors whose
-products weigh every pair of terms, so that two terms together may mean more than the sum of both.
+A document's terms are its distinct words, lower case, and the words' beginnings of 4 and 6 bytes, each hashed
+into 2^16 buckets. Every bucket is an input: none is chosen or left out by its label, so a term that is neutral on its own and
+tells only beside another one (a group's name beside an insult) is learned as well. An input is 1 shrunk by
+n / (n + `SHRINK`), where n counts the sample's documents with that bucket: what was hardly ever seen hardly counts, and what was
+never seen counts nothing. Spark's FMClassifier learns linear weights plus factor vectors whose products weigh every pair.
 
 It learns from labelled rows only, outside the held-out fold, at most `SAMPLE_ROWS` of them (those with the
-smallest hash of their id, a documented bound; their ids are the only broadcast data). Neither labels nor
-id, language or source enter a score. Scoring is map-only over whole texts: distinct terms, the model's sums, one logistic.
+smallest hash of their id, a documented bound; their ids are broadcast). Neither labels nor id, language or source enter a
+score. The model, 2^16 · (`FACTORS` + 1) numbers (2.6 MB), is broadcast once. Scoring is map-only over whole texts: the distinct terms
+of some hundred documents, then sums over all of them at once.
 
-Null text counts as empty and scores as the model's bias. Without labels of both classes every score is the share
-of toxic ones (0 without any). A doc_id labelled more than once counts as toxic if any label says so. Repeated rows score alike.
+Null and empty text score as the model's bias. Without labels of both classes every score is the share
+of toxic ones (0 without any). A doc_id labelled more than once counts as toxic if any label says so. Repeated rows score alike;
+a very long text is only a larger set of terms. Other columns don't matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, checkpointed, doc_bucket, table, text_or_empty
+from .common import SLICE, WORD, checkpointed, doc_bucket, few_bytes, map_slices, table, type_of
 
-BUCKETS = 1 << 18
-PREFIXES = (4, 5, 6)
-FEATURES = 1_024
+BUCKETS = 1 << 16
+PREFIXES = (4, 6)
+SHRINK = 20.0
 SAMPLE_ROWS = 20_000
+#: Tasks that the bounded sample is dealt to; each sends one gradient an iteration.
+SAMPLE_PARTS = 6
 FACTORS = 4
 ITERATIONS = 60
 STEP = 0.1
+RIDGE = 1e-3
 SEED = 7
 
 
-def word_terms(word: str) -> tuple[int, ...]:
-    """Buckets of a word and its beginnings."""
-    own = [f"w:{word}", *(f"p:{word[:n]}" for n in PREFIXES if len(word) >= n)]
-    return tuple({zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in own})
-
-
-def terms_of(text: str, memo: dict) -> set[int]:
-    return set().union(*map(memo.__getitem__, set(WORD.findall(text.lower()))))
+def word_terms(word: str) -> list[int]:
+    """Buckets of a word and of its beginnings."""
+    own = word.encode("utf-8", "surrogatepass")
+    found = [zlib.crc32(own) % BUCKETS]
+    for n in PREFIXES:
+        if len(own) >= n:
+            found.append(zlib.crc32(own[:n], n) % BUCKETS)  # n tells a beginning from a word
+    return found
+
+
+def term_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct terms of every text, by row and bucket."""
+    place: dict[str, int] = {}
+    words, sizes = [], []
+    for t in texts:
+        own = set(WORD.findall(t.lower()))
+        words += [place.setdefault(w, len(place)) for w in own]
+        sizes.append(len(own))
+    terms = [word_terms(w) for w in place]
+    count = np.array([len(t) for t in terms], int)
+    flat = np.fromiter((b for t in terms for b in t), np.int64, int(count.sum()))
+    begin = np.cumsum(count) - count
+    words, row = np.array(words, int), np.repeat(np.arange(len(texts)), sizes)
+    own = count[words]
+    at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+    found = np.sort(np.repeat(row, own) * BUCKETS + flat[np.repeat(begin[words], own) + at])
+    found = found[np.r_[True, found[1:] != found[:-1]][: len(found)]]
+    return found // BUCKETS, found % BUCKETS
 
 
 @dataclass(frozen=True)
 class Model:
-    """A factorization machine: bias, a weight and a factor vector for each selected bucket."""
+    """A factorization machine: bias, and for every bucket a weight and a factor vector, both times the bucket's shrinkage."""
 
-    buckets: tuple[int, ...]
     bias: float
     linear: np.ndarray
     factors: np.ndarray
 
-    def score(self, columns: np.ndarray) -> float:
-        """Probability of the label where these columns are 1 and all others 0."""
-        v = self.factors[columns]
-        s = v.sum(0)
-        z = self.bias + self.linear[columns].sum() + 0.5 * float((s * s).sum() - (v * v).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Probability of the label for every text."""
+        row, bucket = term_sets(texts)
+        n = len(texts)
+        z = self.bias + np.bincount(row, self.linear[bucket], n)
+        for v in self.factors.T:
+            s = np.bincount(row, v[bucket], n)
+            z += 0.5 * (s * s - np.bincount(row, v[bucket] ** 2, n))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(label, text) of at most `rows` labelled documents outside the held-out fold."""
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = known.filter(doc_bucket("doc_id") != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = text_or_empty(docs, doc_id, text=text).withColumnRenamed(doc_id, "doc_id")
-    return checkpointed(texts.join(F.broadcast(chosen), "doc_id").select("label", "text"))
-
-
-def select_buckets(rows: DataFrame, features: int = FEATURES) -> list[int]:
-    """The buckets most associated with the label, by chi squared over documents; ties by number."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, found = Memo(word_terms), np.zeros((2, BUCKETS), np.int64)
-        for b in batches:
-            for y, t in zip(b["label"], b["text"], strict=True):
-                found[int(y > 0), list(terms_of(t, memo))] += 1
-        at = np.flatnonzero(found.any(0))
-        yield pd.DataFrame({"bucket": at, "n1": found[1, at], "n0": found[0, at]})
-
-    sizes = rows.agg(F.count_if(F.col("label") > 0).alias("n1"), F.count_if(F.col("label") <= 0).alias("n0")).first()
-    n1, n0 = float(sizes["n1"]), float(sizes["n0"])
-    counts = rows.mapInPandas(count, "bucket long, n1 long, n0 long").groupBy("bucket").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    chi = F.pow(a * n0 - b * n1, F.lit(2)) / ((a + b) * (n1 + n0 - a - b + 0.5))
-    return [r["bucket"] for r in counts.filter("a + b >= 3").select("bucket", chi.alias("chi")).orderBy(F.desc("chi"), "bucket").limit(features).collect()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Model:
-    sample = training_rows(docs, labels, text, doc_id, label, rows)
-    sizes = {r["label"]: r["count"] for r in sample.select((F.col("label") > 0).cast("int").alias("label")).groupBy("label").count().collect()}
-    if len(sizes) < 2:
-        share = 1.0 if 1 in sizes else 0.0
-        return Model((), 500.0 if share else -500.0, np.zeros(0), np.zeros((0, FACTORS)))
-    buckets = select_buckets(sample, features)
-    if not buckets:
-        share = sizes[1] / sum(sizes.values())
-        return Model((), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    chosen = frozenset(buckets)
+def constant(share: float) -> Model:
+    bias = np.clip(np.log(share / (1 - share)) if 0 < share < 1 else np.inf if share else -np.inf, -500, 500)
+    return Model(float(bias), np.zeros(BUCKETS), np.zeros((BUCKETS, 0)))
 
-    def inputs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(lambda w: tuple(chosen.intersection(word_terms(w))))
-        for b in batches:
-            yield pd.DataFrame({"label": (b["label"] > 0).astype(float), "terms": [[str(x) for x in sorted(terms_of(t, memo))] for t in b["text"]]})
 
-    vectors = CountVectorizerModel.from_vocabulary([str(x) for x in buckets], inputCol="terms", outputCol="features").setBinary(True)
-    data = checkpointed(vectors.transform(sample.mapInPandas(inputs, "label double, terms array<string>")).select("label", "features"))
-    found = FMClassifier(factorSize=FACTORS, maxIter=ITERATIONS, stepSize=STEP, regParam=1e-3, initStd=0.05, seed=SEED, tol=1e-5).fit(data)
-    return Model(tuple(buckets), float(found.intercept), found.linear.toArray(), found.factors.toArray())
+def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(label, terms) of at most `rows` labelled documents outside the held-out fold."""
+    known = labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = checkpointed(known.filter(doc_bucket("doc_id") != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    dealt = F.broadcast(chosen) if few_bytes(chosen, "doc_id") else chosen
+    texts = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).join(dealt, "doc_id").select("label", "text")
 
+    def kernel():
+        def terms(part: dict) -> dict:
+            own = part["text"].to_pylist()
+            row, bucket = term_sets(own)
+            ends = np.searchsorted(row, np.arange(1, len(own)))
+            return {"label": part["label"], "terms": np.split(bucket.astype(np.int32), ends)}
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), output: str = "score") -> DataFrame:
-    """The kept columns and each document's score."""
-    place = {b: i for i, b in enumerate(model.buckets)}
-    names = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(docs[text], F.lit("")).alias("_text"))
-    schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True))
+        return terms
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Memo(lambda w: tuple(place[b] for b in word_terms(w) if b in place))
-        for b in batches:
-            yield b[names].assign(score=[model.score(np.array(sorted(terms_of(t, memo)), int)) for t in b["_text"]])
+    return checkpointed(map_slices(texts, kernel, "label int, terms array<int>"))
 
-    scored = rows.mapInPandas(run, f"{schema}, score double")
-    return scored.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("score").alias(output))
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+    sample = training_rows(docs, labels, text, doc_id, label, rows).select((F.col("label") > 0).cast("double").alias("label"), "terms")
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        return constant(1.0 if 1.0 in sizes else 0.0)
+    seen = sample.select(F.explode("terms").alias("bucket")).groupBy("bucket").count().orderBy("bucket").collect()  # at most BUCKETS rows
+    if not seen:
+        return constant(sizes[1.0] / sum(sizes.values()))
+    buckets, counts = (np.array([r[i] for r in seen]) for i in (0, 1))
+    shrink = counts / (counts + SHRINK)
+    vectors = CountVectorizerModel.from_vocabulary([str(b) for b in buckets], inputCol="terms", outputCol="ones").setBinary(True)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(shrink), inputCol="ones", outputCol="features")
+    own = vectors.transform(sample.withColumn("terms", F.col("terms").cast("array<string>")))
+    data = scaled.transform(own).select("label", "features").repartition(SAMPLE_PARTS).persist()
+    found = FMClassifier(factorSize=FACTORS, maxIter=ITERATIONS, stepSize=STEP, regParam=RIDGE, initStd=0.05, seed=SEED, tol=1e-5).fit(data)
+    data.unpersist()
+    linear, factors = np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))
+    linear[buckets], factors[buckets] = found.linear.toArray() * shrink, found.factors.toArray() * shrink[:, None]
+    return Model(float(found.intercept), linear, factors)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", output: str = "score") -> DataFrame:
+    """(doc_id, score) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kernel():
+        own = shared.value
+        return lambda part: {"id": part["id"], "score": own.scores(part["text"].to_pylist())}
+
+    rows = docs.select(docs[doc_id].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    return map_slices(rows, kernel, f"id {type_of(docs, doc_id)}, score double").select(F.col("id").alias("doc_id"), F.col("score").alias(output))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted."""
-    scored = score(docs, fit(docs, labels, text, doc_id), text, (doc_id,)).withColumnRenamed(doc_id, "doc_id")
+    scored = score(docs, fit(docs, labels, text, doc_id), text, doc_id)
     return scored.select("doc_id", (doc_bucket("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    kept = score(docs, fit(docs, labels, text, doc_id), text, tuple(docs.columns), output="_score")
-    return kept.filter(F.col("_score") < threshold).drop("_score")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text, doc_id))
+
+    @F.arrow_udf("double")
+    def own_score(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.scores(texts.slice(i, SLICE).to_pylist()) for i in range(0, len(texts), SLICE)]
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
+
+    return docs.filter(own_score(F.coalesce(docs[text], F.lit(""))) < threshold)
 
 
 def op8(spark, sf_dir):
