@@ -13,22 +13,22 @@ runs on over all lines of a private key.
 One pass over the texts counts identifiers, a second one finds and prices the strings of each text. The dictionary
 is top-k by counts over all documents, ties by the string, so it is bounded and the same on every run.
 
-Null text counts as empty; an empty text has no spans. Positions are code points, end exclusive.
-Repeated rows are scanned each on their own; other columns of the input are ignored.
+Null text counts as empty; an empty text has no spans. Positions are code points, end exclusive. Very long texts are scanned whole,
+in linear time. Repeated rows are scanned each on their own; other columns of the input are ignored, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import map_slices, table, text_or_empty, type_of
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(
@@ -139,11 +139,10 @@ def identifiers_near(text: str) -> list[str]:
 def identifier_dictionary(df: DataFrame, size: int = DICTIONARY_SIZE, text: str = "text") -> list[str]:
     """The `size` identifiers that most documents have beside sensitive words, ties by the string."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"word": [w for t in b["text"] for w in identifiers_near(t)]}, dtype=object)
+    def kernel():
+        return lambda part: {"word": [w for t in part["text"].to_pylist() for w in identifiers_near(t)]}
 
-    near = text_or_empty(df, text=text).mapInPandas(run, "word string")
+    near = map_slices(text_or_empty(df, text=text), kernel, "word string")
     return [r["word"] for r in near.groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(size).collect()]
 
 
@@ -178,20 +177,24 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def find_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_bits: float = MIN_BITS, dictionary_size: int = DICTIONARY_SIZE) -> DataFrame:
     """One row a document: counts, the base spans' hash and all spans, patterns and novel strings alike."""
     words = identifier_dictionary(df, dictionary_size, text)
+    columns = ["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel():
         novelty = Novelty(words)
-        for b in batches:
+
+        def run(part: dict) -> dict:
             out = []
-            for t in b["text"]:
+            for t in part["text"].to_pylist():
                 base = base_spans(t)
                 new = [(s, 3, e) for s, e in novelty.spans(t, base, min_bits)]
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 out.append((*n, len(new), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + new)))
-            columns = ["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]
-            yield pd.concat([b.iloc[:, :1].set_axis(["doc_id"], axis=1), pd.DataFrame(out, columns=columns, index=b.index)], axis=1)
+            return {"doc_id": part["doc_id"]} | {c: [r[k] for r in out] for k, c in enumerate(columns)}
+
+        return run
 
-    return text_or_empty(df, doc_id, text=text).mapInPandas(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    rows = text_or_empty(df, doc_id, text=text).toDF("doc_id", "text")
+    return map_slices(rows, kernel, f"doc_id {type_of(df, doc_id)}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 def op1(spark, sf_dir):
