@@ -4,65 +4,67 @@ Totals by source, language and tokenizer version are additive, so a change of a
 row: an insert adds its tokens, a delete takes them away, a revised count does both. `Rollup` keeps one folder:
 each committed batch is a partition `batch=<id>` of signed sums by key. A batch is written with dynamic
 partition overwrite, so committing it again, after a lost driver or a replay, puts the same sums in
-place of the same sums and the totals don't change. `totals` adds up the batches; `compact` folds the oldest ones into one.
+place of the same sums and the totals don't change. `totals` adds up the batches; `compact` folds them into one, which also
+lists the ids it holds: a folded batch is final, committing it again changes nothing.
 
 Changes are pre-aggregated map-side before the only shuffle (keys: source, lang, version), so a hot
 source costs no more than others. Null text counts as empty, with 0 tokens; null source or language is a key
-of its own. Repeated rows count once each. An empty batch commits and changes nothing. Keys whose
-documents and tokens are all taken away don't appear in the totals.
+of its own. Repeated rows count once each. A very long text is one number. An empty batch commits and changes nothing. Keys whose
+documents and tokens are all taken away don't appear in the totals. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, table
+from .common import NOT_WS, map_slices, shared_folder, table
 
 KEYS = ("source", "lang", "version")
-SCHEMA = "source string, lang string, version string, docs long, tokens long, batch string"
+SCHEMA = "source string, lang string, version string, docs long, tokens long, folded string, batch string"
 BPE_FILE = "byte_bpe_50k.tiktoken"
 
 
-def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """df and `tokens`: runs of characters other than ASCII white space."""
-    return df.withColumn("tokens", F.coalesce(F.regexp_count(df[text], F.lit(NOT_WS)), F.lit(0)).cast("long"))
+def words_in(text: Column) -> Column:
+    """Runs of characters other than ASCII white space."""
+    return F.coalesce(F.regexp_count(text, F.lit(NOT_WS)), F.lit(0)).cast("long")
 
 
-def bpe_counts(df: DataFrame, keep: tuple[str, ...], text: str = "text", file: str | None = None) -> DataFrame:
-    """The kept columns and `tokens` of a public byte-level BPE vocabulary (tiktoken format)."""
+def word_counts(df: DataFrame, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
+    """(source, lang, tokens) of every row, tokens being its words."""
+    return df.select(df[source].cast("string").alias("source"), df[lang].cast("string").alias("lang"), words_in(df[text]).alias("tokens"))
+
+
+def bpe_counts(df: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", file: str | None = None) -> DataFrame:
+    """(source, lang, tokens) of every row under a public byte-level BPE vocabulary (tiktoken format)."""
     import public_tokenizers
 
-    path = file or public_tokenizers.path(BPE_FILE)
-    rows = df.select(*[df[c] for c in keep], F.coalesce(df[text], F.lit("")).alias("_text"))
+    path, pattern = file or public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
+    rows = df.select(df[source].cast("string").alias("source"), df[lang].cast("string").alias("lang"), F.coalesce(df[text], F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel():
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for b in batches:
-            yield b[list(keep)].assign(tokens=[len(encode(t)) for t in b["_text"]])
+        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda part: {"source": part["source"], "lang": part["lang"], "tokens": [len(encode(t)) for t in part["text"].to_pylist()]}
 
-    return rows.mapInPandas(run, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", tokens long")
+    return map_slices(rows, kernel, "source string, lang string, tokens long")
 
 
-def signed(df: DataFrame, sign: int, version: str | Column, tokens: str = "tokens") -> DataFrame:
-    """Changes: (source, lang, version, docs, tokens) of each row, with the sign given."""
+def signed(counts: DataFrame, sign: int, version: str | Column) -> DataFrame:
+    """Changes (source, lang, version, docs, tokens): documents that come (sign 1) or go (-1)."""
     v = F.lit(version) if isinstance(version, str) else version
-    return df.select(df["source"].cast("string").alias("source"), df["lang"].cast("string").alias("lang"), v.alias("version"), F.lit(sign).cast("long").alias("docs"), (df[tokens] * sign).cast("long").alias("tokens"))
+    return counts.select("source", "lang", v.alias("version"), F.lit(sign).cast("long").alias("docs"), (F.col("tokens") * sign).cast("long").alias("tokens"))
 
 
-def revised(df: DataFrame, version: str, old: str, new: str) -> DataFrame:
+def revised(counts: DataFrame, version: str, old: str, new: str) -> DataFrame:
     """Changes of documents whose count of `old` becomes `new`: no document comes or goes."""
-    return df.select(df["source"].cast("string").alias("source"), df["lang"].cast("string").alias("lang"), F.lit(version).alias("version"), F.lit(0).cast("long").alias("docs"), (df[new] - df[old]).cast("long").alias("tokens"))
+    return counts.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.lit(version).alias("version"), F.lit(0).cast("long").alias("docs"), (F.col(new) - F.col(old)).cast("long").alias("tokens"))
 
 
 class Rollup:
@@ -71,12 +73,27 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def commit(self, batch: str, changes: DataFrame) -> None:
-        """Puts the batch's signed sums in place; doing so again leaves the totals as they are."""
-        sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    def _mark(self) -> DataFrame:
+        """A row that adds nothing."""
+        one = self.spark.range(1, numPartitions=1)
+        return one.select(*[F.lit(None).cast("string").alias(k) for k in KEYS], *[F.lit(0).cast("long").alias(c) for c in ("docs", "tokens")], F.lit(None).cast("string").alias("folded"))
+
+    def _write(self, batch: str, rows: DataFrame) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+
+    def commit(self, batch: str, changes: DataFrame) -> bool:
+        """Puts the batch's signed sums in place; doing so again leaves the totals as they are. False if it is folded already."""
+        if self.started() and not self.batches().filter(F.col("folded") == batch).isEmpty():
+            return False
+        sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).withColumn("folded", F.lit(None).cast("string"))
         # A batch without changes still leaves its mark, so that commits can be listed.
-        mark = self.spark.range(1, numPartitions=1).select(*[F.lit(None).cast("string").alias(k) for k in KEYS], F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"))
-        sums.unionByName(mark).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+        self._write(batch, sums.unionByName(self._mark()))
+        return True
+
+    def started(self) -> bool:
+        """Whether anything was committed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def batches(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
@@ -86,31 +103,37 @@ class Rollup:
         return sums.filter("version is not null and (docs != 0 or tokens != 0)")
 
     def compact(self, into: str) -> None:
-        """Writes the totals as one batch in a new folder and goes on from there; the old folder stays until it is dropped."""
+        """Writes the totals as one batch in a new folder, with the ids of all batches it holds, and goes on from there.
+
+        The old folder stays until it is dropped, so a compaction that fails midway leaves a whole state behind.
+        """
+        own = self.batches()
+        ids = own.select(F.col("batch").alias("folded")).union(own.filter("folded is not null").select("folded")).distinct()
+        held = ids.crossJoin(self._mark().drop("folded")).select(*KEYS, "docs", "tokens", "folded")  # the mark is one row
         new = Rollup(self.spark, f"{self.path.rstrip('/')}-{into}")
-        new.commit(into, self.totals())
+        new._write(into, self.totals().withColumn("folded", F.lit(None).cast("string")).unionByName(held))
         self.path = new.path
 
 
 def state_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; in a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-state-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark, 'state')}/{name}-{uuid.uuid4().hex}"
 
 
 def op2(spark, sf_dir):
-    """All documents loaded under two tokenizer versions, low-quality ones deleted, repeated words at line starts revised, one batch replayed."""
+    """All documents loaded under two tokenizer versions, low-quality ones deleted from both, counts of symbols revised, one batch replayed, all folded."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     flagged = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
     rollup = Rollup(spark, state_folder(spark, "token-rollup"))
-    words = word_counts(docs)
-    rollup.commit("load-word-1", signed(words, 1, "word-1"))
-    rollup.commit("load-bpe-1", signed(bpe_counts(docs, ("source", "lang")), 1, "bpe-1"))
-    rollup.commit("delete-low-quality", signed(words.join(flagged, "doc_id", "left_semi"), -1, "word-1"))
+    bad = docs.join(flagged, "doc_id", "left_semi")
+    rollup.commit("load-word-1", signed(word_counts(docs), 1, "word-1"))
+    rollup.commit("load-bpe-1", signed(bpe_counts(docs), 1, "bpe-1"))
+    rollup.commit("delete-low-quality", signed(word_counts(bad), -1, "word-1").unionByName(signed(bpe_counts(bad), -1, "bpe-1")))
     # Counts revised: a tokenizer fix that no longer counts runs of symbols alone.
     symbols = F.coalesce(F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]+(?![^\x20\x09-\x0D])")), F.lit(0)).cast("long")
-    fixed = words.withColumn("fixed", F.col("tokens") - symbols).join(flagged, "doc_id", "left_anti")
-    changes = revised(fixed.filter("fixed != tokens"), "word-1", "tokens", "fixed")
+    good = docs.join(flagged, "doc_id", "left_anti").filter(symbols > 0)
+    changes = revised(good.select("source", "lang", words_in(F.col("text")).alias("old"), symbols.alias("symbols")).withColumn("new", F.col("old") - F.col("symbols")), "word-1", "old", "new")
     rollup.commit("revise-word-1", changes)
+    rollup.compact("folded")
     rollup.commit("revise-word-1", changes)  # a replay changes nothing
     return rollup.totals()
