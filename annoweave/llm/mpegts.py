@@ -7,7 +7,8 @@ its bytes: program tables (with their CRC), continuity counters, PES reassembly,
 random-access points. Work is per row, in Arrow batches, without a shuffle: it scales with the
 number of input splits and a lost executor only repeats its own splits.
 
-Nulls count as empty payloads, which still give one padded unit; equal payloads give equal streams.
+Nulls count as empty payloads, which still give one padded unit; equal payloads, repeated rows too, give equal streams. A very long
+text is many PES packets. An empty table gives an empty result; other columns are ignored, whatever their names.
 A damaged stream does not raise: lost packets show up as `continuity_errors`, bad tables as
 `table_errors`, and only bytes that were really carried come back.
 """
@@ -17,14 +18,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import map_slices, table, text_or_empty, type_of
 
 # Fixed values of the transport stream format.
 PACKET = 188
@@ -148,41 +147,47 @@ def _program_pid(packets: np.ndarray, pid: np.ndarray, at: int, table_id: int) -
     return list(dict.fromkeys(found)), bad
 
 
-def demux(stream: bytes) -> dict:
-    """What a transport stream carries: the payload of its first elementary stream, its PES packets and its faults."""
-    n = len(stream) // PACKET
-    packets = np.frombuffer(stream, np.uint8, n * PACKET).reshape(n, PACKET)
-    packets = packets[packets[:, 0] == SYNC]
-    pid = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
-    programs, bad_pat = _program_pid(packets, pid, PAT_PID, 0x00)
-    streams, bad_pmt = _program_pid(packets, pid, programs[0][1], 0x02) if programs else ([], 0)
-    out = {"packets": n, "lost_sync": n - len(packets), "programs": programs, "streams": streams, "table_errors": bad_pat + bad_pmt, "continuity_errors": 0, "pts": [], "random_access": [], "payload": b""}
-    if not streams:
-        return out
-    own = packets[pid == streams[0][1]]
-    has_field, has_data = own[:, 3] & 0x20 > 0, own[:, 3] & 0x10 > 0
-    counter = own[has_data, 3] & 15
-    out["continuity_errors"] = int(((counter[1:].astype(int) - counter[:-1]) % 16 != 1).sum())
+def elementary(own: np.ndarray) -> dict:
+    """What the packets of one PID carry: payload, timestamps, random-access points and faults.
+
+    A packet may be sent twice in a row with the same counter (the clock reference in it may differ); the repeat is dropped and is
+    no error. A jump of the counter is none where the adaptation field announces a discontinuity.
+    """
+    out = {"continuity_errors": 0, "repeated": 0, "bad_packets": 0, "pts": [], "random_access": [], "payload": b""}
+    has_data = own[:, 3] & 0x10 > 0
+    has_field = own[:, 3] & 0x20 > 0
     start = np.where(has_field, 5 + own[:, 4].astype(int), 4)
-    begins = np.flatnonzero(own[:, 1] & 0x40)
+    counter = own[:, 3].astype(int) & 15
+    keep, last = has_data.copy(), None
+    for i in np.flatnonzero(has_data):
+        if last is not None:
+            step = (counter[i] - counter[last]) % 16
+            announced = bool(has_field[i] and own[i, 4] and own[i, 5] & 0x80)
+            if step == 0 and not announced and (own[i, 1:4] == own[last, 1:4]).all() and start[i] == start[last] and (own[i, start[i] :] == own[last, start[last] :]).all():
+                keep[i] = False
+                out["repeated"] += 1
+                continue
+            if step != 1 and not announced:
+                out["continuity_errors"] += 1
+        last = i
+    own, start, has_field = own[keep], start[keep], has_field[keep]
     payload = []
+    begins = np.flatnonzero(own[:, 1] & 0x40)
     for k, b in enumerate(begins):
         e = begins[k + 1] if k + 1 < len(begins) else len(own)
         pieces, i = [], b
-        plain = ~has_field[b:e] & has_data[b:e]
         while i < e:
-            if plain[i - b]:  # a run of packets without an adaptation field
-                stop = np.flatnonzero(~plain[i - b :])
+            if has_field[i]:
+                pieces.append(own[i, start[i] :].tobytes())
+                i += 1
+            else:  # a run of packets without an adaptation field
+                stop = np.flatnonzero(has_field[i:e])
                 j = i + int(stop[0]) if len(stop) else e
                 pieces.append(own[i:j, 4:].tobytes())
                 i = j
-            else:
-                if has_data[i]:
-                    pieces.append(own[i, start[i] :].tobytes())
-                i += 1
         pes = b"".join(pieces)
         if pes[:3] != b"\0\0\1" or len(pes) < 9:
-            out["table_errors"] += 1
+            out["bad_packets"] += 1
             continue
         size, flags, more = struct.unpack(">H", pes[4:6])[0], pes[7], pes[8]
         if flags & 0x80 and more >= 5:
@@ -194,16 +199,46 @@ def demux(stream: bytes) -> dict:
     return out
 
 
+def demux(stream: bytes) -> dict:
+    """What a transport stream carries: all elementary streams of all programs (`elementary`, by PID), and its faults.
+
+    `payload`, `pts` and `random_access` are those of the first stream of the first program; continuity errors and repeats are
+    counted over all streams.
+    """
+    n = len(stream) // PACKET
+    packets = np.frombuffer(stream, np.uint8, n * PACKET).reshape(n, PACKET)
+    packets = packets[packets[:, 0] == SYNC]
+    pid = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
+    programs, bad = _program_pid(packets, pid, PAT_PID, 0x00)
+    out = {"packets": n, "lost_sync": n - len(packets), "programs": programs, "streams": [], "table_errors": bad, "continuity_errors": 0, "repeated": 0, "pts": [], "random_access": [], "payload": b"", "elementary": {}}
+    for _, table_pid in programs:
+        streams, bad = _program_pid(packets, pid, table_pid, 0x02)
+        out["streams"] += streams
+        out["table_errors"] += bad
+    for _, own_pid in out["streams"]:
+        if own_pid not in out["elementary"]:
+            found = out["elementary"][own_pid] = elementary(packets[pid == own_pid])
+            out["continuity_errors"] += found["continuity_errors"]
+            out["repeated"] += found["repeated"]
+            out["table_errors"] += found["bad_packets"]
+    if out["elementary"]:
+        first = next(iter(out["elementary"].values()))
+        out |= {k: first[k] for k in ("pts", "random_access", "payload")}
+    return out
+
+
 def store_streams(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, media): every text as UTF-8, padded to whole units and stored in a transport stream."""
-    rows = text_or_empty(df, doc_id, text=text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            raw = [t.encode() for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b.iloc[:, 0], "n_bytes": [len(r) for r in raw], "media": [mux(padded(r)) for r in raw]})
+    def kernel():
+        def run(part: dict) -> dict:
+            raw = [t.encode() for t in part["text"].to_pylist()]
+            return {"doc_id": part["doc_id"], "n_bytes": [len(r) for r in raw], "media": [mux(padded(r)) for r in raw]}
+
+        return run
 
-    return rows.mapInPandas(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_bytes long, media binary")
+    rows = text_or_empty(df, doc_id, text=text).toDF("doc_id", "text")
+    return map_slices(rows, kernel, f"doc_id {type_of(df, doc_id)}, n_bytes long, media binary", rows=100)
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, continuity_errors long, random_access array<long>, pts array<long>"
@@ -211,24 +246,26 @@ FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_by
 
 def stream_features(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """The kept columns and what `demux` reads from each stored stream; a null stream counts as an empty one."""
-    rows = df.select(*[df[c] for c in keep], F.coalesce(df[media], F.lit(b"")).alias("media"))
-    head = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    inner = [f"_k{k}" for k in range(len(keep))]
+    rows = df.select(*[df[c].alias(n) for c, n in zip(keep, inner, strict=True)], F.coalesce(df[media], F.lit(b"")).alias("_media"))
+    head = "".join(f"{n} {type_of(df, c)}, " for c, n in zip(keep, inner, strict=True))
+    names = [f.split()[0] for f in FEATURES.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def kernel():
+        def run(part: dict) -> dict:
             found = []
-            for m in b["media"]:
+            for m in part["_media"].to_pylist():
                 x = demux(m)
                 p, pts = x["payload"], x["pts"]
                 length = (pts[-1] - pts[0] + PES_TICKS) / CLOCK if pts else 0
                 feature = f"packets={x['packets']};programs={len(x['programs'])};streams={len(x['streams'])};pes={len(pts)};seconds={length:.3f};random_access={len(x['random_access'])};continuity_errors={x['continuity_errors']};table_errors={x['table_errors']}"
                 found.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature, x["continuity_errors"], x["random_access"], pts))
-            yield pd.concat([b[list(keep)], pd.DataFrame(found, columns=[f.split()[0] for f in FEATURES.split(", ")], index=b.index)], axis=1)
+            return {n: part[n] for n in inner} | {n: [f[k] for f in found] for k, n in enumerate(names)}
 
-    return rows.mapInPandas(run, f"{head}, {FEATURES}")
+        return run
 
+    return map_slices(rows, kernel, head + FEATURES, rows=100).withColumnsRenamed(dict(zip(inner, keep, strict=True)))
 
-def op3(spark, sf_dir):
-    from .common import table
 
+def op3(spark, sf_dir):
     return stream_features(store_streams(table(spark, sf_dir, "documents")))
