@@ -2,16 +2,20 @@ r"""Personal data: patterns, and weak supervision over looser candidates.
 
 Pattern spans (`email`, `ip`, `card`, `phone`) are always reported. The method adds `weak` spans: a
 loose candidate generator (numbers of 7 digits or more with any separators, obfuscated mail addresses,
-all pairs of neighbouring capitalised words in any alphabet that has capitals) is labelled by three kinds of labelers, each of which votes personal, not personal
-or nothing: patterns (shape of the candidate), gazetteers (dialling codes, mail providers, given names)
-and context (words before the candidate). Expectation-maximisation over the vote patterns of all candidates in
+all pairs of neighbouring capitalised words in any alphabet that has capitals) is labelled by labelers of three sorts, each of which
+votes personal, not personal or nothing: patterns (shape and length of the candidate), gazetteers (dialling codes, mail providers, given
+names) and context (words before and after it). Expectation-maximisation over the vote patterns of all candidates in
 the corpus estimates every labeler's reliability and each pattern's probability (Dawid-Skene with one
-coin per labeler and class; for names, where labelers speak up for one side only, also how often each votes at all); a logistic model of the candidate's features is then trained on those
-probabilities and decides. Vote and feature patterns are counted over all documents first; there are
-at most 3^6 · 2^6 of them, so the models train on exact sufficient statistics that don't grow with the corpus.
+coin per labeler and class, for each sort of candidate; for names, which are rare among pairs, also how often each votes at all). A
+logistic span classifier is then trained on those probabilities as soft labels. It sees none of the votes, only hashed features of the
+text: the candidate's words and shape, and the words around it; so it also decides where no labeler has an opinion.
 
-Null text counts as empty. Positions are code points, end exclusive. Without any candidate there are no
-weak spans. Repeated rows are scanned each on their own; other columns are ignored.
+Votes are counted over all documents; there are at most 3 · 3^5 patterns. The classifier learns from at most `SAMPLE` distinct pairs of
+votes and features (those with the smallest hash, a documented bound), weighed by their counts over all documents.
+
+Null text counts as empty. Positions are code points, end exclusive. Very long texts are scanned whole. Without any candidate there are no
+weak spans. Repeated rows are scanned each on their own; other columns are ignored, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,15 +24,18 @@ import hashlib
 import re
 import sys
 import unicodedata
+import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, text_or_empty
+from .common import checkpointed, map_slices, table, text_or_empty, type_of
 
 # The base patterns, in the order of their kinds.
 KINDS = ("email", "ip", "card", "phone", "weak")
@@ -41,6 +48,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Word lists of the labelers.
 CONTEXT_FOR = ("phone", "tel", "mobile", "call", "fax", "contact", "mail", "email", "ssn", "passport", "account", "iban", "name", "mr", "mrs", "ms", "dr", "dear", "signed", "address", "born")
 CONTEXT_AGAINST = ("order", "isbn", "issn", "version", "figure", "table", "page", "chapter", "section", "error", "code", "year", "part", "item", "line", "price", "total")
+AFTER_FOR = ("said", "says", "wrote", "writes", "called", "signed", "lives", "born", "asked", "told", "met", "please", "reply", "regards")
+AFTER_AGAINST = ("street", "road", "river", "bank", "company", "inc", "ltd", "gmbh", "university", "museum", "edition", "pages", "items", "units", "percent", "euro", "dollars", "usd", "kg", "km")
+ARTICLES = ("the", "a", "an", "of", "in", "on", "at", "der", "die", "das", "le", "la", "les", "el", "los", "un", "une", "ein", "eine")
 GIVEN_NAMES = frozenset("alice anna anne antonio carlos charles claire daniel david elena emily emma eva francois george hans helen henry isabel jack james jane jean john jose juan julia karl laura lisa lucas luis maria marie mark martin mary max michael miguel nina olivia paul pedro peter pierre robert sara sarah sofia sophie thomas tom william".split())
 MAIL_PROVIDERS = ("gmail", "yahoo", "hotmail", "outlook", "proton", "icloud", "aol", "gmx", "mail")
 
@@ -59,9 +69,15 @@ UPPER, LOWER = f"[{letters(str.isupper)}]", f"[{letters(str.islower)}\u0300-\u03
 REST = rf"(?:{LOWER}{{1,20}}|['\u2019])(?:[-'\u2019]?{UPPER}{LOWER}{{1,20}})?"  # of Anna, Jean-Luc, McDonald, O'Brien
 #: Two names, with an initial between them or not; what precedes is looked at after the first letter, which is faster.
 NAME = re.compile(rf"{UPPER}(?<!\w.){REST}(?:[\x20\xa0]{UPPER}\.)?[\x20\xa0]({UPPER}{REST})(?!\w)")
-CONTEXT_WORD = re.compile(r"[A-Za-z]+")
-REACH = 40
-LABELERS = ("shape", "obfuscation", "gazetteer", "context_for", "context_against", "length")
+LETTERS = re.compile(r"[^\W\d_]+")
+REACH = 60
+#: Sorts of candidates, and the labelers.
+NUMBER, MAIL, NAME_PAIR = 0, 1, 2
+LABELERS = ("shape", "gazetteer", "context", "after", "length")
+#: Labelers whose word for a name is taken at the start.
+NAME_EXPERTS = (1, 2, 3)
+FEATURES = 1 << 14
+SAMPLE = 50_000
 
 
 def luhn(digits: str) -> bool:
@@ -117,73 +133,87 @@ def plain(word: str) -> str:
 GENERATORS = (DIGITS.finditer, OBFUSCATED.finditer, name_pairs)
 
 
-def votes(kind: int, own: str, before: str) -> tuple[list[int], int]:
-    """Each labeler's vote (1 personal, 0 not, -1 nothing) and the candidate's features as bits."""
-    near = [w.lower() for w in CONTEXT_WORD.findall(before)][-4:]
-    digits = "".join(c for c in own if c.isdigit())
-    separated = kind == 0 and any(c in " -.()" for c in own)
-    words = [plain(w) for w in own.split()] if kind == 2 else [""]
-    names = words[0] in GIVEN_NAMES
-    provider = kind == 1 and any(p in own.lower() for p in MAIL_PROVIDERS)
-    dialling = kind == 0 and (before.rstrip().endswith("+") or digits.startswith("00"))
-    for_, against = any(w in CONTEXT_FOR for w in near), any(w in CONTEXT_AGAINST for w in near)
-    against = against or any(w in CONTEXT_FOR or w in CONTEXT_AGAINST for w in words)  # Dear Anna is no name
-    out = [
-        1 if separated and 9 <= len(digits) <= 16 else 0 if kind == 0 else -1,
-        1 if kind == 1 else -1,
-        1 if names or provider or dialling else 0 if kind == 2 else -1,
-        1 if for_ else -1,
-        0 if against else -1,
-        (1 if 9 <= len(digits) <= 15 else 0) if kind == 0 else -1,
-    ]
-    bits = sum(bool(x) << i for i, x in enumerate((kind == 0, kind == 1, kind == 2, for_, against, separated or names or provider or dialling)))
-    return out, bits
-
-
-def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, vote pattern, features) of loose candidates that no pattern span touches."""
+def votes(kind: int, own: str, before: list[str], after: list[str]) -> tuple[int, ...]:
+    """Each labeler's vote: 1 personal, 0 not, -1 nothing. `before` and `after` are the lower-case words around, nearest last and first."""
+    near, next_ = before[-4:], after[:2]
+    context = 1 if any(w in CONTEXT_FOR for w in near) else 0 if any(w in CONTEXT_AGAINST for w in near) or near[-1:] and near[-1] in ARTICLES else -1
+    follow = 1 if any(w in AFTER_FOR for w in next_) else 0 if any(w in AFTER_AGAINST for w in next_) else -1
+    if kind == NUMBER:
+        digits = sum(c.isdigit() for c in own)
+        return (int(any(c in " -.()" for c in own) and 9 <= digits <= 16), int(own.startswith("00") or before[-1:] == ["+"]), context, follow, int(9 <= digits <= 15))
+    if kind == MAIL:
+        words = [plain(w) for w in LETTERS.findall(own)]
+        return (int(len(words) >= 4 and 2 <= len(words[-1]) <= 6), int(any(p in words for p in MAIL_PROVIDERS)), context, follow, int(len(own) <= 64))
+    words = [plain(w) for w in own.split()]
+    listed = any(w in CONTEXT_FOR or w in CONTEXT_AGAINST for w in words)  # Dear Anna is no name
+    return (int(not listed and all(len(w) > 2 or w.endswith(".") for w in words)), int(words[0] in GIVEN_NAMES), context, follow, -1)
+
+
+def shape(own: str) -> str:
+    """Runs of digits, capitals and small letters by their lengths, anything else as it is."""
+    kinds = "".join("9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in own)
+    return re.sub(r"9+|X+|x+", lambda m: f"{m[0][0]}{len(m[0]) if m[0][0] == '9' else ''}", kinds)
+
+
+def features(kind: int, own: str, before: list[str], after: list[str]) -> list[int]:
+    """Hashed features of a candidate's text."""
+    found = [f"s:{shape(own)}", *(f"o:{plain(w)}" for w in LETTERS.findall(own))]
+    found += [f"b:{w}" for w in before[-3:]] + [f"b1:{w}" for w in before[-1:]] + [f"a:{w}" for w in after[:2]] + [f"a1:{w}" for w in after[:1]]
+    return sorted({zlib.crc32(f"{kind}{f}".encode("utf-8", "surrogatepass")) % FEATURES for f in ["", *found]})
+
+
+def candidates(text: str, known: list[tuple[int, int, int]]) -> list[dict]:
+    """Loose candidates that no pattern span touches: start, end, kind, votes (as a number) and features."""
     found, taken = [], sorted((s, e) for s, _, e in known)
-    starts = [s for s, _ in taken]
+    starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     low = text.lower()
     for kind, matches in enumerate(GENERATORS):
-        if kind == 1 and not ("[at" in low or "(at" in low or "[ at" in low or "( at" in low):
+        if kind == MAIL and not ("[at" in low or "(at" in low or "[ at" in low or "( at" in low):
             continue
         for m in matches(text):
             s, e = m.span()
             i = bisect_left(starts, e)
-            if any(x < e and s < y for x, y in taken[max(0, i - 2) : i + 1]):
+            if i and furthest[i - 1] > s:
                 continue
-            v, bits = votes(kind, m[0][:80], text[max(0, s - REACH) : s])
-            found.append((s, e, sum((x + 1) * 3**k for k, x in enumerate(v)), bits))
+            left = text[max(0, s - REACH) : s]
+            before, after = [w.lower() for w in LETTERS.findall(left)], [w.lower() for w in LETTERS.findall(text, e, e + REACH)]
+            if left.endswith("+"):
+                before.append("+")
+            v = votes(kind, m[0], before, after)
+            found.append({"start": s, "end": e, "kind": kind, "votes": sum((x + 1) * 3**k for k, x in enumerate(v)), "features": features(kind, m[0], before, after)})
     return found
 
 
 def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, spans, loose) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def kernel():
+        def run(part: dict) -> dict:
             spans, loose = [], []
-            for t in b["text"]:
+            for t in part["text"].to_pylist():
                 known = base_spans(t)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in known])
-                loose.append([{"start": s, "end": e, "votes": v, "bits": f} for s, e, v, f in candidates(t, known)])
-            yield pd.DataFrame({"doc_id": b.iloc[:, 0], "spans": spans, "loose": loose})
+                loose.append(candidates(t, known))
+            return {"doc_id": part["doc_id"], "spans": spans, "loose": loose}
 
-    return text_or_empty(df, doc_id, text=text).mapInPandas(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, spans array<struct<start:int,kind:int,end:int>>, loose array<struct<start:int,end:int,votes:int,bits:int>>")
+        return run
 
+    rows = text_or_empty(df, doc_id, text=text).toDF("doc_id", "text")
+    return map_slices(rows, kernel, f"doc_id {type_of(df, doc_id)}, spans array<struct<start:int,kind:int,end:int>>, loose array<struct<start:int,end:int,kind:int,votes:int,features:array<int>>>")
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: int = 100, silence: bool = False) -> tuple[np.ndarray, np.ndarray]:
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: int = 100, silence: bool = False, experts: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Probability of class 1 for each vote pattern (rows of -1, 0, 1), and each labeler's accuracies (class, labeler).
 
     Starts from the majority vote; the accuracies carry a prior of 8 right votes of 10, so that a labeler
     that rarely votes keeps its meaning. With `silence` it also counts how often a labeler votes in each class: one that
-    only ever says 1 tells nothing by what it says, but by when it does.
+    mostly says 1 tells little by what it says, but by when it does. With `experts` the class is rare, and what none of these labelers
+    votes for starts near 0.
     """
     said, yes = patterns >= 0, patterns == 1
     p = np.clip((yes.sum(1) + 0.5) / (said.sum(1) + 1), 0.02, 0.98)
-    if silence:  # the class may be rare, so what nobody votes for must not fill it at the start
-        p = np.where(yes.any(1), p, 1e-3)
+    if experts is not None:
+        p = np.where(yes[:, experts].any(1), p, 1e-3)
     right, speaks = np.full((2, patterns.shape[1]), 0.8), np.full((2, patterns.shape[1]), 0.5)
     overall = np.clip(counts @ said / max(counts.sum(), 1), 1e-6, 1 - 1e-6)
     for _ in range(steps):
@@ -202,38 +232,38 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
     return p, right
 
 
-def train_classifier(features: np.ndarray, target: np.ndarray, counts: np.ndarray, steps: int = 50, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic model of feature rows on soft labels, by Newton's method."""
-    x = np.hstack([features, np.ones((len(features), 1))])
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        gradient = x.T @ (counts * (target - p)) - ridge * w
-        hessian = (x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def fit(scanned: DataFrame) -> dict[int, float]:
-    """The final classifier's probability for each feature pattern."""
-    n = len(LABELERS)
-    rows = scanned.select(F.explode("loose").alias("c")).groupBy("c.votes", "c.bits").count().orderBy("votes", "bits").collect()
-    if not rows:
-        return {}
-    pattern = np.array([[r["votes"] // 3**k % 3 - 1 for k in range(n)] for r in rows])
-    bits, counts = np.array([[r["bits"] >> k & 1 for k in range(6)] for r in rows], float), np.array([float(r["count"]) for r in rows])
-    found, names = {}, bits[:, 2] > 0
-    for some, silence, ridge in ((names, True, 0.01), (~names, False, 1.0)):  # names are rare among pairs: weights of few rows count
-        if some.any():
-            p, _ = expectation_maximisation(pattern[some], counts[some], silence=silence)
-            w = train_classifier(bits[some], p, counts[some], ridge=ridge)
-            found |= {int(b): float(1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))) for b, x in zip(bits[some] @ 2 ** np.arange(6), bits[some], strict=True)}
+def soft_labels(scanned: DataFrame) -> dict[tuple[int, int], float]:
+    """The probability of each sort of candidate and vote pattern."""
+    rows = scanned.select(F.explode("loose").alias("c")).groupBy("c.kind", "c.votes").count().orderBy("kind", "votes").collect()
+    kinds, counts = np.array([r["kind"] for r in rows]), np.array([float(r["count"]) for r in rows])
+    pattern = np.array([[r["votes"] // 3**k % 3 - 1 for k in range(len(LABELERS))] for r in rows])
+    found = {}
+    for kind in sorted(set(kinds.tolist())):
+        own = kinds == kind
+        name = kind == NAME_PAIR
+        p, _ = expectation_maximisation(pattern[own], counts[own], silence=name, experts=NAME_EXPERTS if name else None)
+        found |= {(kind, r["votes"]): float(x) for r, x in zip([r for r, o in zip(rows, own, strict=True) if o], p, strict=True)}
     return found
 
 
+def fit(scanned: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
+    """Weights of the span classifier for every feature, and its bias; none without candidates."""
+    chance = soft_labels(scanned)
+    if not chance:
+        return None
+    known = scanned.sparkSession.createDataFrame([(k, v, p) for (k, v), p in chance.items()], "kind int, votes int, p double")  # at most 3 · 3^5 rows
+    grouped = scanned.select(F.explode("loose").alias("c")).groupBy("c.kind", "c.votes", "c.features").agg(F.count(F.lit(1)).alias("n"))
+    rows = checkpointed(grouped.orderBy(F.xxhash64("kind", "votes", "features"), "kind", "votes", "features").limit(sample).join(F.broadcast(known), ["kind", "votes"]))
+    seen = [r["f"] for r in rows.select(F.explode("features").alias("f")).distinct().orderBy("f").collect()]  # at most FEATURES
+    vectors = CountVectorizerModel.from_vocabulary([str(f) for f in seen], inputCol="terms", outputCol="vector").setBinary(True)
+    both = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), (F.col("n") * (F.col("p") if y else 1 - F.col("p"))).alias("weight")) for y in (1.0, 0.0)]))
+    data = vectors.transform(rows.withColumn("terms", F.col("features").cast("array<string>"))).select("vector", both.alias("y")).select("vector", "y.label", "y.weight").filter("weight > 0")
+    found = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", regParam=1e-4, standardization=False, maxIter=100).fit(data)
+    weights = np.zeros(FEATURES)
+    weights[seen] = found.coefficients.toArray()
+    return weights, float(found.intercept)
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -241,18 +271,22 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def find_pii(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """One row a document: counts, the base spans' hash and all spans, pattern and weak ones alike."""
     scanned = checkpointed(scan(df, text, doc_id))
-    chance = fit(scanned)
+    model = fit(scanned)
+    limit = np.log(threshold / (1 - threshold))
+    columns = ["n_email", "n_ip", "n_card", "n_phone", "n_weak", "base_sha256", "spans"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def kernel():
+        def run(part: dict) -> dict:
             out = []
-            for spans, loose in zip(b["spans"], b["loose"], strict=True):
+            for spans, loose in zip(part["spans"].to_pylist(), part["loose"].to_pylist(), strict=True):
                 base = [(x["start"], x["kind"], x["end"]) for x in spans]
-                more = [(x["start"], 4, x["end"]) for x in loose if chance.get(x["bits"], 0) >= threshold]
+                more = [(x["start"], 4, x["end"]) for x in loose if model[0][x["features"]].sum() + model[1] >= limit] if model else []
                 out.append((*(sum(k == i for _, k, _ in base) for i in range(4)), len(more), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
-            yield pd.concat([b[["doc_id"]], pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "n_weak", "base_sha256", "spans"], index=b.index)], axis=1)
+            return {"doc_id": part["doc_id"]} | {c: [r[k] for r in out] for k, c in enumerate(columns)}
+
+        return run
 
-    return scanned.mapInPandas(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, n_weak long, base_sha256 string, spans string")
+    return map_slices(scanned, kernel, f"doc_id {type_of(df, doc_id)}, n_email long, n_ip long, n_card long, n_phone long, n_weak long, base_sha256 string, spans string")
 
 
 def op7(spark, sf_dir):
