@@ -14,7 +14,8 @@ a lost executor repeats only its splits. Sequence ids hold the task's partition
 they are unique without a global counter.
 
 A null text counts as empty: its only token is the end token. Repeated rows are packed once each,
-rows with a null id too. Other columns are ignored.
+rows with a null id too. A very long text gives whole sequences. An empty table gives an empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Memo, table, text_or_empty
+from .common import Memo, table, text_or_empty, type_of
 
 LENGTH = 2_048
 END = 1
@@ -127,7 +130,7 @@ class WordEncoder:
 
         self.tokenizer, self.letters = Tokenizer.from_file(file), byte_letters()
         self.model = self.tokenizer.model
-        self.words, self.parts = Memo(self.word, 150_000), Memo(self.part, 100_000)
+        self.words, self.parts = Memo(self.word, 100_000), Memo(self.part, 60_000)
 
     def part(self, own: str) -> bytes:
         if not own.isascii():
@@ -145,19 +148,20 @@ class WordEncoder:
 
 
 def pack(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW_TOKENS) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids of the piece."""
-    rows = text_or_empty(df, doc_id, text=text)
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    rows = text_or_empty(df, doc_id, text=text).toDF("doc_id", "text")
     file = tokenizer or default_tokenizer()
-    id_type = df.schema[doc_id].dataType.simpleString()
+    schema = f"doc_id {type_of(df, doc_id)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(file)
         packer = Packer(length, TaskContext.get().partitionId() << 36)
         tail = np.array([end], "<u4").tobytes()
-        docs: dict[int, tuple] = {}  # of documents with pieces to come: id, ids, tokens
+        docs: dict[int, tuple] = {}  # of documents with pieces to come: id, ids
         count, pieces, held = 0, [], 0
 
-        def packed(last: bool) -> pd.DataFrame:
+        def packed(last: bool) -> pa.RecordBatch:
             nonlocal pieces, held
             out = []
             for seq in packer.window(pieces, last):
@@ -172,22 +176,22 @@ def pack(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end:
             still = {d for d, *_ in packer.open_pieces}
             for d in [d for d in docs if d not in still]:
                 del docs[d]
-            return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                for own, ids in zip(part.iloc[:, 0], encoder.batch(list(part["text"])), strict=True):
-                    ids += tail
-                    docs[count] = (None if pd.isna(own) else own, ids)
-                    pieces.append((count, 0, len(ids) // 4))
-                    held += len(ids) // 4
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for own, ids in zip(part.column(0).to_pylist(), encoder.batch(part.column(1).to_pylist()), strict=True):
+                    docs[count] = (own, ids + tail)
+                    n = len(ids) // 4 + 1
+                    pieces.append((count, 0, n))
+                    held += n
                     count += 1
                 if held >= window:
                     yield packed(False)
         yield packed(True)
 
-    return rows.mapInPandas(run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(run, schema)
 
 
 def op10(spark, sf_dir):
