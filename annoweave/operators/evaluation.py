@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence
+from ..functions.scalars import distance_score
+from ..functions.scoring import ScoringConfig, score
 from . import graph
 
 STEPS = 100
@@ -66,11 +68,11 @@ def thresholds(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(STEPS + 1).select(F.col("id").cast("int").alias("i"), (F.col("id") * F.lit(0.01)).alias("threshold"))
 
 
-def pr_curve(scored: DataFrame, truth: DataFrame, *keys: str) -> DataFrame:
+def pr_curve(scored: DataFrame, truth: DataFrame, *keys: str, groups: DataFrame | None = None) -> DataFrame:
     """Micro-averaged precision, recall and F1 at 101 thresholds for each group of the keys.
 
     Only proteins with ground truth count; a pair's best score counts; recall is over all true pairs. Each pair falls into
-    one bucket and buckets are summed from above, so nothing is multiplied by the thresholds.
+    one bucket and buckets are summed from above, so nothing is multiplied by the thresholds. Groups are those of the scored rows unless given.
     """
     pairs = truth.select("protein", "go_id").distinct()
     within = scored.join(pairs.select("protein").distinct(), "protein", "left_semi")
@@ -78,7 +80,8 @@ def pr_curve(scored: DataFrame, truth: DataFrame, *keys: str) -> DataFrame:
     hit = best.join(pairs.withColumn("hit", F.lit(1)), ["protein", "go_id"], "left")
     counted = hit.groupBy(*keys, reached(F.col("score")).alias("n")).agg(F.count(F.lit(1)).alias("predicted"), F.count("hit").alias("right"))
     total = pairs.agg(F.count(F.lit(1)).alias("total"))
-    groups = scored.select(*keys).distinct() if keys else total.select()
+    if groups is None:
+        groups = scored.select(*keys).distinct() if keys else total.select()
     grid = groups.crossJoin(F.broadcast(thresholds(scored)))
     grid = grid.withColumn("n", F.col("i") + 1).join(counted, [*keys, "n"], "left")
     above = Window.partitionBy(*keys).orderBy(F.desc("n")) if keys else Window.orderBy(F.desc("n"))
@@ -144,6 +147,29 @@ def fmax_weighted(scored: DataFrame, truth: DataFrame, weights: DataFrame, closu
     return best.select("aspect", F.round("b.f", 4).alias("fmax"), F.round("b.precision", 4).alias("precision"), F.round("b.recall", 4).alias("recall"), F.col("b.tau").alias("tau"), F.round("b.coverage", 4).alias("coverage"), "n_proteins")
 
 
+def coverage(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: the share in percent of proteins with truth that have any score."""
+    delta = truth.select("protein").distinct().join(scored.select("protein").distinct().withColumn("hit", F.lit(1)), "protein", "left")
+    return delta.agg(F.round(100 * F.avg(F.coalesce("hit", F.lit(0))), 2).alias("covered_percent"))
+
+
+def evaluation_scores(predictions: DataFrame, truth: DataFrame, configs: dict[str, ScoringConfig], reranked: DataFrame | None = None, max_distance: float | None = None) -> DataFrame:
+    """(protein, go_id, score, source) of delta proteins: the re-ranker's score where there is one, else that of the namespace's configuration, else 1 - d/2; best per pair."""
+    own = predictions if max_distance is None else predictions.filter(F.col("distance") <= max_distance)
+    own = own.join(delta_proteins(truth), "protein", "left_semi")
+    given = F.lit(None).cast("double")
+    if reranked is not None:
+        own = own.join(reranked.select("protein", "go_id", F.col("reranker_score").alias("_given")), ["protein", "go_id"], "left")
+        given = F.col("_given")
+    by_config = F.lit(None).cast("double")
+    for aspect, config in configs.items():
+        by_config = F.when(F.col("aspect") == aspect, score(own, config)).otherwise(by_config)
+    found = F.coalesce(given, by_config, distance_score(F.col("distance")))
+    source = F.when(given.isNotNull(), "reranker").when(by_config.isNotNull(), "config").otherwise("distance")
+    rows = own.select("protein", "go_id", F.round(found, 6).alias("score"), source.alias("source"))
+    return rows.groupBy("protein", "go_id").agg(F.max_by(F.struct("score", "source"), "score").alias("b")).select("protein", "go_id", "b.score", "b.source")
+
+
 def compare(first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:
     """Differences of Fmax and area, second minus first."""
     a, b = first.select(*keys, F.col("fmax").alias("f1"), F.col("auc_pr").alias("a1")), second.select(*keys, F.col("fmax").alias("f2"), F.col("auc_pr").alias("a2"))

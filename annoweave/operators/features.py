@@ -45,43 +45,58 @@ ALIGNED = ("identity", "similarity", "alignment_score", "gaps_pct", "alignment_l
 def align(a: str, b: str, local: bool = False, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> tuple[float, float, float, float, float]:
     """(identity, similarity, score, gap share, length) of an affine-gap alignment, global or local.
 
-    Row by row; gaps in b along a row come from a running maximum, since a gap of length g costs open + (g - 1) extend.
+    Row by row in memory linear in the length of b: with every score goes what its best path has counted so far (equal, similar,
+    gaps, length), so nothing is walked back. Gaps along a row come from a running maximum, since a gap of length g costs
+    open + (g - 1) extend. Of equal paths a pair of residues comes first, then a gap in b; gaps are as short as they can be.
     """
-    x = np.array([max(0, RESIDUES.find(c)) if c in RESIDUES else 22 for c in a], int)
-    y = np.array([max(0, RESIDUES.find(c)) if c in RESIDUES else 22 for c in b], int)
+    if len(b) > len(a) and not local:  # memory goes by the shorter one
+        return align(b, a, local, gap_open, gap_extend)
+    x, y = (np.array([RESIDUES.find(c) if c in RESIDUES else 22 for c in s], int) for s in (a, b))
+    letters_x, letters_y = (np.array([ord(c) for c in s], np.int64) for s in (a, b))
     n, m = len(x), len(y)
-    low = -(10**9)
-    h, up, left = np.zeros((n + 1, m + 1), int), np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low)
-    steps = np.arange(m + 1)
+    low, steps = -(10**9), np.arange(m + 1)
+    h, up = np.zeros(m + 1, np.int64), np.full(m + 1, low, np.int64)
+    counted, counted_up = np.zeros((4, m + 1), np.int64), np.zeros((4, m + 1), np.int64)  # equal, similar, gaps, length
     if not local:
-        h[1:, 0] = up[1:, 0] = -gap_open - gap_extend * np.arange(n)
-        h[0, 1:] = left[0, 1:] = -gap_open - gap_extend * np.arange(m)
-    for i in range(1, n + 1):
-        up[i, 1:] = np.maximum(h[i - 1, 1:] - gap_open, up[i - 1, 1:] - gap_extend)
-        best = np.maximum(h[i - 1, :-1] + _SCORES[x[i - 1], y], up[i, 1:])
+        h[1:] = -gap_open - gap_extend * steps[:-1]
+        counted[2] = counted[3] = steps
+    best_score, best = 0, (0, 0, 0, 0)
+    for i in range(n):
+        opened = h - gap_open >= up - gap_extend
+        up = np.maximum(h - gap_open, up - gap_extend)
+        counted_up = np.where(opened, counted, counted_up)
+        counted_up[2:] += 1
+        pair = h[:-1] + _SCORES[x[i], y]
+        same = letters_y == letters_x[i]
+        own = counted[:, :-1].copy()
+        own[0] += same
+        own[1] += same | (_SCORES[x[i], y] > 0)
+        own[3] += 1
+        row, counts = np.empty(m + 1, np.int64), np.empty((4, m + 1), np.int64)
+        row[0] = 0 if local else -gap_open - gap_extend * i
+        counts[:, 0] = (0, 0, 0, 0) if local else (0, 0, i + 1, i + 1)
+        diagonal = pair >= up[1:]
+        row[1:] = np.where(diagonal, pair, up[1:])
+        counts[:, 1:] = np.where(diagonal, own, counted_up[:, 1:])
         if local:
-            best = np.maximum(best, 0)
-        row = np.concatenate([h[i, :1], best])
-        reach = np.maximum.accumulate(row + gap_extend * steps)
-        left[i, 1:] = reach[:-1] - gap_open - gap_extend * (steps[1:] - 1)
-        h[i, 1:] = np.maximum(best, left[i, 1:])
-    i, j = (np.unravel_index(int(h.argmax()), h.shape)) if local else (n, m)
-    score, same, similar, gaps, length, state = float(h[i, j]), 0, 0, 0, 0, "h"
-    while (i > 0 or j > 0) and not (local and state == "h" and h[i, j] == 0):
-        if state == "h":
-            if i and j and h[i, j] == h[i - 1, j - 1] + _SCORES[x[i - 1], y[j - 1]]:
-                same += a[i - 1] == b[j - 1]
-                similar += a[i - 1] == b[j - 1] or _SCORES[x[i - 1], y[j - 1]] > 0
-                i, j, length = i - 1, j - 1, length + 1
-            else:
-                state = "u" if i and h[i, j] == up[i, j] else "l"
-        else:
-            table = up if state == "u" else left
-            here = table[i, j]
-            i, j = (i - 1, j) if state == "u" else (i, j - 1)
-            gaps, length = gaps + 1, length + 1
-            if here == h[i, j] - gap_open:
-                state = "h"
+            none = row <= 0
+            row[none], counts[:, none] = 0, 0
+        # The last place that reaches the running maximum opens the shortest gap.
+        level = row + gap_extend * steps
+        reach = np.maximum.accumulate(level)
+        origin = np.maximum.accumulate(np.where(level == reach, steps, 0))[:-1]
+        left = reach[:-1] - gap_open - gap_extend * (steps[1:] - 1)
+        longer = np.flatnonzero(left > row[1:])
+        if len(longer):
+            begin, gap = origin[longer], longer + 1 - origin[longer]
+            filled, row[1 + longer] = counts[:, begin], left[longer]
+            filled[2:] += gap
+            counts[:, 1 + longer] = filled
+        h, counted = row, counts
+        if local and (j := int(h.argmax())) >= 0 and h[j] > best_score:
+            best_score, best = int(h[j]), tuple(counted[:, j].tolist())
+    same, similar, gaps, length = best if local else tuple(counted[:, m].tolist())
+    score = float(best_score if local else h[m])
     if not length:
         return 0.0, 0.0, score, 0.0, 0.0
     return same / length, similar / length, score, gaps / length, float(length)

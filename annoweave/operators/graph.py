@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLOSURE_RELATIONS = ("is_a", "part_of")
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The session's spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a session whose tasks run in the driver's own process gets a temporary folder; a cluster gets an error, since
+    its executors don't see the driver's files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix=f"spark-{purpose}-")
+    return root.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the session's shared checkpoint folder (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """df with its lineage cut by a reliable checkpoint in the session's shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
 def descendants(edges: DataFrame, relations: tuple[str, ...] = CLOSURE_RELATIONS) -> DataFrame:
-    """(ancestor, descendant) of the transitive closure, semi-naive: only new pairs are extended. A term is its own descendant only by a cycle."""
-    steps = edges.filter(F.col("relation_type").isin(*relations)).select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
-    steps = checkpointed(steps)
-    seen = frontier = steps
-    onward = steps.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
-    while not frontier.isEmpty():
-        longer = frontier.join(onward, "descendant").select("ancestor", F.col("next").alias("descendant")).distinct()
-        frontier = checkpointed(longer.join(seen, ["ancestor", "descendant"], "left_anti"))
-        seen = checkpointed(seen.union(frontier))
-    return seen
-
-
-def negative_keys(annotations: DataFrame, edges: DataFrame) -> DataFrame:
-    """(protein, go_id) that a negated annotation rules out: its term and all its descendants."""
+    """(ancestor, descendant) of the transitive closure by doubling: pairs found so far extend one another. A term is its own descendant only by a cycle.
+
+    After round r all paths of up to 2^r steps are there, so rounds grow with the logarithm of the depth, and each is one checkpoint.
+    """
+    steps = edges.filter(F.col("relation_type").isin(*relations)).select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"))
+    seen = checkpointed(steps.distinct())
+    known = seen.count()
+    while True:
+        onward = seen.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
+        longer = seen.join(onward, "descendant").select("ancestor", F.col("next").alias("descendant"))
+        seen = checkpointed(seen.union(longer).distinct())
+        before, known = known, seen.count()
+        if known == before:
+            return seen
+
+
+def negative_keys(annotations: DataFrame, edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+    """(protein, go_id) that a negated annotation rules out: its term and all its descendants. The closure is computed unless given."""
+    closure = descendants(edges) if closure is None else closure
     negated = annotations.filter(F.col("qualifier").contains("NOT")).select("protein", "go_id").distinct()
-    below = negated.join(descendants(edges).select(F.col("ancestor").alias("go_id"), "descendant"), "go_id").select("protein", F.col("descendant").alias("go_id"))
+    below = negated.join(closure.select(F.col("ancestor").alias("go_id"), "descendant"), "go_id").select("protein", F.col("descendant").alias("go_id"))
     return negated.union(below).distinct()
 
 

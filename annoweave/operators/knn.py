@@ -1,10 +1,12 @@
 """Nearest neighbours: exact by blocks, by inverted cells, by hashing, and per aspect.
 
-Vectors come as (id, vector); results as (query, rank, ref, distance), ties in distance by ref.
+Vectors come as (id, vector); results as (query, rank, ref, distance), ties in distance by ref. A reference that occurs several times
+counts once, at its nearest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,40 +18,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .graph import checkpointed
 
-BLOCK = 4_096
+BLOCK = 2_048
+#: References that cells are fitted on at most, and queries that the number of probes is measured on.
+FIT_ROWS = 100_000
+MEASURED_QUERIES = 200
 
 
 def distances(q: np.ndarray, r: np.ndarray, metric: str = "cosine") -> np.ndarray:
     """All distances of a block of queries and a block of references."""
     q, r = q.astype(np.float64), r.astype(np.float64)
     if metric == "cosine":
-        return 1 - (q @ r.T) / np.outer(np.linalg.norm(q, axis=1) + vectors.EPSILON, np.linalg.norm(r, axis=1) + vectors.EPSILON)
+        q /= np.linalg.norm(q, axis=1)[:, None] + vectors.EPSILON
+        r /= np.linalg.norm(r, axis=1)[:, None] + vectors.EPSILON
+        return 1 - q @ r.T
     if metric == "l2":
         return np.maximum(0, (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * q @ r.T)
     raise ValueError(f"unknown metric {metric}")
 
 
 def blocks(df: DataFrame, rows: int = BLOCK) -> DataFrame:
-    """(ids, matrix, groups): up to `rows` vectors of a partition packed into one row, with their groups if the input has any."""
-    grouped = "groups" in df.columns
+    """(ids, matrix, groups): up to `rows` vectors of a partition packed into one row, with their groups if the input has any; with a cell, blocks of one cell each."""
+    extra = [c for c in ("groups", "cell") if c in df.columns]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), rows):
-                part = b.iloc[at : at + rows]
-                groups = [list(g) for g in part["groups"]] if grouped else [[] for _ in range(len(part))]
-                yield pd.DataFrame({"ids": [part["id"].tolist()], "matrix": [np.stack(part["vector"].to_numpy()).astype("<f4").tobytes()], "groups": [groups]})
+            for cell, own in b.groupby("cell") if "cell" in extra else [(0, b)]:
+                for at in range(0, len(own), rows):
+                    part = own.iloc[at : at + rows]
+                    groups = [list(g) for g in part["groups"]] if "groups" in extra else [[] for _ in range(len(part))]
+                    yield pd.DataFrame({"ids": [part["id"].tolist()], "matrix": [np.stack(part["vector"].to_numpy()).astype("<f4").tobytes()], "groups": [groups], "cell": [cell]})
 
-    columns = ["id", F.col("vector").cast("array<float>").alias("vector"), *(["groups"] if grouped else [])]
-    return df.filter("vector is not null").select(*columns).mapInPandas(pack, f"ids array<{df.schema['id'].dataType.simpleString()}>, matrix binary, groups array<array<string>>")
+    own = df.filter("vector is not null").select("id", F.col("vector").cast("array<float>").alias("vector"), *extra)
+    return own.mapInPandas(pack, f"ids array<{df.schema['id'].dataType.simpleString()}>, matrix binary, groups array<array<string>>, cell int")
 
 
 def nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of at least the k smallest distances of each row, with all that tie with the last of them."""
+    """(row, column) of the k smallest distances of each row, ties by column."""
     n = min(k, d.shape[1])
-    last = np.partition(d, n - 1, axis=1)[:, n - 1]
-    return np.nonzero(d <= last[:, None])
+    last = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+    tied = d == last
+    room = n - (d < last).sum(1)
+    return np.nonzero((d < last) | (tied & (np.cumsum(tied, axis=1) <= room[:, None])))
 
 
 def top_k(pairs: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -59,68 +70,103 @@ def top_k(pairs: DataFrame, k: int, *keys: str) -> DataFrame:
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "query", "rank", "ref", "distance")
 
 
-def block_search(queries: DataFrame, references: DataFrame, k: int, metric: str, threshold: float | None, rows: int) -> DataFrame:
-    """(aspect, query, ref, distance): for each pair of blocks a matrix product, then the nearest of each query, by group if references have groups.
+def search(met: DataFrame, k: int, metric: str, threshold: float | None, q_type: str, r_type: str) -> DataFrame:
+    """(aspect, query, ref, distance): for each pair of blocks a matrix product, then the k nearest references of each query, by group if references have groups.
 
-    4k rows a query and block go on, so that references that occur several times can't push others out.
+    References stand in order of their ids and a repeated one counts once, so k rows a query, block and group are enough.
     """
-    q = blocks(queries, rows).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q"))
-    r = blocks(references, rows).select(F.col("ids").alias("r_ids"), F.col("matrix").alias("r"), "groups")
-    q_type, r_type = queries.schema["id"].dataType.simpleString(), references.schema["id"].dataType.simpleString()
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for q_ids, qm, r_ids, rm, groups in b.itertuples(index=False):
                 x, y = np.frombuffer(qm, "<f4").reshape(len(q_ids), -1), np.frombuffer(rm, "<f4").reshape(len(r_ids), -1)
-                d = distances(x, y, metric)
                 own, near = np.asarray(q_ids), np.asarray(r_ids)
-                names = sorted({g for gs in groups for g in gs}) or [None]
-                for name in names:
-                    at = np.arange(len(near)) if name is None else np.array([i for i, gs in enumerate(groups) if name in gs])
-                    i, j = nearest(d[:, at], 4 * k)
-                    out = pd.DataFrame({"aspect": name, "query": own[i], "ref": near[at[j]], "distance": d[i, at[j]]})
+                order = np.argsort(near, kind="stable")
+                near, d = near[order], distances(x, y[order], metric)
+                sets = [set(groups[i]) for i in order]
+                for name in sorted(set().union(*sets)) or [None]:
+                    at = np.arange(len(near)) if name is None else np.array([i for i, g in enumerate(sets) if name in g])
+                    first = np.flatnonzero(np.r_[True, near[at][1:] != near[at][:-1]])
+                    least = np.minimum.reduceat(d[:, at], first, axis=1)
+                    i, j = nearest(least, k)
+                    out = pd.DataFrame({"aspect": name, "query": own[i], "ref": near[at][first][j], "distance": least[i, j]})
                     yield out if threshold is None else out[out["distance"] <= threshold]
 
-    return q.crossJoin(r).select("q_ids", "q", "r_ids", "r", "groups").mapInPandas(local, f"aspect string, query {q_type}, ref {r_type}, distance double")
-
-
-def knn_exact(queries: DataFrame, references: DataFrame, k: int = 5, metric: str = "cosine", threshold: float | None = None, rows: int = BLOCK) -> DataFrame:
-    """Exact neighbours, block by block; the only shuffle has a few times k rows a query and block."""
-    return top_k(block_search(queries.select("id", "vector"), references.select("id", "vector"), k, metric, threshold, rows).drop("aspect"), k)
-
+    return met.select("q_ids", "q", "r_ids", "r", "groups").mapInPandas(local, f"aspect string, query {q_type}, ref {r_type}, distance double")
 
-def _pairs(queries: DataFrame, references: DataFrame, on: list[str], metric: str) -> DataFrame:
-    q = queries.withColumnsRenamed({"id": "query", "vector": "q"})
-    r = references.withColumnsRenamed({"id": "ref", "vector": "r"})
-    distance = (vectors.cosine_distance if metric == "cosine" else vectors.squared_l2)(F.col("q"), F.col("r"))
-    return q.join(r, on).withColumn("distance", distance)
 
+def block_search(queries: DataFrame, references: DataFrame, k: int, metric: str, threshold: float | None, rows: int) -> DataFrame:
+    """Every block of queries against every block of references."""
+    q = blocks(queries, rows).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q"))
+    r = blocks(references, rows).select(F.col("ids").alias("r_ids"), F.col("matrix").alias("r"), "groups")
+    return search(q.crossJoin(r), k, metric, threshold, queries.schema["id"].dataType.simpleString(), references.schema["id"].dataType.simpleString())
 
-def knn_ivf(queries: DataFrame, references: DataFrame, k: int = 5, cells: int = 16, probes: int = 4, metric: str = "cosine", seed: int = 42) -> DataFrame:
-    """Inverted cells: k-means cells of the references; a query is compared with the references of its nearest cells. All cells probed: exact."""
-    as_vector = array_to_vector(F.col("vector").cast("array<double>"))
-    data = references.withColumn("features", as_vector)
-    model = KMeans(k=max(2, cells), seed=seed, maxIter=10).fit(data)
-    centers = np.array(model.clusterCenters())  # cells × dimensions, the index itself
-    placed = model.transform(data).select("id", "vector", F.col("prediction").alias("cell"))
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            d = distances(np.stack(b["vector"].to_numpy()), centers, "l2")
-            yield b.assign(cells=np.argsort(d, axis=1, kind="stable")[:, :probes].tolist())
+def knn_exact(queries: DataFrame, references: DataFrame, k: int = 5, metric: str = "cosine", threshold: float | None = None, rows: int = BLOCK) -> DataFrame:
+    """Exact neighbours, block by block; the only shuffle has k rows a query and block."""
+    return top_k(block_search(queries.select("id", "vector"), references.select("id", "vector"), k, metric, threshold, rows).drop("aspect"), k)
 
-    types = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in ("id", "vector"))
-    probed = queries.select("id", "vector").mapInPandas(probe, f"{types}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
-    return top_k(_pairs(probed, placed, ["cell"], metric).select("query", "ref", "distance"), k)
 
+def knn_ivf(queries: DataFrame, references: DataFrame, k: int = 5, cells: int | None = None, probes: int | None = None, metric: str = "cosine", seed: int = 42, recall: float = 0.95, rows: int = BLOCK) -> DataFrame:
+    """Inverted cells: k-means cells of the references; a query is compared with the references of its nearest cells. All cells probed: exact.
 
-def knn_lsh(queries: DataFrame, references: DataFrame, k: int = 5, threshold: float = 1.2, tables: int = 4, width: float = 1.0, seed: int = 42) -> DataFrame:
-    """Random projections on unit vectors; candidates within the Euclidean threshold, then cosine distance (d²/2)."""
-    unit = array_to_vector(vectors.l2_normalize(F.col("vector")))
-    q, r = queries.select("id", unit.alias("unit")), references.select("id", unit.alias("unit"))
+    The number of cells grows with the square root of the references. Cells are fitted on at most `FIT_ROWS` references, all are
+    placed. Unless given, the number of probes is measured: the least that finds the share `recall` of the exact neighbours of at most
+    `MEASURED_QUERIES` queries. A query that finds fewer than k references in its cells is searched exactly.
+    """
+    references = references.select("id", "vector").filter("vector is not null")
+    n = references.count()
+    if not n:
+        return knn_exact(queries, references, k, metric)
+    cells = cells or max(2, math.isqrt(n))
+    unit = F.col("vector").cast("array<double>") if metric == "l2" else vectors.l2_normalize(F.col("vector").cast("array<double>"))
+    sample = references.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select(array_to_vector(unit).alias("features"))
+    centers = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(sample).clusterCenters())  # cells × dimensions, the index itself
+
+    def placing(most: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                d = distances(np.stack(b["unit"].to_numpy()), centers, "l2")
+                yield b[["id", "vector"]].assign(cells=np.argsort(d, axis=1, kind="stable")[:, :most].tolist())
+
+        return run
+
+    def placed(df: DataFrame, most: int) -> DataFrame:
+        own = df.filter("vector is not null").select("id", "vector", unit.alias("unit"))
+        types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("id", "vector"))
+        return own.mapInPandas(placing(most), f"{types}, cells array<int>")
+
+    queries = queries.select("id", "vector")
+    homes = checkpointed(placed(references, 1).select("id", "vector", F.element_at("cells", 1).alias("cell")))
+    if probes is None:
+        some = queries.orderBy(F.xxhash64("id"), "id").limit(MEASURED_QUERIES)
+        exact = knn_exact(some, references, k, metric).select(F.col("query").alias("id"), "ref")
+        near = exact.join(homes.select(F.col("id").alias("ref"), "cell"), "ref").join(placed(some, len(centers)).select("id", "cells"), "id")
+        at = near.groupBy(F.array_position("cells", F.col("cell")).alias("at")).count().orderBy("at").collect()  # at most a row a cell
+        found = np.cumsum([r["count"] for r in at])
+        probes = next((int(r["at"]) for r, f in zip(at, found, strict=True) if f >= recall * found[-1]), len(centers))
+    q = blocks(placed(queries, probes).select("id", "vector", F.explode("cells").alias("cell")), rows).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q"), "cell")
+    r = blocks(homes, rows).select(F.col("ids").alias("r_ids"), F.col("matrix").alias("r"), "groups", "cell")
+    types = [df.schema["id"].dataType.simpleString() for df in (queries, references)]
+    return or_exact(top_k(search(q.join(r, "cell"), k, metric, None, *types).drop("aspect"), k), queries, references, k, metric)
+
+
+def or_exact(found: DataFrame, queries: DataFrame, references: DataFrame, k: int, metric: str) -> DataFrame:
+    """found, and the exact neighbours of queries that have fewer than k there."""
+    found = checkpointed(found)
+    full = found.filter(F.col("rank") == k).select(F.col("query").alias("id"))
+    short = queries.select("id", "vector").join(full, "id", "left_anti")
+    return found.join(full.withColumnRenamed("id", "query"), "query", "left_semi").select("query", "rank", "ref", "distance").unionByName(knn_exact(short, references, k, metric))
+
+
+def knn_lsh(queries: DataFrame, references: DataFrame, k: int = 5, tables: int = 8, width: float = 0.5, seed: int = 42) -> DataFrame:
+    """Random projections of unit vectors: candidates share a slot in a table, cosine distance is d²/2. Queries with fewer than k candidates are searched exactly."""
+    unit = array_to_vector(vectors.l2_normalize(F.col("vector").cast("array<double>")))
+    q, r = (df.filter("vector is not null").select("id", unit.alias("unit")) for df in (queries, references))
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=seed).fit(r)
-    found = model.approxSimilarityJoin(q, r, threshold, "euclid")
-    return top_k(found.select(F.col("datasetA.id").alias("query"), F.col("datasetB.id").alias("ref"), (F.col("euclid") ** 2 / 2).alias("distance")), k)
+    found = model.approxSimilarityJoin(q, r, 2.01, "euclid")  # two unit vectors are never farther apart than 2
+    near = top_k(found.select(F.col("datasetA.id").alias("query"), F.col("datasetB.id").alias("ref"), (F.col("euclid") ** 2 / 2).alias("distance")), k)
+    return or_exact(near, queries, references, k, "cosine")
 
 
 def knn_per_aspect(queries: DataFrame, references: DataFrame, annotated: DataFrame, k: int = 5, metric: str = "cosine", rows: int = BLOCK) -> DataFrame:

@@ -31,13 +31,16 @@ def dedupe_sequences(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def upsert_fill(old: DataFrame, new: DataFrame, key: str, fill: list[str], overwrite: list[str]) -> DataFrame:
-    """Old rows take new values where theirs are null or blank, `overwrite` columns always do; unknown keys are inserted. `change` says what happened."""
+    """Old rows take new values where theirs are null or blank, `overwrite` columns always do; unknown keys are inserted. `change` says what happened.
+
+    A row that nothing is offered for stays as it is, blanks too.
+    """
     o, n = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
     both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
 
     def kept(c: str) -> Column:
         blank = F.nullif(F.col(f"o.{c}"), F.lit("")) if dict(old.dtypes)[c] == "string" else F.col(f"o.{c}")
-        return F.coalesce(blank, F.col(f"n.{c}"))
+        return F.when(F.col("n._new"), F.coalesce(blank, F.col(f"n.{c}"))).otherwise(F.col(f"o.{c}"))
 
     values = {c: kept(c) for c in fill} | {c: F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in overwrite}
     changed = reduce(lambda x, y: x | y, [~v.eqNullSafe(F.col(f"o.{c}")) for c, v in values.items()])
@@ -72,6 +75,19 @@ def delete_set(rows: DataFrame, key: str, value, users: DataFrame | None = None)
     return rows.join(gone, key, "left_anti"), doomed.agg(F.count(F.lit(1)).alias("deleted"))
 
 
+def vacuum(rows: DataFrame, key: str, *users: tuple[DataFrame, str]) -> tuple[DataFrame, DataFrame]:
+    """(what stays, what goes): rows go whose key none of the (user table, key) pairs refers to."""
+    used = reduce(lambda a, b: a.union(b), [user.select(F.col(k).alias(key)) for user, k in users]).distinct()
+    return rows.join(used, key, "left_semi"), rows.join(used, key, "left_anti")
+
+
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that occur more than once; an upload is rejected unless this is empty."""
+    """Keys that occur more than once."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def reject_duplicates(df: DataFrame, key: str) -> DataFrame:
+    """df, unless a key occurs twice: then the upload is rejected with an error that names some of the keys."""
+    if twice := [str(r[key]) for r in duplicate_keys(df, key).orderBy(key).limit(5).collect()]:
+        raise ValueError(f"{key} occurs more than once: {', '.join(twice)}")
+    return df

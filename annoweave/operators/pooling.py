@@ -22,6 +22,20 @@ def aggregate_layers(layers: Column, how: str = "mean") -> Column:
     raise ValueError(f"unknown aggregation {how}")
 
 
+def pool_layers(layers: DataFrame, how: str = "mean") -> DataFrame:
+    """(sequence_id, embedding) from (sequence_id, layer, vector) with any number of layers: the mean, or the shallowest asked for ("last").
+
+    Nothing is gathered by sequence: means are partial sums by dimension, the other is a running choice.
+    """
+    if how == "last":
+        return layers.groupBy("sequence_id").agg(F.min_by("vector", "layer").alias("embedding"))
+    if how != "mean":
+        raise ValueError(f"unknown aggregation {how}")
+    cells = layers.select("sequence_id", F.posexplode("vector").alias("dim", "x")).groupBy("sequence_id", "dim").agg(F.avg("x").alias("x"))
+    listed = cells.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("cells"))  # one a dimension
+    return listed.select("sequence_id", F.transform("cells", lambda c: c["x"]).alias("embedding"))
+
+
 def pool_chunks(residues: DataFrame, how: str = "mean", size: int = 512, overlap: int = 0, normalize: bool = False) -> DataFrame:
     """(sequence_id, chunk_start, chunk_end, embedding) from (sequence_id, position, vector), positions from 0.
 

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def protein_stats(proteins: DataFrame, annotations: DataFrame, embedded: DataFrame) -> DataFrame:
-    """One row: totals; a null `reviewed` counts as unreviewed."""
+def protein_stats(proteins: DataFrame, annotations: DataFrame, embedded: DataFrame, metadata: DataFrame) -> DataFrame:
+    """One row: totals; a null `reviewed` counts as unreviewed. Metadata belong to canonical accessions, all proteins of one have them."""
     base = proteins.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("is_canonical").alias("canonical"), F.count_if(F.coalesce("reviewed", F.lit(False))).alias("reviewed"), F.countDistinct("canonical_accession").alias("families")
     )
     annotated = annotations.join(proteins.select(F.col("accession").alias("protein")), "protein", "left_semi").agg(F.countDistinct("protein").alias("with_annotation"))
     vectors = embedded.agg(F.countDistinct("accession").alias("with_embedding"))
-    out = base.crossJoin(annotated).crossJoin(vectors)
+    described = proteins.join(metadata.select("canonical_accession"), "canonical_accession", "left_semi").agg(F.countDistinct("accession").alias("with_metadata"))
+    out = base.crossJoin(annotated).crossJoin(vectors).crossJoin(described)  # one row each
     return out.withColumns({"isoforms": F.col("total") - F.col("canonical"), "unreviewed": F.col("total") - F.col("reviewed")})
 
 
@@ -57,8 +58,10 @@ def pair_overlap(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("matches"), F.round(100 * F.avg(F.coalesce("hit", F.lit(0))), 4).alias("percent"))
 
 
-def protein_detail(proteins: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Canonical proteins with their annotation count and isoforms in order of index."""
+def protein_detail(proteins: DataFrame, annotations: DataFrame, metadata: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Canonical proteins with their own and their metadata columns, counts of annotations and embeddings, and isoforms in order of index."""
     counts = annotations.groupBy(F.col("protein").alias("accession")).agg(F.count(F.lit(1)).alias("n_annotations"))
+    vectors = embeddings.groupBy("accession").agg(F.count(F.lit(1)).alias("n_embeddings"))
     isoforms = proteins.filter("not is_canonical").groupBy(F.col("canonical_accession").alias("accession")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("isoform_index", F.col("accession").alias("a")))), lambda s: s["a"]), ",").alias("isoforms"))
-    return proteins.filter("is_canonical").join(counts, "accession", "left").join(isoforms, "accession", "left").select("accession", F.coalesce("n_annotations", F.lit(0)).alias("n_annotations"), F.coalesce("isoforms", F.lit("")).alias("isoforms"))
+    joined = proteins.filter("is_canonical").join(metadata, "canonical_accession", "left").join(counts, "accession", "left").join(vectors, "accession", "left").join(isoforms, "accession", "left")
+    return joined.drop("canonical_accession", "is_canonical", "isoform_index").na.fill({"n_annotations": 0, "n_embeddings": 0, "isoforms": ""})

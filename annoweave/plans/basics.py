@@ -50,10 +50,9 @@ def not_negated(b: Bound):
     return b.annotation.filter(evidence.not_negated(F.col("qualifier"))).select("line_order", "line_number", "qualifier")
 
 
-@query("evidence_weight", f"SELECT line_order, line_number, {evidence.weight_in_sql('evidence_code')} AS weight, CASE evidence_code WHEN 'IEA' THEN CAST(0.25 AS DOUBLE) ELSE {evidence.weight_in_sql('evidence_code')} END AS overridden FROM v_annotation WHERE evidence_code IS NULL OR evidence_code <> 'ECO:0000501'")
+@query("evidence_weight", f"SELECT line_order, line_number, {evidence.weight_in_sql('evidence_code')} AS weight, CASE WHEN evidence_code IN ('IEA', 'ECO:0000501') THEN CAST(0.25 AS DOUBLE) ELSE {evidence.weight_in_sql('evidence_code')} END AS overridden FROM v_annotation")
 def evidence_weight(b: Bound):
-    own = b.annotation.filter("evidence_code is null or evidence_code <> 'ECO:0000501'")
-    return own.select("line_order", "line_number", evidence.weight(F.col("evidence_code")).alias("weight"), evidence.weight(F.col("evidence_code"), {"IEA": 0.25}).alias("overridden"))
+    return b.annotation.select("line_order", "line_number", evidence.weight(F.col("evidence_code")).alias("weight"), evidence.weight(F.col("evidence_code"), {"IEA": 0.25}).alias("overridden"))
 
 
 @query("blank_to_null", "SELECT doc_id, nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE concat(' ', lang, ' ') END), '') AS lang FROM documents")
@@ -78,10 +77,10 @@ def dist_score(b: Bound):
     return b.prediction.select("protein", "go_id", F.round(scalars.distance_score(F.col("distance"), "half"), ROUND).alias("half"), F.round(scalars.distance_score(F.col("distance"), "full"), ROUND).alias("full_score"))
 
 
-@query("clean_residues", "SELECT sequence_id, trim(regexp_replace(substr(regexp_replace(replace(sequence, chr(10), ''), '[UZOB]', 'X', 'g'), 1, 50), '(.)', '\\1 ', 'g')) AS residues FROM v_sequence WHERE sequence NOT LIKE '% ' ")
+@query("clean_residues", "SELECT sequence_id, rtrim(regexp_replace(substr(regexp_replace(replace(sequence, chr(10), ''), '[UZOB]', 'X', 'g'), 1, 1022), '(.)', '\\1 ', 'g')) AS residues FROM v_sequence")
 def clean_residues(b: Bound):
-    own = b.sequence.filter("sequence not like '% '")
-    return own.select("sequence_id", F.trim(scalars.clean_residues(F.replace("sequence", F.lit("\n"), F.lit("")), 50)).alias("residues"))
+    """Residues of whole texts, as many as a model takes (1022)."""
+    return b.sequence.select("sequence_id", F.rtrim(scalars.clean_residues(F.replace("sequence", F.lit("\n"), F.lit("")), 1022)).alias("residues"))
 
 
 @query("chunk_spans", "SELECT doc_id, s AS chunk_start, least(s + 512, n_chars) AS chunk_end FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars, 448)) AS s FROM documents)")
@@ -152,11 +151,12 @@ def protein_metadata(b: Bound):
     return b.protein.join(metadata, "canonical_accession", "left").select("accession", "lang", "source", "n_chars")
 
 
-@query("protein_annotations", "SELECT a.line_order, a.line_number, a.protein, t.aspect, t.name, CASE WHEN a.in_old THEN 't0' ELSE 't1' END AS set_name, a.evidence_code FROM v_annotation a JOIN v_term t ON a.go_id = t.go_id WHERE a.protein IN ('P1', 'P2', 'P3', 'P14')")
+@query("protein_annotations", "SELECT a.line_order, a.line_number, a.protein, t.aspect, t.name, CASE WHEN a.in_old THEN 't0' ELSE 't1' END AS set_name, a.evidence_code FROM v_annotation a JOIN v_term t ON a.go_id = t.go_id")
 def protein_annotations(b: Bound):
+    """The annotations of every protein with their terms and sets."""
     sets = b.spark.createDataFrame([(True, "t0"), (False, "t1")], "in_old boolean, set_name string")
-    own = b.annotation.filter(F.col("protein").isin("P1", "P2", "P3", "P14")).drop("aspect")
-    return own.join(b.term.select("go_id", "aspect", "name"), "go_id").join(F.broadcast(sets), "in_old").select("line_order", "line_number", "protein", "aspect", "name", "set_name", "evidence_code").orderBy("protein", "aspect", "name")
+    own = b.annotation.drop("aspect").join(b.term.select("go_id", "aspect", "name"), "go_id").join(F.broadcast(sets), "in_old")
+    return own.select("line_order", "line_number", "protein", "aspect", "name", "set_name", "evidence_code").orderBy("protein", "aspect", "name")
 
 
 @query("set_counts", "SELECT n_nationkey, n_name, coalesce(c, 0) AS n_customers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_acctbal > 5000 GROUP BY 1) x ON c_nationkey = n_nationkey")
@@ -208,10 +208,11 @@ def prediction_set_list(b: Bound):
     "protein_stats",
     """SELECT count(*) AS total, sum(CASE WHEN is_canonical THEN 1 ELSE 0 END) AS canonical, sum(CASE WHEN reviewed THEN 1 ELSE 0 END) AS reviewed, count(DISTINCT canonical_accession) AS families,
  sum(CASE WHEN NOT is_canonical THEN 1 ELSE 0 END) AS isoforms, sum(CASE WHEN reviewed THEN 0 ELSE 1 END) AS unreviewed,
- (SELECT count(DISTINCT protein) FROM v_annotation WHERE protein IN (SELECT accession FROM v_protein)) AS with_annotation, (SELECT count(DISTINCT accession) FROM v_protein WHERE idx % 2 = 0) AS with_embedding FROM v_protein""",
+ (SELECT count(DISTINCT protein) FROM v_annotation WHERE protein IN (SELECT accession FROM v_protein)) AS with_annotation, (SELECT count(DISTINCT accession) FROM v_protein WHERE idx % 2 = 0) AS with_embedding,
+ (SELECT count(DISTINCT accession) FROM v_protein WHERE canonical_accession IN (SELECT canonical_accession FROM v_metadata)) AS with_metadata FROM v_protein""",
 )
 def protein_stats(b: Bound):
-    return summaries.protein_stats(b.protein, b.annotation, b.protein.filter("idx % 2 = 0"))
+    return summaries.protein_stats(b.protein, b.annotation, b.protein.filter("idx % 2 = 0"), b.view("v_metadata"))
 
 
 @query("group_counts", "SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
@@ -302,9 +303,16 @@ def prediction_set_detail(b: Bound):
     return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("total"))))
 
 
-@query("protein_detail", "SELECT p.accession, coalesce(n, 0) AS n_annotations, coalesce(i.isoforms, '') AS isoforms FROM v_protein p LEFT JOIN (SELECT protein, count(*) AS n FROM v_annotation GROUP BY 1) a ON a.protein = p.accession LEFT JOIN (SELECT canonical_accession, string_agg(accession, ',' ORDER BY isoform_index) AS isoforms FROM v_protein WHERE NOT is_canonical GROUP BY 1) i ON i.canonical_accession = p.accession WHERE p.is_canonical")
+@query(
+    "protein_detail",
+    """SELECT p.accession, p.entry_name, p.organism, p.gene_name, m.lang, m.source, m.n_chars, coalesce(n, 0) AS n_annotations, coalesce(e.n_embeddings, 0) AS n_embeddings, coalesce(i.isoforms, '') AS isoforms FROM v_protein p
+ LEFT JOIN v_metadata m ON m.canonical_accession = p.canonical_accession LEFT JOIN (SELECT protein, count(*) AS n FROM v_annotation GROUP BY 1) a ON a.protein = p.accession
+ LEFT JOIN (SELECT vec_id AS idx, count(*) AS n_embeddings FROM embeddings GROUP BY 1) e ON e.idx = p.idx
+ LEFT JOIN (SELECT canonical_accession, string_agg(accession, ',' ORDER BY isoform_index) AS isoforms FROM v_protein WHERE NOT is_canonical GROUP BY 1) i ON i.canonical_accession = p.accession WHERE p.is_canonical""",
+)
 def protein_detail(b: Bound):
-    return summaries.protein_detail(b.protein, b.annotation)
+    vectors = b.table("embeddings").select(F.concat(F.lit("P"), "vec_id").alias("accession"))
+    return summaries.protein_detail(b.protein.select("accession", "canonical_accession", "is_canonical", "isoform_index", "entry_name", "organism", "gene_name"), b.annotation, b.view("v_metadata"), vectors)
 
 
 # -- ranking, sorting, paging
@@ -342,10 +350,11 @@ def page(b: Bound):
     return relational.page(b.table("customer").select("c_custkey", "c_name", "c_acctbal"), [F.desc("c_acctbal"), "c_custkey"], 100, 50)
 
 
-@query("protein_predictions", "SELECT p.protein, p.go_id, t.name, round(p.distance, 4) AS distance FROM v_prediction p JOIN v_term t ON t.go_id = p.go_id WHERE p.protein IN ('P10', 'P20')")
+@query("protein_predictions", "SELECT p.protein, p.go_id, t.name, round(p.distance, 4) AS distance FROM v_prediction p JOIN v_term t ON t.go_id = p.go_id")
 def protein_predictions(b: Bound):
-    own = b.prediction.filter(F.col("protein").isin("P10", "P20"))
-    return relational.with_term(own, b.term, "name").orderBy("distance", "go_id").select("protein", "go_id", "name", F.round("distance", 4).alias("distance"))
+    """The predictions of every protein, nearest first."""
+    own = relational.with_term(b.prediction, b.term, "name")
+    return own.select("protein", "go_id", "name", F.round("distance", 4).alias("distance")).orderBy("protein", "distance", "go_id")
 
 
 @query("score_sort", f"SELECT protein, go_id, round((0.2 * (1 - distance / 2) + 0.8 * {evidence.weight_in_sql('evidence_code')}), 6) AS score FROM v_prediction ORDER BY score DESC")

@@ -7,7 +7,6 @@ those that a query names in front of it as common table expressions.
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from functools import cached_property
 
@@ -18,14 +17,16 @@ from ..functions import evidence
 from ..operators import evaluation, graph, knn, transfer
 from ..operators.graph import checkpointed
 
+# `since` is the first release (0 to 3) that knows a line: by its date, later for every fifth protein and for one namespace of another fifth.
 _ANNOTATION = """
 SELECT concat('P', l_orderkey % n) AS protein, t.go_id, t.aspect, t.t,
        CASE WHEN l_quantity >= 49 THEN 'NOT|involved_in' WHEN l_linestatus = 'O' THEN 'enables' END AS qualifier,
        CASE l_linenumber WHEN 1 THEN 'IDA' WHEN 2 THEN 'IEA' WHEN 3 THEN 'ECO:0000314' WHEN 4 THEN 'ISS' WHEN 5 THEN 'IMP' WHEN 6 THEN 'ECO:0000501' END AS evidence_code,
        l_orderkey AS line_order, l_linenumber AS line_number, l_orderkey % n AS idx,
-       l_shipdate < CAST('1999-01-01' AS TIMESTAMP) AND (l_orderkey % n) % 5 <> 0 AND NOT ((l_orderkey % n) % 5 = 1 AND t.aspect = 'C') AS in_old
-FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM embeddings) c JOIN v_term t ON t.t = CAST(floor(l_partkey / 5) AS BIGINT) % 400
-WHERE l_partkey % 5 = 0
+       l_shipdate < CAST('1999-01-01' AS TIMESTAMP) AND (l_orderkey % n) % 5 <> 0 AND NOT ((l_orderkey % n) % 5 = 1 AND t.aspect = 'C') AS in_old,
+       CAST(greatest(CASE WHEN l_shipdate < CAST('1997-01-01' AS TIMESTAMP) THEN 0 WHEN l_shipdate < CAST('1999-01-01' AS TIMESTAMP) THEN 1 WHEN l_shipdate < CAST('2000-06-01' AS TIMESTAMP) THEN 2 ELSE 3 END,
+                     CASE WHEN (l_orderkey % n) % 5 = 0 THEN 1 + floor((l_orderkey % n) / 5) % 3 WHEN (l_orderkey % n) % 5 = 1 AND t.aspect = 'C' THEN 1 + floor((l_orderkey % n) / 5) % 3 ELSE 0 END) AS INT) AS since
+FROM lineitem CROSS JOIN (SELECT count(*) AS n FROM embeddings) c JOIN v_term t ON t.t = l_partkey
 """
 
 VIEWS = {
@@ -40,7 +41,7 @@ FROM embeddings""",
     "v_term": """
 SELECT t, concat('GO:', lpad(CAST(t AS STRING), 7, '0')) AS go_id, concat('term ', t) AS name,
        CASE t % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'P' ELSE 'C' END AS aspect, t % 97 = 0 AS is_obsolete
-FROM (SELECT DISTINCT CAST(floor(l_partkey / 5) AS BIGINT) % 400 AS t FROM lineitem WHERE l_partkey % 5 = 0 UNION SELECT DISTINCT l_orderkey % 400 FROM lineitem) x""",
+FROM (SELECT p_partkey AS t FROM part) x""",
     "v_edge": """
 SELECT concat('GO:', lpad(CAST(child AS STRING), 7, '0')) AS child, concat('GO:', lpad(CAST(parent AS STRING), 7, '0')) AS parent, relation_type FROM (
   SELECT t AS child, 3 * CAST(floor(floor(t / 3) / 2) AS BIGINT) + t % 3 AS parent, 'is_a' AS relation_type FROM v_term WHERE t >= 3
@@ -49,6 +50,7 @@ SELECT concat('GO:', lpad(CAST(child AS STRING), 7, '0')) AS child, concat('GO:'
     "v_annotation": _ANNOTATION,
     "v_old": "SELECT * FROM v_annotation WHERE in_old",
     "v_lineage": "SELECT CAST(n_nationkey + 1000 AS INT) AS taxonomy_id, CAST(n_regionkey AS INT) AS region FROM nation",
+    "v_metadata": "SELECT concat('P', doc_id) AS canonical_accession, lang, source, n_chars FROM documents WHERE doc_id % 3 <> 1",
     "v_sequence": "SELECT doc_id AS sequence_id, text AS sequence, md5(text) AS sequence_hash, source FROM documents",
 }
 
@@ -60,7 +62,7 @@ SELECT query, rank, ref, distance FROM (
     SELECT concat('P', q.vec_id) AS query, concat('P', r.vec_id) AS ref,
            1 - list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) /
              ((sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) + 1e-9) * (sqrt(list_inner_product(CAST(r.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[]))) + 1e-9)) AS distance
-    FROM embeddings q JOIN embeddings r ON q.vec_id % 10 = 0 AND r.vec_id % 10 <> 0)) WHERE rank <= 5""",
+    FROM embeddings q JOIN embeddings r ON q.vec_id % 10 = 0)) WHERE rank <= 5""",
     "v_hit": """
 SELECT n.query, n.rank, n.ref, n.distance, a.go_id, a.aspect, a.qualifier, a.evidence_code
 FROM v_neighbour n JOIN v_old a ON a.protein = n.ref WHERE a.qualifier IS NULL OR a.qualifier NOT LIKE '%NOT%'""",
@@ -87,6 +89,13 @@ SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM v_old_exp o WHERE o.protein = n.prote
        n.protein, n.aspect, n.go_id
 FROM (SELECT * FROM v_new_exp EXCEPT SELECT * FROM v_old_exp) n""",
 }
+for _r in range(4):
+    SQL_ONLY[f"v_neg{_r}"] = f"""
+SELECT DISTINCT protein, go_id FROM v_annotation WHERE since <= {_r} AND qualifier LIKE '%NOT%'
+UNION SELECT DISTINCT a.protein, c.descendant FROM v_annotation a JOIN v_closure c ON c.ancestor = a.go_id WHERE a.since <= {_r} AND a.qualifier LIKE '%NOT%'"""
+    SQL_ONLY[f"v_exp{_r}"] = f"""
+SELECT DISTINCT protein, aspect, go_id FROM v_annotation a WHERE since <= {_r} AND {evidence.experimental_in_sql("evidence_code")} AND (qualifier IS NULL OR qualifier NOT LIKE '%NOT%')
+  AND NOT EXISTS (SELECT 1 FROM v_neg{_r} n WHERE n.protein = a.protein AND n.go_id = a.go_id)"""
 _ALL = VIEWS | SQL_ONLY
 
 
@@ -152,11 +161,12 @@ class Bound:
 
     @property
     def references(self) -> DataFrame:
-        return self.vectors.filter("vec_id % 10 != 0").drop("vec_id")
+        """All vectors, those of the queries too."""
+        return self.vectors.drop("vec_id")
 
     @cached_property
     def neighbours(self) -> DataFrame:
-        return knn.knn_exact(self.queries, self.references, 5)
+        return checkpointed(knn.knn_exact(self.queries, self.references, 5))
 
     @cached_property
     def old_labels(self) -> DataFrame:
@@ -176,7 +186,7 @@ class Bound:
 
     @cached_property
     def negatives(self) -> DataFrame:
-        return checkpointed(graph.negative_keys(self.annotation, self.edge))
+        return checkpointed(graph.negative_keys(self.annotation, self.edge, self.closure))
 
     @cached_property
     def new_exp(self) -> DataFrame:
@@ -190,14 +200,28 @@ class Bound:
     def truth(self) -> DataFrame:
         return checkpointed(evaluation.ground_truth(self.old_exp, self.new_exp))
 
+    def release(self, r: int) -> DataFrame:
+        """The annotations that release r knows."""
+        return self.annotation.filter(F.col("since") <= r)
+
+    @cached_property
+    def releases(self) -> tuple[str, ...]:
+        return ("r0", "r1", "r2", "r3")
+
+    def release_exp(self, name: str) -> DataFrame:
+        """Experimental terms of a release, by namespace."""
+        if name not in self._views:
+            own = self.release(self.releases.index(name))
+            self._views[name] = checkpointed(evaluation.experimental_by_namespace(own, graph.negative_keys(own, self.edge, self.closure)))
+        return self._views[name]
+
     @cached_property
     def lineage(self) -> DataFrame:
         return self.view("v_lineage").select("taxonomy_id", F.array(F.lit(1), F.col("region") + 100, F.col("taxonomy_id")).alias("lineage"))
 
     def folder(self, name: str) -> str:
-        """A new folder below spark.checkpoint.dir, for files that a query writes and reads; a temporary one only where that is unset."""
-        root = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-files-")
-        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        """A new folder below the shared one, for files that a query writes and reads."""
+        return f"{graph.shared_folder(self.spark, 'files')}/{name}-{uuid.uuid4().hex}"
 
     def text_file(self, name: str, lines: DataFrame) -> str:
         """Writes a one-column DataFrame as text and returns its folder."""

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.scoring import PRESETS
 from ..operators import evaluation, graph, knn, maintenance, reranker, transfer
+from ..operators.relational import labelled
 from ..sources import readers, sinks
 from ..streaming import ingest
 from .bindings import Bound
 from .registry import query
-from .transfers import _EV, _FEATURES, _SIM
+from .transfers import _EV, _FEATURES, _SCORED, _SIM, curve_sql, fmax_sql, scored
 
 TAB = "\t"
 
@@ -26,11 +27,11 @@ def tabbed(df: DataFrame, *columns) -> DataFrame:
 
 # -- sources
 
-_SEQ = "upper(regexp_replace(substr({t}, 1, 200), '[^A-Za-z]', '', 'g'))"
+_SEQ = "upper(regexp_replace({t}, '[^A-Za-z]', '', 'g'))"
 
 
 def fasta_records(b: Bound) -> DataFrame:
-    sequence = F.upper(F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z]", ""))
+    sequence = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     docs = b.table("documents").select(F.col("doc_id").alias("idx"), sequence.alias("sequence"))
     return b.protein.join(docs, "idx")
 
@@ -142,11 +143,15 @@ def read_pairs(b: Bound):
     return readers.read_pairs(b.spark, b.text_file("pairs", tabbed(b.annotation, "protein", "go_id", F.lit("0.5"))))
 
 
-@query("read_pannzer2", "SELECT protein, go_id, max(CASE WHEN line_number = 4 THEN 1 ELSE line_number / 10.0 END)::DOUBLE AS score FROM v_annotation WHERE line_number <> 2 GROUP BY 1, 2")
-def read_pannzer2(b: Bound):
+def pannzer_file(b: Bound) -> str:
     kind = F.when(F.col("line_number") == 2, "BP_PANZ").otherwise("BP_ARGOT")
     ppv = F.when(F.col("line_number") == 4, "n/a").otherwise((F.col("line_number") / 10).cast("string"))
-    return readers.read_pannzer2(b.spark, b.text_file("pannzer2", tabbed(b.annotation, "protein", kind, F.lit("9"), ppv, "go_id", F.lit("d"))))
+    return b.text_file("pannzer2", tabbed(b.annotation, "protein", kind, F.lit("9"), ppv, "go_id", F.lit("d")))
+
+
+@query("read_pannzer2", "SELECT protein, go_id, max(CASE WHEN line_number = 4 THEN 1 ELSE line_number / 10.0 END)::DOUBLE AS score FROM v_annotation WHERE line_number <> 2 GROUP BY 1, 2")
+def read_pannzer2(b: Bound):
+    return readers.read_pannzer2(b.spark, pannzer_file(b))
 
 
 @query("read_training_tsv", "SELECT CAST(protein AS STRING) AS protein, go_id, CASE WHEN line_number = 3 THEN NULL ELSE CAST(line_number AS DOUBLE) END AS distance, qualifier, CASE WHEN line_number = 5 THEN 0 ELSE CAST(line_number % 2 AS INT) END AS label FROM v_annotation")
@@ -185,7 +190,9 @@ def export_cafa(b: Bound):
 
 @query("export_scored", f"SELECT protein, go_id, aspect, round((0.2 * {_SIM} + 0.8 * {_EV}), 6) AS score FROM v_prediction WHERE round((0.2 * {_SIM} + 0.8 * {_EV}), 6) >= 0.5")
 def export_scored(b: Bound):
-    return sinks.scored_rows(b.prediction, PRESETS[4], 0.5)
+    path = b.folder("scored")
+    sinks.write_tsv(sinks.scored_rows(b.prediction, PRESETS[4], 0.5), path)
+    return b.spark.read.csv(path, sep=TAB, header=True, schema="protein string, go_id string, aspect string, score double")
 
 
 @query("export_training", f"SELECT f.protein, f.go_id, f.vote_count, f.k_position, CASE WHEN t.go_id IS NULL THEN 0 ELSE 1 END AS label FROM ({_FEATURES}) f LEFT JOIN (SELECT DISTINCT protein, go_id FROM v_truth WHERE category = 'LK') t ON t.protein = f.protein AND t.go_id = f.go_id")
@@ -194,8 +201,6 @@ def export_training(b: Bound):
 
 
 def training(b: Bound, category: str) -> DataFrame:
-    from ..operators.relational import labelled
-
     return labelled(transfer.reranker_features(b.neighbours, b.old_labels), b.truth.filter(F.col("category") == category))
 
 
@@ -213,12 +218,30 @@ def export_gt(b: Bound):
 )
 def export_delta_fasta(b: Bound):
     proteins = b.protein.withColumn("sequence", F.concat(F.md5("accession"), F.md5("organism")))
-    return sinks.delta_fasta(b.truth, proteins)
+    path = b.folder("delta-fasta")
+    sinks.write_fasta(sinks.delta_fasta(b.truth, proteins), path)
+    records = b.spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>|\n$", "").alias("r")).filter("r != ''")
+    return records.select(F.split("r", " ")[0].alias("accession"), F.concat(F.lit(">"), "r").alias("record"))
+
+
+_METRICS = " UNION ALL ".join(
+    f"SELECT '{c}' AS category, '{a}' AS aspect, fmax, threshold_at_fmax, auc_pr FROM ({fmax_sql(curve_sql(f'SELECT * FROM ({_SCORED}) WHERE aspect = {a!r}', f'SELECT protein, go_id FROM v_truth WHERE category = {c!r} AND aspect = {a!r}'))})"
+    for c in ("NK", "LK", "PK") for a in ("P", "F", "C")
+)
 
 
-@query("export_metrics", "SELECT category, aspect, count(DISTINCT protein) AS proteins, count(*) AS fmax FROM v_truth GROUP BY 1, 2")
+@query("export_metrics", _METRICS)
 def export_metrics(b: Bound):
-    return sinks.metric_rows(b.truth.groupBy("category", "aspect").agg(F.countDistinct("protein").alias("proteins"), F.count(F.lit(1)).alias("fmax")))
+    """Fmax, its threshold and the area of each category and namespace, as a file."""
+    out, own = None, graph.checkpointed(scored(b))
+    for category in sinks.CATEGORY_ORDER:
+        for aspect in sinks.ASPECT_ORDER:
+            truth = b.truth.filter((F.col("category") == category) & (F.col("aspect") == aspect))
+            found = evaluation.fmax(evaluation.pr_curve(own.filter(F.col("aspect") == aspect), truth)).select(F.lit(category).alias("category"), F.lit(aspect).alias("aspect"), "fmax", "threshold_at_fmax", "auc_pr")
+            out = found if out is None else out.unionByName(found)
+    path = b.folder("metrics")
+    sinks.write_tsv(sinks.metric_rows(out), path)
+    return b.spark.read.csv(path, sep=TAB, header=True, schema="category string, aspect string, fmax double, threshold_at_fmax double, auc_pr double")
 
 
 @query("split_store", "SELECT category, aspect AS split, count(*) AS n FROM v_truth GROUP BY 1, 2")
@@ -265,15 +288,14 @@ _NEW = "(SELECT accession, 'new gene' AS gene_name, 'new entry' AS entry_name, i
 
 @query(
     "upsert_fill",
-    f"""SELECT accession, gene_name, entry_name, is_canonical, CASE WHEN inserted THEN 'inserted' WHEN offered AND (gene_name IS DISTINCT FROM og OR entry_name IS DISTINCT FROM oe OR is_canonical IS DISTINCT FROM oc) THEN 'updated' ELSE 'kept' END AS change FROM (
- SELECT coalesce(o.accession, n.accession) AS accession, coalesce(nullif(o.gene_name, ''), n.gene_name) AS gene_name, coalesce(nullif(o.entry_name, ''), n.entry_name) AS entry_name, CASE WHEN n.accession IS NOT NULL THEN n.is_canonical ELSE o.is_canonical END AS is_canonical,
-  o.accession IS NULL AS inserted, n.accession IS NOT NULL AS offered, o.gene_name AS og, o.entry_name AS oe, o.is_canonical AS oc FROM {_OLD} o FULL JOIN {_NEW} n ON o.accession = n.accession)""",
+    f"""SELECT accession, 'new gene' AS gene_name, 'new entry' AS entry_name, is_canonical, 'inserted' AS change FROM {_NEW} WHERE accession NOT IN (SELECT accession FROM {_OLD})
+ UNION ALL SELECT *, 'kept' FROM {_OLD} WHERE accession NOT IN (SELECT accession FROM {_NEW})
+ UNION ALL SELECT o.accession, CASE WHEN o.gene_name IS NULL OR o.gene_name = '' THEN n.gene_name ELSE o.gene_name END, CASE WHEN o.entry_name IS NULL OR o.entry_name = '' THEN n.entry_name ELSE o.entry_name END, n.is_canonical,
+  CASE WHEN o.gene_name IS NULL OR o.gene_name = '' OR o.entry_name IS NULL OR o.entry_name = '' OR NOT n.is_canonical THEN 'updated' ELSE 'kept' END FROM {_OLD} o JOIN {_NEW} n ON o.accession = n.accession""",
 )
 def upsert_fill(b: Bound):
     old, new = versions(b)
-    found = maintenance.upsert_fill(old, new, "accession", ["gene_name", "entry_name"], ["is_canonical"])
-    blank_kept = F.when(F.col("gene_name").isNull() & (F.col("change") == "kept"), None).otherwise(F.col("gene_name"))
-    return found.withColumn("gene_name", blank_kept)
+    return maintenance.upsert_fill(old, new, "accession", ["gene_name", "entry_name"], ["is_canonical"])
 
 
 @query(
@@ -310,13 +332,23 @@ def delete_set(b: Bound):
 
 @query("vacuum", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) OR doc_id IN (SELECT doc_id FROM labels)")
 def vacuum(b: Bound):
-    used = b.table("embeddings").select(F.col("vec_id").alias("doc_id")).union(b.table("labels").select("doc_id")).distinct()
-    return b.table("documents").select("doc_id").join(used, "doc_id", "left_semi")
+    """Documents that neither an embedding nor a label refers to go."""
+    stays, _ = maintenance.vacuum(b.table("documents").select("doc_id"), "doc_id", (b.table("embeddings"), "vec_id"), (b.table("labels"), "doc_id"))
+    return stays
 
 
-@query("reject_duplicates", "SELECT sequence_hash, count(*) AS n FROM v_sequence GROUP BY 1 HAVING count(*) > 1")
+@query("reject_duplicates", "SELECT sequence_hash, count(*) AS n, TRUE AS rejected FROM v_sequence GROUP BY 1 HAVING count(*) > 1")
 def reject_duplicates(b: Bound):
-    return maintenance.duplicate_keys(b.sequence, "sequence_hash")
+    """Hashes that occur twice, and whether an upload of them is rejected; one without them goes through."""
+    twice = maintenance.duplicate_keys(b.sequence, "sequence_hash")
+    try:
+        maintenance.reject_duplicates(b.sequence, "sequence_hash")
+        rejected = False
+    except ValueError:
+        rejected = True
+    once = b.sequence.join(twice, "sequence_hash", "left_anti")
+    assert maintenance.reject_duplicates(once, "sequence_hash") is once
+    return twice.withColumn("rejected", F.lit(rejected))
 
 
 # -- re-ranker
@@ -341,7 +373,7 @@ def stratified_split(b: Bound):
     return reranker.stratified_split(labels(b), ["doc_id"])
 
 
-@query("neg_sample", f"SELECT doc_id, label, is_val FROM (SELECT *, row_number() OVER (PARTITION BY is_val, label ORDER BY {_ORDER}) AS n, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY is_val) AS pos FROM ({_SPLIT})) WHERE label = 1 OR n <= floor(pos * 2.0)")
+@query("neg_sample", f"SELECT doc_id, label, is_val FROM (SELECT *, row_number() OVER (PARTITION BY is_val, label ORDER BY {_ORDER}) AS n, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY is_val) AS pos FROM ({_SPLIT})) WHERE label = 1 OR n <= greatest(1, floor(pos * 2.0))")
 def neg_sample(b: Bound):
     return reranker.sample_negatives(reranker.stratified_split(labels(b), ["doc_id"]), ["doc_id"], 2.0).select("doc_id", "label", "is_val")
 
@@ -352,84 +384,127 @@ def ia_weights(b: Bound):
     return reranker.with_ia_weights(b.prediction.select("protein", "go_id"), ia).select("protein", "go_id", "weight")
 
 
-@query("train_aspect", "SELECT protein, go_id, aspect FROM v_truth WHERE aspect = 'C'")
-def train_aspect(b: Bound):
-    return b.truth.filter("aspect = 'C'").select("protein", "go_id", "aspect")
+def pair_truth(b: Bound, old: str, new: str) -> DataFrame:
+    return evaluation.ground_truth(b.release_exp(old), b.release_exp(new))
 
 
-@query("training_pairs", "SELECT protein, go_id, 't0-t1' AS split FROM v_truth UNION ALL SELECT protein, go_id, 't1-t2' FROM v_truth")
+def pair_rows(b: Bound, old: str, new: str, category: str | None = None) -> DataFrame:
+    """Labelled rows of one pair of releases: predictions from what the old one knows, true if the new one gained them."""
+    known = b.release(b.releases.index(old)).select("protein", "go_id", "aspect", "qualifier", "evidence_code")
+    truth = pair_truth(b, old, new)
+    truth = truth if category is None else truth.filter(F.col("category") == category)
+    rows = transfer.reranker_features(b.neighbours, known).join(evaluation.delta_proteins(truth), "protein", "left_semi")
+    return labelled(rows, truth)
+
+
+def _pair_sql(old: int, new: int) -> str:
+    hit = f"(SELECT n.query AS protein, a.go_id, n.rank FROM v_neighbour n JOIN v_annotation a ON a.protein = n.ref WHERE a.since <= {old} AND (a.qualifier IS NULL OR a.qualifier NOT LIKE '%NOT%'))"
+    gain = f"(SELECT DISTINCT protein, go_id FROM (SELECT * FROM v_exp{new} EXCEPT SELECT * FROM v_exp{old}))"
+    return f"""SELECT protein, go_id, count(*) AS vote_count, CAST(min(rank) AS INT) AS k_position, max(CASE WHEN (protein, go_id) IN (SELECT (protein, go_id) FROM {gain}) THEN 1 ELSE 0 END) AS label, 'r{old}-r{new}' AS split
+ FROM {hit} h WHERE protein IN (SELECT protein FROM {gain}) GROUP BY 1, 2"""
+
+
+@query("training_pairs", " UNION ALL ".join(_pair_sql(r, r + 1) for r in range(3)))
 def training_pairs(b: Bound):
-    pairs = reranker.temporal_pairs(["t0", "t1", "t2"], {"t0", "t1", "t2"})
-    return reranker.temporal_training_rows(pairs, lambda old, new: b.truth.select("protein", "go_id"))
+    """Rows of every pair of consecutive releases."""
+    pairs = reranker.temporal_pairs(list(b.releases), set(b.releases))
+    return reranker.temporal_training_rows(pairs, lambda old, new: pair_rows(b, old, new).select("protein", "go_id", "vote_count", "k_position", "label"))
 
 
 def prepared(b: Bound) -> DataFrame:
-    """Labelled training rows of all categories, split."""
-    from ..operators.relational import labelled
+    """Labelled training rows of all pairs but the last, split."""
+    pairs = reranker.temporal_pairs(list(b.releases[:-1]), set(b.releases))
+    rows = reranker.prepare_features(reranker.temporal_training_rows(pairs, lambda old, new: pair_rows(b, old, new)))
+    return graph.checkpointed(reranker.stratified_split(rows, ["split", "protein", "go_id"]))
+
 
-    rows = reranker.prepare_features(labelled(transfer.reranker_features(b.neighbours, b.old_labels), b.truth))
-    return graph.checkpointed(reranker.stratified_split(rows, ["protein", "go_id"]))
+ROUNDS = 20  # at most; fewer where the validation rows gain nothing more
 
 
 @query("train_reranker")
 def train_reranker(b: Bound):
-    model = reranker.train(prepared(b), rounds=5)
-    return b.spark.createDataFrame(reranker.importances(model), "feature string, importance double")
+    """The fitted model's validation metrics and the rounds that were kept."""
+    rows = prepared(b)
+    model = reranker.train(rows, rounds=ROUNDS, neg_pos_ratio=20.0, keys=("split", "protein", "go_id"))
+    found = reranker.validation_metrics(reranker.apply(model, rows.filter("is_val")))
+    return found.withColumn("rounds", F.lit(reranker.best_rounds(model)))
 
 
-@query("apply_reranker")
-def apply_reranker(b: Bound):
+@query("feature_importance")
+def feature_importance(b: Bound):
+    model = reranker.train(prepared(b), rounds=ROUNDS)
+    return b.spark.createDataFrame(reranker.importances(model), "feature string, importance double").filter("importance > 0").orderBy(F.desc("importance"))
+
+
+@query("train_aspect")
+def train_aspect(b: Bound):
+    """A model a namespace, each judged on its own validation rows."""
+    rows, out = prepared(b), None
+    for aspect, model in reranker.train_by_aspect(rows, rounds=ROUNDS).items():
+        found = reranker.validation_metrics(reranker.apply(model, rows.filter((F.col("aspect") == aspect) & F.col("is_val")))).withColumn("aspect", F.lit(aspect))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def saved_model(b: Bound, rows: DataFrame):
     from pyspark.ml import PipelineModel
 
-    rows, path = prepared(b), b.folder("model")
-    reranker.train(rows, rounds=5).write().overwrite().save(path)
-    return reranker.apply(PipelineModel.load(path), rows).select("protein", "go_id", "label", "is_val", F.round("reranker_score", 9).alias("reranker_score"))
+    path = b.folder("model")
+    reranker.train(rows, rounds=ROUNDS).write().overwrite().save(path)
+    return PipelineModel.load(path)
 
 
-@query("export_reranked")
-def export_reranked(b: Bound):
-    return apply_reranker(b).filter("reranker_score >= 0.01").orderBy("protein", F.desc("reranker_score"))
+@query("apply_reranker")
+def apply_reranker(b: Bound):
+    """A model that was saved and loaded scores the last pair of releases, which it hasn't seen."""
+    last = reranker.prepare_features(pair_rows(b, *b.releases[-2:]))
+    return reranker.apply(saved_model(b, prepared(b)), last).select("protein", "go_id", "label", F.round("reranker_score", 9).alias("reranker_score"))
 
 
-@query("feature_importance")
-def feature_importance(b: Bound):
-    return train_reranker(b).filter("importance > 0").orderBy(F.desc("importance"))
+@query("export_reranked")
+def export_reranked(b: Bound):
+    path = b.folder("reranked")
+    sinks.write_tsv(apply_reranker(b).filter("reranker_score >= 0.01").orderBy("protein", F.desc("reranker_score"), "go_id"), path)
+    return b.spark.read.csv(path, sep=TAB, header=True, schema="protein string, go_id string, label int, reranker_score double")
 
 
 @query(
     "val_metrics",
     """WITH s AS (SELECT label, CAST(doc_id % 100 AS DOUBLE) / 100 AS p FROM (SELECT doc_id, toxic AS label FROM labels)), c AS (SELECT count(*) AS n, avg(-(label * ln(greatest(1e-15, least(1 - 1e-15, p))) + (1 - label) * ln(1 - greatest(1e-15, least(1 - 1e-15, p))))) AS ll,
- sum(CASE WHEN p >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p >= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN p < 0.5 AND label = 1 THEN 1 ELSE 0 END) AS fn, avg(label) AS rate FROM s)
-SELECT n, round(ll, 6) AS log_loss, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(rate, 6) AS positive_rate FROM c""",
+ sum(CASE WHEN p >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p >= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN p < 0.5 AND label = 1 THEN 1 ELSE 0 END) AS fn, avg(label) AS rate FROM s),
+ u AS (SELECT avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) AS auc FROM s a JOIN s b ON a.label = 1 AND b.label = 0)
+SELECT n, round(ll, 6) AS log_loss, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(rate, 6) AS positive_rate, round(auc, 6) AS auc FROM c, u""",
 )
 def val_metrics(b: Bound):
-    scored = labels(b).withColumn("reranker_score", (F.col("doc_id") % 100).cast("double") / 100)
-    m = reranker.validation_metrics(scored)
-    return m.select("n", *[F.round(c, 6).alias(c) for c in ("log_loss", "precision", "recall", "f1", "positive_rate")])
+    """The metrics on scores that SQL knows too; train_reranker gives those of a fitted model."""
+    own = labels(b).withColumn("reranker_score", (F.col("doc_id") % 100).cast("double") / 100)
+    m = reranker.validation_metrics(own)
+    return m.select("n", *[F.round(c, 6).alias(c) for c in ("log_loss", "precision", "recall", "f1", "positive_rate", "auc")])
 
 
 @query("route_models")
 def route_models(b: Bound):
-    """Aspect P by a model, the others by distance."""
-    rows = prepared(b)
-    return reranker.route({"P": reranker.train(rows, rounds=3)}, rows).withColumn("score", F.round("score", 6))
+    """Namespace P by its model, the others by distance, on the last pair of releases."""
+    models = reranker.train_by_aspect(prepared(b), ("P",), rounds=ROUNDS)
+    last = reranker.prepare_features(pair_rows(b, *b.releases[-2:]))
+    return reranker.route(models, last).withColumn("score", F.round("score", 6))
 
 
 @query("temporal_training")
 def temporal_training(b: Bound):
-    """One model a category on the pair (t0, t1), each judged by Fmax against 1 - d/2."""
-    from ..operators.relational import labelled
-
-    features = graph.checkpointed(reranker.prepare_features(transfer.reranker_features(b.neighbours, b.old_labels)))
+    """One model a category: trained on the pairs of releases before the last, judged on the last pair by Fmax against 1 - d/2."""
+    pairs, (old, new) = reranker.temporal_pairs(list(b.releases[:-1]), set(b.releases)), b.releases[-2:]
     out = None
     for category in ("NK", "LK", "PK"):
-        truth = b.truth.filter(F.col("category") == category)
-        rows = reranker.stratified_split(labelled(features, truth), ["protein", "go_id"])
-        if rows.select("label").distinct().count() < 2:
+        rows = reranker.prepare_features(reranker.temporal_training_rows(pairs, lambda o, n, c=category: pair_rows(b, o, n, c)))
+        rows = graph.checkpointed(reranker.stratified_split(rows, ["split", "protein", "go_id"]))
+        if rows.filter("not is_val").select("label").distinct().count() < 2:
             continue
-        applied = reranker.apply(reranker.train(graph.checkpointed(rows), rounds=3), features)
-        base = evaluation.fmax(evaluation.pr_curve(features.select("protein", "go_id", scalars.distance_score(F.col("distance")).alias("score")), truth))
-        own = evaluation.fmax(evaluation.pr_curve(applied.select("protein", "go_id", F.col("reranker_score").alias("score")), truth))
+        model = reranker.train(rows, rounds=ROUNDS)
+        test = graph.checkpointed(reranker.prepare_features(pair_rows(b, old, new, category)))
+        truth = graph.checkpointed(pair_truth(b, old, new).filter(F.col("category") == category))
+        base = evaluation.fmax(evaluation.pr_curve(test.select("protein", "go_id", scalars.distance_score(F.col("distance")).alias("score")), truth))
+        own = evaluation.fmax(evaluation.pr_curve(reranker.apply(model, test).select("protein", "go_id", F.col("reranker_score").alias("score")), truth))
         found = evaluation.compare(base, own).withColumn("category", F.lit(category))
         out = found if out is None else out.unionByName(found)
     return out
@@ -459,12 +534,32 @@ def stream_predictions(b: Bound):
     return b.spark.read.parquet(path).select("protein", "go_id", "ref")
 
 
-@query("ingest_counters", "SELECT count(*) AS read, count(*) FILTER (protein IN (SELECT accession FROM v_protein)) > 0 AS some_inserted FROM v_annotation")
+_PAGE = 500
+
+
+@query(
+    "ingest_counters",
+    f"""SELECT page, count(*) AS read, count(*) FILTER (protein IN (SELECT accession FROM v_protein) AND go_id IN (SELECT go_id FROM v_term)) AS valid
+ FROM (SELECT *, CAST(floor(line_order / {_PAGE}) AS BIGINT) AS page FROM v_annotation) GROUP BY 1""",
+)
 def ingest_counters(b: Bound):
+    """Counters of every page of lines, a page being a file."""
+    counts: list[dict] = []
+    lines = b.folder("lines")
+    own = b.annotation.select("protein", "go_id", "qualifier", "evidence_code", F.floor(F.col("line_order") / _PAGE).cast("long").alias("page"))
+    own.repartition("page").write.parquet(lines)
+    stream = ingest.file_stream(b.spark, lines, "protein string, go_id string, qualifier string, evidence_code string, page long", 100)
+    ingest.stream_annotations(stream, b.protein, b.term, b.folder("ingested"), b.folder("checkpoint"), counts, page="page").awaitTermination()
+    return b.spark.createDataFrame([(p["page"], p["read"], p["valid"]) for c in counts for p in c["pages"]], "page long, read long, valid long").groupBy("page").agg(F.sum("read").alias("read"), F.sum("valid").alias("valid"))
+
+
+@query("ingest_limit", "SELECT least(count(*), 1000) AS read, TRUE AS stopped FROM v_annotation")
+def ingest_limit(b: Bound):
+    """Ingest ends within the first thousand lines, whatever more there is."""
     counts: list[dict] = []
     lines = b.folder("lines")
     b.annotation.select("protein", "go_id", "qualifier", "evidence_code").repartition(3).write.parquet(lines)
     stream = ingest.file_stream(b.spark, lines, "protein string, go_id string, qualifier string, evidence_code string")
-    ingest.stream_annotations(stream, b.protein, b.term, b.folder("ingested"), b.folder("checkpoint"), counts).awaitTermination()
-    return b.spark.createDataFrame([(c["read"], c["inserted"]) for c in counts], "read long, inserted long").agg(F.sum("read").alias("read"), (F.sum("inserted") > 0).alias("some_inserted"))
-
+    ingest.stream_annotations(stream, b.protein, b.term, b.folder("ingested"), b.folder("checkpoint"), counts, total_limit=1_000).awaitTermination()
+    read = sum(c["read"] for c in counts)
+    return b.spark.createDataFrame([(read, read <= 1_000)], "read long, stopped boolean")

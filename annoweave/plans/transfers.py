@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import evidence, scalars, vectors
 from ..functions.scoring import PRESETS, score
 from ..operators import evaluation, features, graph, knn, pooling, relational, transfer
+from ..operators.graph import checkpointed
+from ..sources import readers
 from .bindings import Bound
 from .registry import query
 
@@ -39,9 +41,15 @@ def knn_exact(b: Bound):
     return _rounded(b.neighbours)
 
 
-@query("knn_ivf", "SELECT query, CAST(rank AS INT) AS rank, ref, round(distance, 6) AS distance FROM v_neighbour")
+@query("knn_ivf")
 def knn_ivf(b: Bound):
-    """All cells probed, so it must equal the exact search; tests cover fewer probes."""
+    """Probes as measured for a recall of 0.95; the tests hold it against the exact search."""
+    return _rounded(knn.knn_ivf(b.queries, b.references, 5))
+
+
+@query("knn_ivf_all_cells", "SELECT query, CAST(rank AS INT) AS rank, ref, round(distance, 6) AS distance FROM v_neighbour")
+def knn_ivf_all_cells(b: Bound):
+    """All cells probed, so it must equal the exact search."""
     return _rounded(knn.knn_ivf(b.queries, b.references, 5, cells=8, probes=8))
 
 
@@ -52,18 +60,20 @@ def knn_lsh(b: Bound):
 
 @query(
     "knn_dedupe",
-    """SELECT query, CAST(rank AS INT) AS rank, ref, round(distance, 6) AS distance FROM (
+    f"""SELECT query, CAST(rank AS INT) AS rank, ref, round(distance, 6) AS distance FROM (
  SELECT query, ref, distance, row_number() OVER (PARTITION BY query ORDER BY distance, ref) AS rank FROM (
-  SELECT query, p.canonical_accession AS ref, min(distance) AS distance FROM v_neighbour n JOIN v_protein p ON concat('P', p.idx) = n.ref GROUP BY 1, 2)) WHERE rank <= 3""",
+  SELECT concat('P', q.vec_id) AS query, p.canonical_accession AS ref, min(1 - list_inner_product({_Q}, {_R}) / ((sqrt(list_inner_product({_Q}, {_Q})) + 1e-9) * (sqrt(list_inner_product({_R}, {_R})) + 1e-9))) AS distance
+  FROM embeddings q JOIN embeddings r ON q.vec_id % 10 = 0 JOIN v_protein p ON p.idx = r.vec_id GROUP BY 1, 2)) WHERE rank <= 3""",
 )
 def knn_dedupe(b: Bound):
-    named = b.neighbours.join(b.protein.select(F.concat(F.lit("P"), "idx").alias("ref"), "canonical_accession"), "ref")
-    return _rounded(knn.top_k(named.select("query", F.col("canonical_accession").alias("ref"), "distance"), 3))
+    """One neighbour a canonical protein: isoforms are references of the same name, which count once before the cut."""
+    named = b.references.join(b.protein.select(F.concat(F.lit("P"), "idx").alias("id"), "canonical_accession"), "id")
+    return _rounded(knn.knn_exact(b.queries, named.select(F.col("canonical_accession").alias("id"), "vector"), 3))
 
 
 _ASPECT = f"""SELECT aspect, query, CAST(rank AS INT) AS rank, ref, distance FROM (SELECT x.*, row_number() OVER (PARTITION BY aspect, query ORDER BY distance, ref) AS rank FROM (
  SELECT concat('P', q.vec_id) AS query, a.ref, a.aspect, 1 - list_inner_product({_Q}, {_R}) / ((sqrt(list_inner_product({_Q}, {_Q})) + 1e-9) * (sqrt(list_inner_product({_R}, {_R})) + 1e-9)) AS distance
- FROM embeddings q JOIN embeddings r ON q.vec_id % 10 = 0 AND r.vec_id % 10 <> 0 JOIN (SELECT DISTINCT protein AS ref, aspect FROM v_old) a ON a.ref = concat('P', r.vec_id)) x) WHERE rank <= 5"""
+ FROM embeddings q JOIN embeddings r ON q.vec_id % 10 = 0 JOIN (SELECT DISTINCT protein AS ref, aspect FROM v_old) a ON a.ref = concat('P', r.vec_id)) x) WHERE rank <= 5"""
 
 
 def aspect_neighbours(b: Bound):
@@ -105,9 +115,14 @@ def reranker_features(b: Bound):
 
 @query("alignment_features")
 def alignment_features(b: Bound):
-    """Alignments of nearest pairs over the first 60 letters of documents as residues."""
-    sequences = b.table("documents").select(F.concat(F.lit("P"), "doc_id").alias("id"), F.substring(F.regexp_replace(F.upper("text"), "[^A-Z]", ""), 1, 60).alias("sequence")).filter("sequence != ''")
-    return features.alignment_features(b.neighbours.select("query", "ref"), sequences)
+    """Each turn of a conversation aligned with the next one: their whole texts as residues."""
+    turns = b.table("conversations")
+
+    def name(turn):
+        return F.concat(F.lit("C"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+
+    sequences = turns.select(name(F.col("turn")).alias("id"), F.regexp_replace(F.upper("text"), "[^A-Z]", "").alias("sequence")).filter("sequence != ''")
+    return features.alignment_features(turns.select(name(F.col("turn")).alias("query"), name(F.col("turn") + 1).alias("ref")), sequences)
 
 
 @query(
@@ -152,15 +167,15 @@ def negative_keys(b: Bound):
     return b.negatives
 
 
-_SUBGRAPH = """WITH RECURSIVE up AS (SELECT go_id, 0 AS depth FROM v_term WHERE t IN (301, 388, 250) UNION SELECT e.parent, depth + 1 FROM up JOIN v_edge e ON e.child = up.go_id WHERE depth < 3)
+_SUBGRAPH = """WITH RECURSIVE up AS (SELECT go_id, 0 AS depth FROM v_term WHERE t IN (101, 188, 150) UNION SELECT e.parent, depth + 1 FROM up JOIN v_edge e ON e.child = up.go_id WHERE depth < 3)
 """
 
 
 def _seeds(b: Bound):
-    return b.term.filter(F.col("t").isin(301, 388, 250))
+    return b.term.filter(F.col("t").isin(101, 188, 150))
 
 
-@query("ancestor_subgraph", _SUBGRAPH + "SELECT DISTINCT go_id, go_id IN (SELECT go_id FROM v_term WHERE t IN (301, 388, 250)) AS is_query FROM up")
+@query("ancestor_subgraph", _SUBGRAPH + "SELECT DISTINCT go_id, go_id IN (SELECT go_id FROM v_term WHERE t IN (101, 188, 150)) AS is_query FROM up")
 def ancestor_subgraph(b: Bound):
     return graph.ancestor_subgraph(_seeds(b), b.edge, 3)[0]
 
@@ -275,11 +290,24 @@ def config_sweep(b: Bound):
     return relational.sweep(b.prediction, configs(b)).drop("aspect")
 
 
-@query("experiment_sweep", f"SELECT config, round(fmax, 3) AS fmax, round(threshold_at_fmax, 2) AS tau FROM ({fmax_sql(curve_sql(_SWEEP, _ALL_TRUTH, 'config'), 'config')})")
+_SETS = f"""SELECT 'nearest' AS prediction_set, config, protein, go_id, score FROM ({_SWEEP}) UNION ALL
+ SELECT 'near', config, s.protein, s.go_id, score FROM ({_SWEEP}) s JOIN v_prediction p ON p.protein = s.protein AND p.go_id = s.go_id WHERE p.distance <= 0.7"""
+_CATEGORIES = ("NK", "LK", "PK")
+
+
+@query("experiment_sweep", " UNION ALL ".join(f"SELECT '{c}' AS category, * FROM ({fmax_sql(curve_sql(_SETS, f'SELECT protein, go_id FROM v_truth WHERE category = {c!r}', 'prediction_set, config'), 'prediction_set, config')})" for c in _CATEGORIES))
 def experiment_sweep(b: Bound):
+    """Prediction sets by configurations by categories: Fmax, its threshold and the area under the curve."""
     swept = relational.sweep(b.prediction, configs(b))
-    found = evaluation.fmax(evaluation.pr_curve(swept, b.truth, "config"), "config")
-    return found.select("config", F.round("fmax", 3).alias("fmax"), F.round("threshold_at_fmax", 2).alias("tau"))
+    near = b.prediction.filter("distance <= 0.7").select("protein", "go_id")
+    sets = checkpointed(swept.withColumn("prediction_set", F.lit("nearest")).unionByName(swept.join(near, ["protein", "go_id"], "left_semi").withColumn("prediction_set", F.lit("near"))))
+    groups = sets.select("prediction_set", "config").distinct()
+    out = None
+    for category in _CATEGORIES:
+        found = evaluation.fmax(evaluation.pr_curve(sets, b.truth.filter(F.col("category") == category), "prediction_set", "config", groups=groups), "prediction_set", "config")
+        own = found.withColumn("category", F.lit(category))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 _IA = "SELECT go_id, CAST(1 + t % 7 AS DOUBLE) / 4 AS ia FROM v_term WHERE t % 5 <> 0"
@@ -289,12 +317,12 @@ def ia(b: Bound):
     return b.term.filter("t % 5 <> 0").select("go_id", ((F.col("t") % 7 + 1).cast("double") / 4).alias("ia"))
 
 
-def weighted_sql(category: str | None, known: bool) -> str:
+def weighted_sql(category: str | None, known: bool, scored_sql: str = _SCORED) -> str:
     where = f"WHERE category = '{category}'" if category else ""
     gone = "AND NOT EXISTS (SELECT 1 FROM v_old_exp k WHERE k.protein = x.protein AND k.go_id = x.go_id)" if known else ""
-    s = f"(SELECT protein, go_id, max(score) AS score FROM (SELECT protein, go_id, score FROM ({_SCORED}) UNION ALL SELECT s.protein, c.ancestor, s.score FROM ({_SCORED}) s JOIN v_closure c ON c.descendant = s.go_id) GROUP BY 1, 2)"
+    s = f"(SELECT protein, go_id, max(score) AS score FROM (SELECT protein, go_id, score FROM ({scored_sql}) UNION ALL SELECT s.protein, c.ancestor, s.score FROM ({scored_sql}) s JOIN v_closure c ON c.descendant = s.go_id) GROUP BY 1, 2)"
     t = f"(SELECT DISTINCT protein, go_id FROM (SELECT protein, go_id FROM v_truth {where} UNION ALL SELECT t.protein, c.ancestor FROM v_truth t JOIN v_closure c ON c.descendant = t.go_id {where}))"
-    return f"""WITH aspects AS (SELECT go_id, aspect FROM v_truth {where} UNION SELECT go_id, aspect FROM ({_SCORED})), ia AS ({_IA}),
+    return f"""WITH aspects AS (SELECT go_id, aspect FROM v_truth {where} UNION SELECT go_id, aspect FROM ({scored_sql})), ia AS ({_IA}),
  tt AS (SELECT x.protein, x.go_id, a.aspect, coalesce(ia.ia, 1) AS ia FROM {t} x JOIN aspects a ON a.go_id = x.go_id LEFT JOIN ia ON ia.go_id = x.go_id WHERE TRUE {gone}),
  ss AS (SELECT x.protein, x.go_id, a.aspect, x.score, coalesce(ia.ia, 1) AS ia FROM {s} x JOIN aspects a ON a.go_id = x.go_id LEFT JOIN ia ON ia.go_id = x.go_id WHERE TRUE {gone}),
  tot AS (SELECT aspect, protein, sum(ia) AS total FROM tt GROUP BY 1, 2),
@@ -314,18 +342,41 @@ def fmax_ia(b: Bound):
     return evaluation.fmax_weighted(scored(b), b.truth.filter("category = 'PK'"), ia(b), b.closure, b.old_exp)
 
 
-@query("evaluate_external", weighted_sql(None, False))
+_TOOL = "SELECT protein, go_id, aspect, max(CASE WHEN line_number = 4 THEN 1 ELSE line_number / 10.0 END)::DOUBLE AS score FROM v_annotation WHERE line_number <> 2 GROUP BY 1, 2, 3"
+
+
+@query(
+    "evaluate_external",
+    f"""SELECT category, aspect, fmax, precision, recall, tau, coverage, n_proteins, round(100.0 * (SELECT count(DISTINCT protein) FROM v_truth t WHERE t.category = x.category AND t.protein IN (SELECT protein FROM ({_TOOL}))) / (SELECT count(DISTINCT protein) FROM v_truth t WHERE t.category = x.category), 2) AS covered_percent
+ FROM ({" UNION ALL ".join(f"SELECT '{c}' AS category, * FROM ({weighted_sql(c, False, _TOOL)})" for c in _CATEGORIES)}) x""",
+)
 def evaluate_external(b: Bound):
-    """A tool's scored pairs, restricted to delta proteins by the evaluation itself, over all categories."""
-    return evaluation.fmax_weighted(scored(b), b.truth, ia(b), b.closure)
+    """A tool's own file, read and judged in each category, with the share of delta proteins that it has any term for."""
+    from .files import pannzer_file
+
+    tool = readers.read_pannzer2(b.spark, pannzer_file(b))
+    scores = checkpointed(tool.join(b.term.select("go_id", "aspect"), "go_id"))
+    out = None
+    for category in _CATEGORIES:
+        truth = b.truth.filter(F.col("category") == category)
+        found = evaluation.fmax_weighted(scores, truth, ia(b), b.closure).crossJoin(evaluation.coverage(tool, truth)).withColumn("category", F.lit(category))
+        out = found if out is None else out.unionByName(found)
+    return out
+
 
+_GIVEN = "SELECT protein, go_id, CAST(min(line_number) AS DOUBLE) / 10 AS reranker_score FROM v_annotation WHERE line_number IN (1, 3) GROUP BY 1, 2"
 
-@query("eval_scores", f"SELECT protein, go_id, round((0.2 * {_SIM} + 0.8 * {_EV}), 6) AS score FROM v_prediction WHERE distance <= 0.9 AND protein IN (SELECT protein FROM v_truth)")
+
+@query(
+    "eval_scores",
+    f"""SELECT p.protein, p.go_id, round(coalesce(r.reranker_score, CASE WHEN p.aspect = 'F' THEN 0.2 * {_SIM} + 0.8 * {_EV} END, greatest(0, 1 - p.distance / 2)), 6) AS score,
+ CASE WHEN r.reranker_score IS NOT NULL THEN 'reranker' WHEN p.aspect = 'F' THEN 'config' ELSE 'distance' END AS source
+ FROM v_prediction p LEFT JOIN ({_GIVEN}) r ON r.protein = p.protein AND r.go_id = p.go_id WHERE distance <= 0.9 AND p.protein IN (SELECT protein FROM v_truth)""",
+)
 def eval_scores(b: Bound):
-    """Scores for an evaluation: delta proteins only, within a distance, by configuration, best per pair."""
-    p = b.prediction.filter("distance <= 0.9").join(evaluation.delta_proteins(b.truth), "protein", "left_semi")
-    own = p.withColumn("score", score(p, PRESETS[4]))
-    return relational.latest_first(own, ["protein", "go_id"], [F.desc("score")]).select("protein", "go_id", "score")
+    """Scores for an evaluation: delta proteins only, within a distance, by re-ranker, else configuration (of one namespace here), else 1 - d/2."""
+    given = b.annotation.filter("line_number in (1, 3)").groupBy("protein", "go_id").agg((F.min("line_number").cast("double") / 10).alias("reranker_score"))
+    return evaluation.evaluation_scores(b.prediction, b.truth, {"F": PRESETS[4]}, given, 0.9)
 
 
 # -- pooling
@@ -337,12 +388,13 @@ def l2_normalize(b: Bound):
     return own.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
-@query("agg_layers", "SELECT label, i, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS mean, round(first(CAST(embedding[i] AS DOUBLE) ORDER BY vec_id), 5) AS last FROM (SELECT * FROM embeddings WHERE vec_id < 400), range(1, 65) r(i) GROUP BY 1, 2")
+@query("agg_layers", "SELECT label, i, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS mean, round(first(CAST(embedding[i] AS DOUBLE) ORDER BY vec_id), 5) AS last FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2")
 def agg_layers(b: Bound):
-    """Vectors of one label as the layers of one sequence."""
-    layers = b.table("embeddings").filter("vec_id < 400").groupBy("label").agg(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("vector"))).alias("layers"))
-    both = layers.select("label", F.arrays_zip(pooling.aggregate_layers(F.col("layers"), "mean").alias("mean"), pooling.aggregate_layers(F.col("layers"), "last").alias("last")).alias("z"))
-    return both.select("label", F.posexplode("z").alias("i", "z")).select("label", (F.col("i") + 1).cast("long").alias("i"), F.round("z.mean", 5).alias("mean"), F.round("z.last", 5).alias("last"))
+    """Vectors of one label as the layers of one sequence, any number of them."""
+    layers = b.table("embeddings").select(F.col("label").alias("sequence_id"), F.col("vec_id").alias("layer"), F.col("embedding").cast("array<double>").alias("vector"))
+    cells = {how: pooling.pool_layers(layers, how).select("sequence_id", F.posexplode("embedding").alias("i", how)) for how in ("mean", "last")}
+    both = cells["mean"].join(cells["last"], ["sequence_id", "i"])
+    return both.select(F.col("sequence_id").alias("label"), (F.col("i") + 1).cast("long").alias("i"), F.round("mean", 5).alias("mean"), F.round("last", 5).alias("last"))
 
 
 @query(

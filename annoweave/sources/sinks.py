@@ -73,6 +73,11 @@ def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.csv(path, sep="\t", header=header, nullValue="", emptyValue="", quote="")
 
 
+def write_fasta(records: DataFrame, path: str) -> None:
+    """FASTA files of (accession, record), in order of accession."""
+    records.orderBy("accession").select("record").write.text(path)
+
+
 def write_predictions(rows: DataFrame, path: str) -> None:
     """The prediction export: optional numbers with six significant digits, nulls blank."""
     write_tsv(rows.withColumns({c: significant(F.col(c)) for c in (*OPTIONAL_DOUBLES, "neighbor_distance_std")}), path)

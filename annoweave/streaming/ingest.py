@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,28 +13,47 @@ from ..operators import transfer
 from ..operators.maintenance import first_occurrence
 
 KEY = ["protein", "go_id", "evidence_code"]
+#: Parts of an ingested table.
+PARTS = 32
 
 
-def _append(path: str, keys: list[str], prepare: Callable[[DataFrame], DataFrame], counts: list[dict] | None) -> Callable[[DataFrame, int], None]:
-    """Appends what is new of a micro-batch under `batch=<id>`, so that a batch that is run again replaces itself."""
+def _append(path: str, keys: list[str], prepare: Callable[[DataFrame], DataFrame], counts: list[dict] | None, total_limit: int | None = None, page: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Appends what is new of a micro-batch under `batch=<id>/part=<n>`, so that a batch that is run again replaces itself.
+
+    The table is cut into `PARTS` parts by a hash of the key's first column; only parts that the batch has keys in are read for what is there already.
+    """
+    state = {"read": 0}
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = Observation(f"batch-{number}")
-        own = prepare(batch.observe(seen, F.count(F.lit(1)).alias("read")))
+        if total_limit is not None:
+            batch = batch.limit(max(0, total_limit - state["read"]))
+        batch = batch.persist()
         try:
-            existing = spark.read.parquet(path).filter(F.col("batch") != number).select(*own.columns)
-        except Exception as e:  # the first batch: there is no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            existing = own.limit(0)
-        keyed = existing.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-        fresh = own.alias("n").join(keyed, _same(keys), "left_anti")
-        offered = Observation(f"new-{number}")
-        fresh.observe(offered, F.count(F.lit(1)).alias("inserted")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-        if counts is not None:
-            read, inserted = seen.get["read"], offered.get["inserted"]
-            counts.append({"batch": number, "read": read, "inserted": inserted, "skipped": read - inserted})
+            read = batch.count()
+            state["read"] += read
+            own = prepare(batch).withColumn("part", F.pmod(F.xxhash64(keys[0]), F.lit(PARTS)).cast("int")).persist()
+            touched = [r["part"] for r in own.select("part").distinct().collect()]  # at most PARTS
+            try:
+                existing = spark.read.parquet(path).filter((F.col("batch") != number) & F.col("part").isin(touched))
+            except AnalysisException as e:  # the first batch: there is no table yet
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+                existing = own.withColumn("batch", F.lit(0)).limit(0)
+            keyed = existing.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+            fresh = own.alias("n").join(keyed, _same(keys), "left_anti")
+            offered = Observation(f"new-{number}")
+            fresh.observe(offered, F.count(F.lit(1)).alias("inserted")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(path)
+            if counts is not None:
+                inserted = offered.get["inserted"]
+                entry = {"batch": number, "read": read, "inserted": inserted, "skipped": read - inserted}
+                if page is not None:
+                    valid = prepare.valid(batch).groupBy(page).agg(F.count(F.lit(1)).alias("valid"))
+                    entry["pages"] = [r.asDict() for r in batch.groupBy(page).agg(F.count(F.lit(1)).alias("read")).join(valid, page, "left").na.fill(0, ["valid"]).collect()]  # a row a page
+                counts.append(entry)
+            own.unpersist()
+        finally:
+            batch.unpersist()
 
     return run
 
@@ -45,14 +65,20 @@ def _same(keys: list[str]):
     return out
 
 
-def stream_annotations(lines: DataFrame, proteins: DataFrame, terms: DataFrame, path: str, checkpoint: str, counts: list[dict] | None = None) -> StreamingQuery:
-    """Annotation lines (protein, go_id, qualifier, evidence_code as a stream) filtered by known proteins and terms, deduplicated, appended."""
+def stream_annotations(lines: DataFrame, proteins: DataFrame, terms: DataFrame, path: str, checkpoint: str, counts: list[dict] | None = None, total_limit: int | None = None, page: str | None = None) -> StreamingQuery:
+    """Annotation lines (protein, go_id, qualifier, evidence_code as a stream) filtered by known proteins and terms, deduplicated, appended.
+
+    `counts` gets read, inserted and skipped lines of every batch, and with a page column those read and valid of every page. Lines beyond `total_limit` are left.
+    """
+
+    def valid(batch: DataFrame) -> DataFrame:
+        return batch.join(proteins.select(F.col("accession").alias("protein")).distinct(), "protein", "left_semi").join(terms.select("go_id").distinct(), "go_id", "left_semi")
 
     def prepare(batch: DataFrame) -> DataFrame:
-        valid = batch.join(proteins.select(F.col("accession").alias("protein")).distinct(), "protein", "left_semi").join(terms.select("go_id").distinct(), "go_id", "left_semi")
-        return first_occurrence(valid, KEY, [F.col("qualifier").asc_nulls_first()]).select("protein", "go_id", "qualifier", "evidence_code")
+        return first_occurrence(valid(batch), KEY, [F.col("qualifier").asc_nulls_first()]).select("protein", "go_id", "qualifier", "evidence_code")
 
-    return lines.writeStream.foreachBatch(_append(path, KEY, prepare, counts)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    prepare.valid = valid
+    return lines.writeStream.foreachBatch(_append(path, KEY, prepare, counts, total_limit, page)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_predictions(queries: DataFrame, neighbours_of: Callable[[DataFrame], DataFrame], annotations: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -20,6 +20,6 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["knn_lsh", "train_reranker", "route_models"])
+@pytest.mark.parametrize("name", ["knn_ivf", "knn_lsh", "alignment_features", "train_reranker", "train_aspect", "feature_importance", "export_reranked", "route_models", "temporal_training"])
 def test_rows_only(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
