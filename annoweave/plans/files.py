@@ -225,14 +225,14 @@ def export_delta_fasta(b: Bound):
 
 
 _METRICS = " UNION ALL ".join(
-    f"SELECT '{c}' AS category, '{a}' AS aspect, fmax, threshold_at_fmax, auc_pr FROM ({fmax_sql(curve_sql(f'SELECT * FROM ({_SCORED}) WHERE aspect = {a!r}', f'SELECT protein, go_id FROM v_truth WHERE category = {c!r} AND aspect = {a!r}'))})"
+    f"SELECT '{c}' AS category, '{a}' AS aspect, coalesce(fmax, 0) AS fmax, coalesce(threshold_at_fmax, 0) AS threshold_at_fmax, auc_pr FROM ({fmax_sql(curve_sql(f'SELECT * FROM ({_SCORED}) WHERE aspect = {a!r}', f'SELECT protein, go_id FROM v_truth WHERE category = {c!r} AND aspect = {a!r}'))})"
     for c in ("NK", "LK", "PK") for a in ("P", "F", "C")
 )
 
 
 @query("export_metrics", _METRICS)
 def export_metrics(b: Bound):
-    """Fmax, its threshold and the area of each category and namespace, as a file."""
+    """Fmax, its threshold and the area of each category and namespace, as a file; 0 where a cell has no truth."""
     out, own = None, graph.checkpointed(scored(b))
     for category in sinks.CATEGORY_ORDER:
         for aspect in sinks.ASPECT_ORDER:
