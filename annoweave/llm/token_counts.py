@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WS, map_slices, shared_folder, table
+from .common import NOT_WS, checkpointed, map_slices, shared_folder, table, type_of
 
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, docs long, tokens long, folded string, batch string"
@@ -38,12 +38,13 @@ def word_counts(df: DataFrame, text: str = "text", source: str = "source", lang:
     return df.select(df[source].cast("string").alias("source"), df[lang].cast("string").alias("lang"), words_in(df[text]).alias("tokens"))
 
 
-def bpe_counts(df: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", file: str | None = None) -> DataFrame:
-    """(source, lang, tokens) of every row under a public byte-level BPE vocabulary (tiktoken format)."""
+def bpe_counts(df: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", keep: tuple[str, ...] = (), file: str | None = None) -> DataFrame:
+    """(source, lang, tokens and the kept columns) of every row under a public byte-level BPE vocabulary (tiktoken format)."""
     import public_tokenizers
 
     path, pattern = file or public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    rows = df.select(df[source].cast("string").alias("source"), df[lang].cast("string").alias("lang"), F.coalesce(df[text], F.lit("")).alias("text"))
+    inner = [f"_k{k}" for k in range(len(keep))]
+    rows = df.select(df[source].cast("string").alias("source"), df[lang].cast("string").alias("lang"), F.coalesce(df[text], F.lit("")).alias("text"), *[df[c].alias(n) for c, n in zip(keep, inner, strict=True)])
 
     def kernel():
         import tiktoken
@@ -51,9 +52,10 @@ def bpe_counts(df: DataFrame, text: str = "text", source: str = "source", lang:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda part: {"source": part["source"], "lang": part["lang"], "tokens": [len(encode(t)) for t in part["text"].to_pylist()]}
+        return lambda part: part | {"tokens": [len(encode(t)) for t in part["text"].to_pylist()]}
 
-    return map_slices(rows, kernel, "source string, lang string, tokens long")
+    schema = "source string, lang string, tokens long" + "".join(f", {n} {type_of(df, c)}" for c, n in zip(keep, inner, strict=True))
+    return map_slices(rows, kernel, schema).withColumnsRenamed(dict(zip(inner, keep, strict=True)))
 
 
 def signed(counts: DataFrame, sign: int, version: str | Column) -> DataFrame:
@@ -120,19 +122,30 @@ def state_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark, 'state')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Runs of symbols alone.
+SYMBOLS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]+(?![^\x20\x09-\x0D])"
+
+
 def op2(spark, sf_dir):
-    """All documents loaded under two tokenizer versions, low-quality ones deleted from both, counts of symbols revised, one batch replayed, all folded."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    """All documents loaded under two tokenizer versions, low-quality ones deleted from both, counts of symbols revised, one batch replayed, all folded.
+
+    Texts are read once, for a line of counts a document; what follows joins and adds up these lines.
+    """
+    docs, text = table(spark, sf_dir, "documents"), F.col("text")
     flagged = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
+    own = docs.select("doc_id", "text", "lang", "source", words_in(text).alias("words"), F.coalesce(F.regexp_count(text, F.lit(SYMBOLS)), F.lit(0)).cast("long").alias("symbols"))
+    counts = checkpointed(bpe_counts(own, keep=("doc_id", "words", "symbols")))
+    bad, good = (counts.join(flagged, "doc_id", how) for how in ("left_semi", "left_anti"))
+
+    def words(rows: DataFrame) -> DataFrame:
+        return rows.select("source", "lang", F.col("words").alias("tokens"))
+
     rollup = Rollup(spark, state_folder(spark, "token-rollup"))
-    bad = docs.join(flagged, "doc_id", "left_semi")
-    rollup.commit("load-word-1", signed(word_counts(docs), 1, "word-1"))
-    rollup.commit("load-bpe-1", signed(bpe_counts(docs), 1, "bpe-1"))
-    rollup.commit("delete-low-quality", signed(word_counts(bad), -1, "word-1").unionByName(signed(bpe_counts(bad), -1, "bpe-1")))
+    rollup.commit("load-word-1", signed(words(counts), 1, "word-1"))
+    rollup.commit("load-bpe-1", signed(counts, 1, "bpe-1"))
+    rollup.commit("delete-low-quality", signed(words(bad), -1, "word-1").unionByName(signed(bad, -1, "bpe-1")))
     # Counts revised: a tokenizer fix that no longer counts runs of symbols alone.
-    symbols = F.coalesce(F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]+(?![^\x20\x09-\x0D])")), F.lit(0)).cast("long")
-    good = docs.join(flagged, "doc_id", "left_anti").filter(symbols > 0)
-    changes = revised(good.select("source", "lang", words_in(F.col("text")).alias("old"), symbols.alias("symbols")).withColumn("new", F.col("old") - F.col("symbols")), "word-1", "old", "new")
+    changes = revised(good.filter("symbols > 0").withColumn("new", F.col("words") - F.col("symbols")), "word-1", "words", "new")
     rollup.commit("revise-word-1", changes)
     rollup.compact("folded")
     rollup.commit("revise-word-1", changes)  # a replay changes nothing
