@@ -225,7 +225,7 @@ def export_delta_fasta(b: Bound):
 
 
 _METRICS = " UNION ALL ".join(
-    f"SELECT '{c}' AS category, '{a}' AS aspect, coalesce(fmax, 0) AS fmax, coalesce(threshold_at_fmax, 0) AS threshold_at_fmax, auc_pr FROM ({fmax_sql(curve_sql(f'SELECT * FROM ({_SCORED}) WHERE aspect = {a!r}', f'SELECT protein, go_id FROM v_truth WHERE category = {c!r} AND aspect = {a!r}'))})"
+    f"SELECT '{c}' AS category, '{a}' AS aspect, CASE WHEN isfinite(fmax) THEN fmax ELSE 0 END AS fmax, CASE WHEN isfinite(threshold_at_fmax) THEN threshold_at_fmax ELSE 0 END AS threshold_at_fmax, CASE WHEN isfinite(auc_pr) THEN auc_pr ELSE 0 END AS auc_pr FROM ({fmax_sql(curve_sql(f'SELECT * FROM ({_SCORED}) WHERE aspect = {a!r}', f'SELECT protein, go_id FROM v_truth WHERE category = {c!r} AND aspect = {a!r}'))})"
     for c in ("NK", "LK", "PK") for a in ("P", "F", "C")
 )
 
