@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dart_minhash, exact_dedup, html_layout, merkle, mixing, mpegts, packing, pii, secrets, spelling, token_counts, toxicity
+from . import dart_minhash, exact_dedup, html_layout, merkle, mixing, mpegts, packing, pii, secrets, sentence_pieces, spelling, token_counts, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_mixing": mixing.op9,
         "op10_packing": packing.op10,
         "op11_merkle": merkle.op11,
+        "op12_sentence_pieces": sentence_pieces.op12,
         "op13_spelling": spelling.op13,
     }
 
