@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {"op5_exact_dedup": exact_dedup.OP5_SQL, "op9_mixing": mixing.OP9_SQL, "op11_merkle": merkle.OP11_SQL}

@@ -263,3 +263,48 @@ def op11(spark, sf_dir):
     """The proof of every document, and whether it still leads to the root after tampering."""
     m = manifest(checkpointed(document_leaves(table(spark, sf_dir, "documents"))))
     return proofs(m, claimed="tampered", keep=("order",)).withColumnRenamed("order", "doc_id")
+
+
+# -- the same in SQL: levels one by one, enough for 8^8 documents of a language and 8^4 languages
+
+
+def _field_sql(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', {c}) END"
+
+
+def _level_sql(name: str, key: str) -> str:
+    """Nodes of a level with the siblings of their run on the left and on the right."""
+    run = f"(PARTITION BY {key}, i // {ARITY} ORDER BY i ROWS BETWEEN"
+    return f"SELECT *, coalesce(string_agg(digest, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(digest, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}"
+
+
+def _tree_sql(prefix: str, first: str, key: str, levels: int) -> list[str]:
+    """Tables prefix0 to prefix<levels>; a tree's last node is handed up as it is."""
+    parts = [f"{prefix}0 AS ({_level_sql(f'({first})', key)})"]
+    for k in range(levels):
+        up = f"SELECT {key}, i // {ARITY} AS i, CASE WHEN max(n) = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY i)) END AS digest, (max(n) + {ARITY - 1}) // {ARITY} AS n FROM {prefix}{k} GROUP BY ALL"
+        parts.append(f"{prefix}{k + 1} AS ({_level_sql(f'({up})', key)})")
+    return parts
+
+
+def _op11_sql(levels: int = 8, top: int = 4) -> str:
+    crc = "xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda i: [ascii(CAST(doc_id AS VARCHAR)[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    leaf = " || ".join(_field_sql(c) for c in FIELDS)
+    changed = " || ".join(_field_sql(f"translate(text, '{letters}', '{letters.lower()}')" if c == "text" else c) for c in FIELDS)
+    parts = [
+        f"d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({leaf}) AS digest, CASE WHEN {crc} % 3 = 0 THEN sha256({changed}) ELSE sha256({leaf}) END AS claim FROM documents)",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d)",
+        *_tree_sql("a", "SELECT tree, i, digest, n FROM p", "tree", levels),
+        f"s AS (SELECT tree, digest FROM a{levels})",
+        *_tree_sql("b", "SELECT 1 AS one, row_number() OVER (ORDER BY tree) - 1 AS i, digest, (SELECT count(*) FROM s) AS n FROM s", "one", top),
+        "q AS (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS j FROM s)",
+        "f0 AS (SELECT p.doc_id, p.digest AS leaf, p.claim AS c, '' AS proof, p.i, p.tree, q.j FROM p JOIN q ON q.tree = p.tree)",
+    ]
+    for k in range(levels + top):
+        node, on = (f"a{k}", f"x.tree = f.tree AND x.i = f.i // {ARITY**k}") if k < levels else (f"b{k - levels}", f"x.i = f.j // {ARITY ** (k - levels)}")
+        parts.append(f"f{k + 1} AS (SELECT f.doc_id, f.leaf, CASE WHEN x.n = 1 THEN f.c ELSE sha256(x.l || f.c || x.r) END AS c, f.proof || x.l || x.r AS proof, f.i, f.tree, f.j FROM f{k} f JOIN {node} x ON {on})")
+    return f"WITH {', '.join(parts)} SELECT f.doc_id, f.leaf, s.digest AS subroot, t.digest AS root, sha256(f.proof) AS proof_sha256, f.c AS folded_root, f.c = t.digest AS verified FROM f{levels + top} f JOIN s ON s.tree = f.tree CROSS JOIN b{top} t"
+
+
+OP11_SQL = _op11_sql()
