@@ -104,53 +104,66 @@ def fmax(curve: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, F.round("best", 4).alias("fmax"), F.round("at", 4).alias("threshold_at_fmax"), F.round(F.coalesce("area", F.lit(0.0)), 4).alias("auc_pr"))
 
 
-def fmax_weighted(scored: DataFrame, truth: DataFrame, weights: DataFrame, closure: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """Information-weighted Fmax per aspect with CAFA averaging (Radivojac et al. 2013, Jiang et al. 2016).
+def weighted_curve(scored: DataFrame, truth: DataFrame, weights: DataFrame, terms: DataFrame, edges: DataFrame | None = None, known: DataFrame | None = None, roots: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Information-weighted precision and recall per aspect at the thresholds 0.01 to 1, with CAFA averaging (Radivojac et al. 2013, Jiang et al. 2016).
 
     Precision averages over proteins with a prediction at the threshold, recall over all proteins with truth. Weights are (go_id, ia), 1
-    where missing. With a closure, scores and truth go up the graph within their aspect first; known terms are left out of both.
-    Scored and truth rows carry the aspect; roots count like other terms.
+    where missing. Terms are (go_id, aspect); rows of other terms don't count. With leveled edges (of one aspect each), scores and truth go up
+    the graph first. Known pairs (protein, go_id) and the terms in roots are left out of both afterwards; known terms aren't closed upward.
+    `by` names columns of truth (and perhaps of scored and known rows) that make groups of their own, judged in the same jobs.
     """
-    aspects = truth.select("go_id", "aspect").union(scored.select("go_id", "aspect")).distinct()
-    s, t = scored.select("protein", "go_id", "score"), truth.select("protein", "go_id")
-    if closure is not None:
-        s, t = graph.propagate_max(s, closure), graph.propagate_truth(t, closure)
+    by = list(by)
+    aspects = terms.filter("aspect is not null").select("go_id", "aspect").distinct()
+    own_by = [c for c in by if c in scored.columns]
+    t = truth.select(*by, "protein", "go_id", F.lit(1.0).alias("score"), F.lit(True).alias("_true"))
+    s = scored.select(*own_by, "protein", "go_id", "score").join(truth.select(*own_by, "protein").distinct(), [*own_by, "protein"], "left_semi").withColumn("_true", F.lit(False))
+    both = t.unionByName(s, allowMissingColumns=True)
+    if edges is None:
+        both = both.groupBy("_true", *by, "protein", "go_id").agg(F.max("score").alias("score"))
     else:
-        s, t = s.groupBy("protein", "go_id").agg(F.max("score").alias("score")), t.distinct()
+        both = graph.propagate(both, edges, ["_true", *by, "protein"], "score")
+    if len(own_by) < len(by):  # scores that hold for several groups are propagated once and dealt out afterwards
+        given = both.filter("not _true").drop(*[c for c in by if c not in own_by]).join(truth.select(*by, "protein").distinct(), [*own_by, "protein"])
+        both = both.filter("_true").unionByName(given)
     if known is not None:
-        gone = known.select("protein", "go_id").distinct()
-        s, t = s.join(gone, ["protein", "go_id"], "left_anti"), t.join(gone, ["protein", "go_id"], "left_anti")
+        keys = [c for c in by if c in known.columns] + ["protein", "go_id"]
+        both = both.join(known.select(*keys).distinct(), keys, "left_anti")
+    if roots is not None:
+        both = both.join(roots.select("go_id").distinct(), "go_id", "left_anti")
     own = weights.select("go_id", F.col("ia").cast("double").alias("ia"))
-
-    def weighted(df: DataFrame) -> DataFrame:
-        return df.join(aspects, "go_id").join(own, "go_id", "left").withColumn("ia", F.coalesce("ia", F.lit(1.0)))
-
-    t = weighted(t)
-    total = t.groupBy("aspect", "protein").agg(F.sum("ia").alias("total"))
-    s = weighted(s).join(total.select("aspect", "protein"), ["aspect", "protein"], "left_semi")
-    hit = s.join(t.select("aspect", "protein", "go_id", F.lit(1).alias("hit")), ["aspect", "protein", "go_id"], "left")
-    buckets = hit.groupBy("aspect", "protein", reached(F.col("score")).alias("n")).agg(F.sum("ia").alias("w"), F.sum(F.when(F.col("hit").isNotNull(), F.col("ia")).otherwise(0.0)).alias("w_hit"))
+    both = graph.checkpointed(both.join(aspects, "go_id").join(own, "go_id", "left").withColumn("ia", F.coalesce("ia", F.lit(1.0))))
+    t, s = both.filter("_true").drop("_true", "score"), both.filter("not _true").drop("_true")
+    group = [*by, "aspect"]
+    total = t.groupBy(*group, "protein").agg(F.sum("ia").alias("total"))
+    s = s.join(total.select(*group, "protein"), [*group, "protein"], "left_semi")
+    hit = s.join(t.select(*group, "protein", "go_id", F.lit(1).alias("hit")), [*group, "protein", "go_id"], "left")
+    buckets = hit.groupBy(*group, "protein", reached(F.col("score")).alias("n")).agg(F.sum("ia").alias("w"), F.sum(F.when(F.col("hit").isNotNull(), F.col("ia")).otherwise(0.0)).alias("w_hit"))
     # A protein's sums change only at its own buckets: each carries the range of thresholds for which its sums hold.
-    above = Window.partitionBy("aspect", "protein").orderBy(F.desc("n"))
-    held = buckets.select("aspect", "protein", "n", F.sum("w").over(above).alias("w"), F.sum("w_hit").over(above).alias("w_hit"), F.coalesce(F.lead("n").over(above), F.lit(0)).alias("below")).join(total, ["aspect", "protein"])
-    values = held.select("aspect", "n", "below", F.when(F.col("w") > 0, F.col("w_hit") / F.col("w")).otherwise(0.0).alias("p"), F.when(F.col("total") > 0, F.col("w_hit") / F.col("total")).otherwise(0.0).alias("r"))
+    above = Window.partitionBy(*group, "protein").orderBy(F.desc("n"))
+    held = buckets.select(*group, "protein", "n", F.sum("w").over(above).alias("w"), F.sum("w_hit").over(above).alias("w_hit"), F.coalesce(F.lead("n").over(above), F.lit(0)).alias("below")).join(total, [*group, "protein"])
+    values = held.select(*group, "n", "below", F.when(F.col("w") > 0, F.col("w_hit") / F.col("w")).otherwise(0.0).alias("p"), F.when(F.col("total") > 0, F.col("w_hit") / F.col("total")).otherwise(0.0).alias("r"))
     # +value where the range begins, -value below it; running sums from above give the sums at each threshold.
-    changes = values.select("aspect", "n", "p", "r", F.lit(1).alias("c")).union(values.filter("below > 0").select("aspect", "below", -F.col("p"), -F.col("r"), F.lit(-1)))
-    changes = changes.groupBy("aspect", "n").agg(F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum("c").alias("c"))
-    proteins = total.groupBy("aspect").agg(F.count(F.lit(1)).alias("proteins"))
+    changes = values.select(*group, "n", "p", "r", F.lit(1).alias("c")).union(values.filter("below > 0").select(*group, "below", -F.col("p"), -F.col("r"), F.lit(-1)))
+    changes = changes.groupBy(*group, "n").agg(F.sum("p").alias("p"), F.sum("r").alias("r"), F.sum("c").alias("c"))
+    proteins = total.groupBy(*group).agg(F.count(F.lit(1)).alias("proteins"))
     grid = proteins.crossJoin(F.broadcast(thresholds(scored))).filter("i > 0").withColumn("n", F.col("i") + 1)
-    over = Window.partitionBy("aspect").orderBy(F.desc("n"))
-    curve = grid.join(changes, ["aspect", "n"], "left").select("aspect", "threshold", "proteins", *[F.sum(F.coalesce(c, F.lit(0))).over(over).alias(c) for c in ("p", "r", "c")])
-    curve = curve.select("aspect", F.round("threshold", 2).alias("tau"), F.when(F.col("c") > 0, F.col("p") / F.col("c")).otherwise(0.0).alias("precision"), (F.col("r") / F.col("proteins")).alias("recall"), (F.col("c") / F.col("proteins")).alias("coverage"), F.col("proteins").alias("n_proteins"))
+    over = Window.partitionBy(*group).orderBy(F.desc("n"))
+    curve = grid.join(changes, [*group, "n"], "left").select(*group, "threshold", "proteins", *[F.sum(F.coalesce(c, F.lit(0))).over(over).alias(c) for c in ("p", "r", "c")])
+    return curve.select(*group, F.round("threshold", 2).alias("tau"), F.when(F.col("c") > 0, F.col("p") / F.col("c")).otherwise(0.0).alias("precision"), (F.col("r") / F.col("proteins")).alias("recall"), (F.col("c") / F.col("proteins")).alias("coverage"), F.col("proteins").alias("n_proteins"))
+
+
+def fmax_weighted(scored: DataFrame, truth: DataFrame, weights: DataFrame, terms: DataFrame, edges: DataFrame | None = None, known: DataFrame | None = None, roots: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The point of the weighted curve with the greatest F, the lowest threshold of equal ones."""
+    curve, group = weighted_curve(scored, truth, weights, terms, edges, known, roots, by), [*by, "aspect"]
     f = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    best = curve.withColumn("f", F.round(f, 9)).groupBy("aspect", "n_proteins").agg(F.max_by(F.struct("f", "precision", "recall", "tau", "coverage"), F.struct("f", -F.col("tau"))).alias("b"))
-    return best.select("aspect", F.round("b.f", 4).alias("fmax"), F.round("b.precision", 4).alias("precision"), F.round("b.recall", 4).alias("recall"), F.col("b.tau").alias("tau"), F.round("b.coverage", 4).alias("coverage"), "n_proteins")
+    best = curve.withColumn("f", F.round(f, 9)).groupBy(*group, "n_proteins").agg(F.max_by(F.struct("f", "precision", "recall", "tau", "coverage"), F.struct("f", -F.col("tau"))).alias("b"))
+    return best.select(*group, F.round("b.f", 4).alias("fmax"), F.round("b.precision", 4).alias("precision"), F.round("b.recall", 4).alias("recall"), F.col("b.tau").alias("tau"), F.round("b.coverage", 4).alias("coverage"), "n_proteins")
 
 
-def coverage(scored: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: the share in percent of proteins with truth that have any score."""
-    delta = truth.select("protein").distinct().join(scored.select("protein").distinct().withColumn("hit", F.lit(1)), "protein", "left")
-    return delta.agg(F.round(100 * F.avg(F.coalesce("hit", F.lit(0))), 2).alias("covered_percent"))
+def coverage(scored: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
+    """The share in percent of proteins with truth that have any score, for each group of truth."""
+    delta = truth.select(*by, "protein").distinct().join(scored.select("protein").distinct().withColumn("hit", F.lit(1)), "protein", "left")
+    return delta.groupBy(*by).agg(F.round(100 * F.avg(F.coalesce("hit", F.lit(0))), 2).alias("covered_percent"))
 
 
 def evaluation_scores(predictions: DataFrame, truth: DataFrame, configs: dict[str, ScoringConfig], reranked: DataFrame | None = None, max_distance: float | None = None) -> DataFrame:

@@ -33,21 +33,99 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def steps_of(edges: DataFrame, relations: tuple[str, ...]) -> DataFrame:
+    return edges.filter(F.col("relation_type").isin(*relations)).select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
+
+
+def _extended(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of which the first leads to a middle term and the second on from it."""
+    onward = right.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
+    return left.join(onward, "descendant").select("ancestor", F.col("next").alias("descendant"))
+
+
+def numbered(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the pairs as numbers, (number, term)): terms named by a 64-bit hash with the first seed that gives each its own."""
+    terms = checkpointed(steps.select(F.col("ancestor").alias("term")).union(steps.select("descendant")).distinct())
+    seed, n = 0, terms.count()
+    while terms.select(F.xxhash64("term", F.lit(seed))).distinct().count() < n:
+        seed += 1
+    return steps.select(*[F.xxhash64(c, F.lit(seed)).alias(c) for c in ("ancestor", "descendant")]), terms.select(F.xxhash64("term", F.lit(seed)).alias("number"), "term")
+
+
 def descendants(edges: DataFrame, relations: tuple[str, ...] = CLOSURE_RELATIONS) -> DataFrame:
-    """(ancestor, descendant) of the transitive closure by doubling: pairs found so far extend one another. A term is its own descendant only by a cycle.
+    """(ancestor, descendant) of the transitive closure. A term is its own descendant only by a cycle.
 
-    After round r all paths of up to 2^r steps are there, so rounds grow with the logarithm of the depth, and each is one checkpoint.
+    Known pairs carry their distance. A pair further apart than all known ones begins with a pair of just the greatest distance so
+    far: in each round only those, found in the last one, are extended, by all known pairs. Distances double, so rounds grow with the logarithm
+    of the depth. Rounds work on numbers in place of terms.
+    """
+    steps, terms = numbered(checkpointed(steps_of(edges, relations)))
+    known = found = checkpointed(steps.withColumn("far", F.lit(1)))
+    reach = 1
+    while found.filter(F.col("far") == reach).head(1):
+        onward = known.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"), (F.col("far") + reach).alias("_far"))
+        longer = found.filter(F.col("far") == reach).join(onward, "descendant").groupBy("ancestor", F.col("next").alias("descendant")).agg(F.min("_far").alias("far"))
+        found = checkpointed(longer.join(known, ["ancestor", "descendant"], "left_anti"))
+        known = known.unionByName(found)
+        reach *= 2
+    for c in ("ancestor", "descendant"):
+        known = known.join(terms.toDF(c, f"_{c}"), c)
+    return checkpointed(known.select(F.col("_ancestor").alias("ancestor"), F.col("_descendant").alias("descendant")))
+
+
+def extend_descendants(closure: DataFrame, added: DataFrame, relations: tuple[str, ...] = CLOSURE_RELATIONS) -> DataFrame:
+    """The closure with edges added: only pairs that lead over an added edge are made, each round from those of the last one."""
+    found = checkpointed(steps_of(added, relations).join(closure, ["ancestor", "descendant"], "left_anti"))
+    known = closure.select("ancestor", "descendant").unionByName(found)
+    while found.head(1):
+        longer = _extended(found, known).unionByName(_extended(known, found)).distinct()
+        found = checkpointed(longer.join(known, ["ancestor", "descendant"], "left_anti"))
+        known = known.unionByName(found)
+    return known
+
+
+def within_aspect(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """Edges between terms (go_id, aspect) of one aspect; those to unknown terms go."""
+    own = terms.select("go_id", "aspect").distinct()
+    child, parent = own.select(F.col("go_id").alias("child"), F.col("aspect").alias("_a")), own.select(F.col("go_id").alias("parent"), F.col("aspect").alias("_b"))
+    return edges.join(child, "child").join(parent, "parent").filter("_a = _b").select(*edges.columns)
+
+
+def leveled(edges: DataFrame, relations: tuple[str, ...] = CLOSURE_RELATIONS) -> DataFrame:
+    """(child, parent, level, parent_level) of an acyclic graph: a term without children is of level 0, others are one above their highest child.
+
+    Each round keeps the edges whose child is the parent of one kept before, so rounds are as many as levels. A cycle is an error.
+    """
+    steps = steps_of(edges, relations).toDF("parent", "child")
+    kept, level, above, left = checkpointed(steps), 0, None, None
+    while (n := kept.count()) and n != left:
+        level, left = level + 1, n
+        parents = kept.select("parent").distinct()
+        own = parents.withColumn("level", F.lit(level))
+        above = own if above is None else above.unionByName(own)
+        kept = checkpointed(kept.join(parents.toDF("child"), "child", "left_semi"))
+    if n:
+        raise ValueError(f"terms on or above a cycle: {', '.join(r[0] for r in kept.select('child').distinct().orderBy('child').limit(5).collect())}")
+    if above is None:
+        return steps.select("child", "parent", F.lit(0).alias("level"), F.lit(1).alias("parent_level"))
+    highest = above.groupBy("parent").agg(F.max("level").alias("level"))
+    return checkpointed(steps.join(highest.toDF("child", "level"), "child", "left").join(highest.toDF("parent", "parent_level"), "parent").select("child", "parent", F.coalesce("level", F.lit(0)).alias("level"), "parent_level"))
+
+
+def propagate(rows: DataFrame, edges: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows (keys, go_id, value) carried up leveled edges: the greatest value of each term's own row and of those below it.
+
+    One join a level: rows of a level are reduced to one a term before they are handed to its parents, so the work is edges times keys. What
+    was handed up is kept by a checkpoint and waits for the level of its term.
     """
-    steps = edges.filter(F.col("relation_type").isin(*relations)).select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"))
-    seen = checkpointed(steps.distinct())
-    known = seen.count()
-    while True:
-        onward = seen.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("next"))
-        longer = seen.join(onward, "descendant").select("ancestor", F.col("next").alias("descendant"))
-        seen = checkpointed(seen.union(longer).distinct())
-        before, known = known, seen.count()
-        if known == before:
-            return seen
+    of_term = edges.select(F.col("child").alias("go_id"), "level").union(edges.select("parent", "parent_level")).distinct()
+    own = rows.select(*keys, "go_id", value)
+    waiting = checkpointed(own.join(of_term, "go_id", "left").select(*own.columns, F.coalesce("level", F.lit(-1)).alias("level")))
+    for level in sorted(r[0] for r in edges.select("level").distinct().collect()):  # as many as the graph is deep
+        here = waiting.filter(F.col("level") == level).groupBy(*keys, "go_id").agg(F.max(value).alias(value))
+        up = edges.filter(F.col("level") == level).select(F.col("child").alias("go_id"), "parent", "parent_level")
+        waiting = waiting.unionByName(checkpointed(here.join(up, "go_id").select(*keys, F.col("parent").alias("go_id"), value, F.col("parent_level").alias("level"))))
+    return waiting.groupBy(*keys, "go_id").agg(F.max(value).alias(value))
 
 
 def negative_keys(annotations: DataFrame, edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
@@ -74,13 +152,11 @@ def ancestor_subgraph(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> tup
     return nodes, kept.distinct()
 
 
-def propagate_max(predictions: DataFrame, closure: DataFrame) -> DataFrame:
-    """(protein, go_id, score): each term's best score over itself and its descendants."""
-    up = predictions.join(closure.select(F.col("descendant").alias("go_id"), "ancestor"), "go_id").select("protein", F.col("ancestor").alias("go_id"), "score")
-    return predictions.select("protein", "go_id", "score").union(up).groupBy("protein", "go_id").agg(F.max("score").alias("score"))
+def propagate_max(predictions: DataFrame, edges: DataFrame) -> DataFrame:
+    """(protein, go_id, score): each term's best score over itself and the terms below it by leveled edges."""
+    return propagate(predictions, edges, ["protein"], "score")
 
 
-def propagate_truth(truth: DataFrame, closure: DataFrame) -> DataFrame:
+def propagate_truth(truth: DataFrame, edges: DataFrame) -> DataFrame:
     """(protein, go_id) closed upward."""
-    up = truth.join(closure.select(F.col("descendant").alias("go_id"), "ancestor"), "go_id").select("protein", F.col("ancestor").alias("go_id"))
-    return truth.select("protein", "go_id").union(up).distinct()
+    return propagate(truth.withColumn("_one", F.lit(1)), edges, ["protein"], "_one").drop("_one")

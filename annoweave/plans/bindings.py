@@ -178,7 +178,11 @@ class Bound:
 
     @cached_property
     def prediction(self) -> DataFrame:
-        return transfer.predict_terms(self.neighbours, self.old_labels)
+        return checkpointed(transfer.predict_terms(self.neighbours, self.old_labels))
+
+    @cached_property
+    def leveled(self) -> DataFrame:
+        return graph.leveled(graph.within_aspect(self.edge, self.term))
 
     @cached_property
     def closure(self) -> DataFrame:

@@ -162,6 +162,20 @@ def descendants(b: Bound):
     return b.closure
 
 
+@query("extend_descendants", "SELECT ancestor, descendant FROM v_closure")
+def extend_descendants(b: Bound):
+    """The closure of two thirds of the edges, with the others added."""
+    first = F.crc32(F.concat("child", "parent")) % 3 != 0
+    return graph.extend_descendants(graph.descendants(b.edge.filter(first)), b.edge.filter(~first))
+
+
+@query("term_levels", """WITH RECURSIVE up AS (SELECT go_id, 0 AS level FROM v_term UNION SELECT e.parent, level + 1 FROM up JOIN v_edge e ON e.child = up.go_id AND e.relation_type IN ('is_a', 'part_of') JOIN v_term p ON p.go_id = e.parent)
+SELECT child, parent, min(a.level) AS level, min(b.level) AS parent_level FROM (SELECT DISTINCT child, parent FROM v_edge WHERE relation_type IN ('is_a', 'part_of')) JOIN (SELECT go_id, max(level) AS level FROM up GROUP BY 1) a ON a.go_id = child JOIN (SELECT go_id, max(level) AS level FROM up GROUP BY 1) b ON b.go_id = parent GROUP BY 1, 2""")
+def term_levels(b: Bound):
+    """Edges with the levels of their ends: the longest way up to a term from below."""
+    return b.leveled
+
+
 @query("negative_keys", "SELECT protein, go_id FROM v_negative")
 def negative_keys(b: Bound):
     return b.negatives
@@ -194,7 +208,7 @@ _SCORED = "SELECT protein, go_id, aspect, greatest(0, 1 - distance / 2) AS score
 
 @query("propagate_max", f"SELECT protein, go_id, round(max(score), 6) AS score FROM (SELECT protein, go_id, score FROM ({_SCORED}) UNION ALL SELECT s.protein, c.ancestor, s.score FROM ({_SCORED}) s JOIN v_closure c ON c.descendant = s.go_id) GROUP BY 1, 2")
 def propagate_max(b: Bound):
-    return graph.propagate_max(scored(b), b.closure).withColumn("score", F.round("score", ROUND))
+    return graph.propagate_max(scored(b), graph.leveled(b.edge)).withColumn("score", F.round("score", ROUND))
 
 
 # -- evaluation
@@ -317,12 +331,13 @@ def ia(b: Bound):
     return b.term.filter("t % 5 <> 0").select("go_id", ((F.col("t") % 7 + 1).cast("double") / 4).alias("ia"))
 
 
-def weighted_sql(category: str | None, known: bool, scored_sql: str = _SCORED) -> str:
+def weighted_sql(category: str | None, known: bool, scored_sql: str = _SCORED, curve: bool = False) -> str:
     where = f"WHERE category = '{category}'" if category else ""
     gone = "AND NOT EXISTS (SELECT 1 FROM v_old_exp k WHERE k.protein = x.protein AND k.go_id = x.go_id)" if known else ""
     s = f"(SELECT protein, go_id, max(score) AS score FROM (SELECT protein, go_id, score FROM ({scored_sql}) UNION ALL SELECT s.protein, c.ancestor, s.score FROM ({scored_sql}) s JOIN v_closure c ON c.descendant = s.go_id) GROUP BY 1, 2)"
     t = f"(SELECT DISTINCT protein, go_id FROM (SELECT protein, go_id FROM v_truth {where} UNION ALL SELECT t.protein, c.ancestor FROM v_truth t JOIN v_closure c ON c.descendant = t.go_id {where}))"
-    return f"""WITH aspects AS (SELECT go_id, aspect FROM v_truth {where} UNION SELECT go_id, aspect FROM ({scored_sql})), ia AS ({_IA}),
+    chosen = "SELECT aspect, round(threshold, 2) AS tau, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coverage, 6) AS coverage, n AS n_proteins FROM cur" if curve else "SELECT aspect, round(f, 4) AS fmax, round(precision, 4) AS precision, round(recall, 4) AS recall, round(threshold, 2) AS tau, round(coverage, 4) AS coverage, n AS n_proteins FROM best WHERE k = 1"
+    return f"""WITH aspects AS (SELECT go_id, aspect FROM v_term), ia AS ({_IA}),
  tt AS (SELECT x.protein, x.go_id, a.aspect, coalesce(ia.ia, 1) AS ia FROM {t} x JOIN aspects a ON a.go_id = x.go_id LEFT JOIN ia ON ia.go_id = x.go_id WHERE TRUE {gone}),
  ss AS (SELECT x.protein, x.go_id, a.aspect, x.score, coalesce(ia.ia, 1) AS ia FROM {s} x JOIN aspects a ON a.go_id = x.go_id LEFT JOIN ia ON ia.go_id = x.go_id WHERE TRUE {gone}),
  tot AS (SELECT aspect, protein, sum(ia) AS total FROM tt GROUP BY 1, 2),
@@ -334,12 +349,20 @@ def weighted_sql(category: str | None, known: bool, scored_sql: str = _SCORED) -
   FROM n CROSS JOIN (SELECT i * CAST(0.01 AS DOUBLE) AS threshold FROM range(1, 101) x(i)) th LEFT JOIN per p ON p.aspect = n.aspect AND p.threshold = th.threshold GROUP BY 1, 2, 3),
  ff AS (SELECT *, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f FROM cur),
  best AS (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY f DESC, threshold) AS k FROM ff)
-SELECT aspect, round(f, 4) AS fmax, round(precision, 4) AS precision, round(recall, 4) AS recall, round(threshold, 2) AS tau, round(coverage, 4) AS coverage, n AS n_proteins FROM best WHERE k = 1"""
+{chosen}"""
 
 
-@query("fmax_ia", weighted_sql("PK", True))
+@query("fmax_ia", " UNION ALL ".join(f"SELECT '{c}' AS category, * FROM ({weighted_sql(c, c == 'PK')})" for c in _CATEGORIES))
 def fmax_ia(b: Bound):
-    return evaluation.fmax_weighted(scored(b), b.truth.filter("category = 'PK'"), ia(b), b.closure, b.old_exp)
+    """Every category in one job; terms that PK proteins had in a namespace before are left out there."""
+    known = b.old_exp.select(F.lit("PK").alias("category"), "protein", "go_id")
+    return evaluation.fmax_weighted(scored(b), b.truth, ia(b), b.term, b.leveled, known, by=("category",))
+
+
+@query("pr_curve_ia", weighted_sql("NK", False, curve=True))
+def pr_curve_ia(b: Bound):
+    found = evaluation.weighted_curve(scored(b), b.truth.filter("category = 'NK'"), ia(b), b.term, b.leveled)
+    return found.select("aspect", "tau", *[F.round(c, ROUND).alias(c) for c in ("precision", "recall", "coverage")], "n_proteins")
 
 
 _TOOL = "SELECT protein, go_id, aspect, max(CASE WHEN line_number = 4 THEN 1 ELSE line_number / 10.0 END)::DOUBLE AS score FROM v_annotation WHERE line_number <> 2 GROUP BY 1, 2, 3"
@@ -354,14 +377,9 @@ def evaluate_external(b: Bound):
     """A tool's own file, read and judged in each category, with the share of delta proteins that it has any term for."""
     from .files import pannzer_file
 
-    tool = readers.read_pannzer2(b.spark, pannzer_file(b))
-    scores = checkpointed(tool.join(b.term.select("go_id", "aspect"), "go_id"))
-    out = None
-    for category in _CATEGORIES:
-        truth = b.truth.filter(F.col("category") == category)
-        found = evaluation.fmax_weighted(scores, truth, ia(b), b.closure).crossJoin(evaluation.coverage(tool, truth)).withColumn("category", F.lit(category))
-        out = found if out is None else out.unionByName(found)
-    return out
+    tool = graph.checkpointed(readers.read_pannzer2(b.spark, pannzer_file(b)))
+    found = evaluation.fmax_weighted(tool, b.truth, ia(b), b.term, b.leveled, by=("category",))
+    return found.join(evaluation.coverage(tool, b.truth, "category"), "category")
 
 
 _GIVEN = "SELECT protein, go_id, CAST(min(line_number) AS DOUBLE) / 10 AS reranker_score FROM v_annotation WHERE line_number IN (1, 3) GROUP BY 1, 2"
