@@ -8,21 +8,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str], null_safe: bool) -> Column:
-    return reduce(lambda x, y: x & y, [(a[k].eqNullSafe(b[k]) if null_safe else a[k] == b[k]) for k in keys])
-
-
 def first_occurrence(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key, null keys equal."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], null_safe: bool = True) -> DataFrame:
-    """existing and the rows of new whose key it doesn't hold. With null_safe off, a null in a key makes a row differ from all others."""
-    fresh = new.join(existing.select(*keys).distinct(), _same(new, existing, keys, null_safe), "left_anti") if not null_safe else new.alias("n").join(existing.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct(), reduce(lambda x, y: x & y, [F.col(f"n.{k}").eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], null_safe: bool = True, order: list | None = None) -> DataFrame:
+    """existing and the rows of new whose key it doesn't hold; of new rows with one key the first by `order` (else by their other columns, nulls first).
+
+    With null_safe off, a null in a key makes a row differ from all others, so all such rows are inserted.
+    """
+    order = [F.col(c).asc_nulls_first() for c in existing.columns if c not in keys] or [F.lit(0)] if order is None else order
+    if null_safe:
+        once = first_occurrence(new, keys, order)
+        held = existing.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        fresh = once.join(held, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_anti")
+    else:
+        blank = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
+        once = first_occurrence(new.filter(~blank), keys, order).unionByName(new.filter(blank))
+        fresh = once.join(existing.select(*keys).distinct(), keys, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
 
 
+def one_offer(new: DataFrame, key: str, order: list | None) -> DataFrame:
+    """The last offer of each key by `order`; without an order, a key that is offered twice is an error. Rows without a key stay."""
+    if order is None:
+        reject_duplicates(new.filter(F.col(key).isNotNull()), key)
+        return new
+    return first_occurrence(new.filter(F.col(key).isNotNull()), [key], [F.col(c).desc_nulls_last() if isinstance(c, str) else c.desc() for c in order]).unionByName(new.filter(F.col(key).isNull()))
+
+
 def dedupe_sequences(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Distinct hashes of new rows (sequence_hash) with how many rows share each and whether it exists already."""
     own = new.groupBy("sequence_hash").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -30,11 +45,13 @@ def dedupe_sequences(new: DataFrame, existing: DataFrame) -> DataFrame:
     return own.join(known, "sequence_hash", "left").select("sequence_hash", "n_rows", F.col("_known").isNotNull().alias("reused"))
 
 
-def upsert_fill(old: DataFrame, new: DataFrame, key: str, fill: list[str], overwrite: list[str]) -> DataFrame:
+def upsert_fill(old: DataFrame, new: DataFrame, key: str, fill: list[str], overwrite: list[str], order: list | None = None) -> DataFrame:
     """Old rows take new values where theirs are null or blank, `overwrite` columns always do; unknown keys are inserted. `change` says what happened.
 
-    A row that nothing is offered for stays as it is, blanks too.
+    A row that nothing is offered for stays as it is, blanks too. Of several offers of a key the last by `order` counts; without an order they
+    are an error. Old keys are unique, so those of the result are.
     """
+    new = one_offer(new, key, order)
     o, n = old.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
     both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
 
@@ -48,10 +65,10 @@ def upsert_fill(old: DataFrame, new: DataFrame, key: str, fill: list[str], overw
     return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *[v.alias(c) for c, v in values.items()], change.alias("change"))
 
 
-def upsert_overwrite(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New values replace old ones by key, null-safe comparison tells whether anything changed."""
+def upsert_overwrite(old: DataFrame, new: DataFrame, key: str, order: list | None = None) -> DataFrame:
+    """New values replace old ones by key, null-safe comparison tells whether anything changed. Several offers of a key are dealt with as in `upsert_fill`."""
     columns = [c for c in old.columns if c != key]
-    return upsert_fill(old, new, key, [], columns)
+    return upsert_fill(old, new, key, [], columns, order)
 
 
 def replace_or_skip(old: DataFrame, new: DataFrame, key: str, skip_existing: bool) -> DataFrame:

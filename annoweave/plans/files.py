@@ -13,6 +13,7 @@ from ..functions.scoring import PRESETS
 from ..operators import evaluation, graph, knn, maintenance, reranker, transfer
 from ..operators.relational import labelled
 from ..sources import readers, sinks
+from ..sources.versions import Versions
 from ..streaming import ingest
 from .bindings import Bound
 from .registry import query
@@ -253,16 +254,23 @@ def split_store(b: Bound):
 
 # -- set operations and maintenance
 
-_HALF = "SELECT DISTINCT protein, go_id, evidence_code FROM v_annotation WHERE line_order % 2 = {r}"
+_HELD = "SELECT protein, go_id, evidence_code, min(line_order * 10 + line_number) AS line FROM v_annotation WHERE line_order % 2 = {r} GROUP BY 1, 2, 3"
 
 
 def half(b: Bound, r: int) -> DataFrame:
-    return b.annotation.filter(F.col("line_order") % 2 == r).select("protein", "go_id", "evidence_code").distinct()
+    return b.annotation.filter(F.col("line_order") % 2 == r).select("protein", "go_id", "evidence_code", (F.col("line_order") * 10 + F.col("line_number")).alias("line"))
 
 
-@query("insert_ignore", f"{_HALF.format(r=0)} UNION {_HALF.format(r=1)}")
+@query(
+    "insert_ignore",
+    f"""WITH held AS ({_HELD.format(r=0)}) SELECT * FROM held UNION ALL SELECT * FROM ({_HELD.format(r=1)}) n
+ WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.protein = n.protein AND h.go_id = n.go_id AND h.evidence_code IS NOT DISTINCT FROM n.evidence_code)""",
+)
 def insert_ignore(b: Bound):
-    return maintenance.insert_ignore(half(b, 0), half(b, 1), ["protein", "go_id", "evidence_code"])
+    """Lines of odd orders into those of even ones; many share a key, of which the first line stays."""
+    keys = ["protein", "go_id", "evidence_code"]
+    held = half(b, 0).groupBy(*keys).agg(F.min("line").alias("line"))
+    return maintenance.insert_ignore(held, half(b, 1), keys, order=["line"])
 
 
 @query("concat_splits", "SELECT protein, go_id, evidence_code FROM v_old UNION ALL SELECT protein, go_id, evidence_code FROM v_annotation")
@@ -278,24 +286,26 @@ def dedupe_sequences(b: Bound):
 
 def versions(b: Bound) -> tuple[DataFrame, DataFrame]:
     old = b.protein.filter("idx % 4 != 0").select("accession", F.when(F.col("idx") % 3 == 0, "").otherwise(F.col("gene_name")).alias("gene_name"), F.col("entry_name"), F.lit(True).alias("is_canonical"))
-    new = b.protein.filter("idx % 5 != 0").select("accession", F.lit("new gene").alias("gene_name"), F.lit("new entry").alias("entry_name"), "is_canonical")
-    return old, new
+    offer = b.protein.filter("idx % 5 != 0")
+    new = offer.select("accession", F.lit("new gene").alias("gene_name"), F.lit("new entry").alias("entry_name"), "is_canonical", F.lit(1).alias("at"))
+    later = offer.filter("idx % 7 = 3").select("accession", F.lit("newer gene").alias("gene_name"), F.lit("new entry").alias("entry_name"), "is_canonical", F.lit(2).alias("at"))
+    return old, new.unionByName(later)
 
 
 _OLD = "(SELECT accession, CASE WHEN idx % 3 = 0 THEN '' ELSE gene_name END AS gene_name, entry_name, TRUE AS is_canonical FROM v_protein WHERE idx % 4 <> 0)"
-_NEW = "(SELECT accession, 'new gene' AS gene_name, 'new entry' AS entry_name, is_canonical FROM v_protein WHERE idx % 5 <> 0)"
+_NEW = "(SELECT accession, CASE WHEN idx % 7 = 3 THEN 'newer gene' ELSE 'new gene' END AS gene_name, 'new entry' AS entry_name, is_canonical FROM v_protein WHERE idx % 5 <> 0)"
 
 
 @query(
     "upsert_fill",
-    f"""SELECT accession, 'new gene' AS gene_name, 'new entry' AS entry_name, is_canonical, 'inserted' AS change FROM {_NEW} WHERE accession NOT IN (SELECT accession FROM {_OLD})
+    f"""SELECT accession, gene_name, entry_name, is_canonical, 'inserted' AS change FROM {_NEW} WHERE accession NOT IN (SELECT accession FROM {_OLD})
  UNION ALL SELECT *, 'kept' FROM {_OLD} WHERE accession NOT IN (SELECT accession FROM {_NEW})
  UNION ALL SELECT o.accession, CASE WHEN o.gene_name IS NULL OR o.gene_name = '' THEN n.gene_name ELSE o.gene_name END, CASE WHEN o.entry_name IS NULL OR o.entry_name = '' THEN n.entry_name ELSE o.entry_name END, n.is_canonical,
   CASE WHEN o.gene_name IS NULL OR o.gene_name = '' OR o.entry_name IS NULL OR o.entry_name = '' OR NOT n.is_canonical THEN 'updated' ELSE 'kept' END FROM {_OLD} o JOIN {_NEW} n ON o.accession = n.accession""",
 )
 def upsert_fill(b: Bound):
     old, new = versions(b)
-    return maintenance.upsert_fill(old, new, "accession", ["gene_name", "entry_name"], ["is_canonical"])
+    return maintenance.upsert_fill(old, new, "accession", ["gene_name", "entry_name"], ["is_canonical"], order=["at"])
 
 
 @query(
@@ -305,7 +315,23 @@ def upsert_fill(b: Bound):
   o.accession IS NULL AS inserted, n.accession IS NOT NULL AS offered, o.gene_name AS og, o.entry_name AS oe, o.is_canonical AS oc FROM {_OLD} o FULL JOIN {_NEW} n ON o.accession = n.accession)""",
 )
 def upsert_overwrite(b: Bound):
-    return maintenance.upsert_overwrite(*versions(b), "accession")
+    return maintenance.upsert_overwrite(*versions(b), "accession", order=["at"])
+
+
+@query(
+    "publish_versions",
+    f"""SELECT accession, gene_name, entry_name, is_canonical FROM (SELECT coalesce(o.accession, n.accession) AS accession, CASE WHEN n.accession IS NOT NULL THEN n.gene_name ELSE o.gene_name END AS gene_name, CASE WHEN n.accession IS NOT NULL THEN n.entry_name ELSE o.entry_name END AS entry_name, CASE WHEN n.accession IS NOT NULL THEN n.is_canonical ELSE o.is_canonical END AS is_canonical
+ FROM {_OLD} o FULL JOIN {_NEW} n ON o.accession = n.accession) WHERE gene_name IS DISTINCT FROM ''""",
+)
+def publish_versions(b: Bound):
+    """A table published, overwritten by offers and rid of blank genes, each as a new version; a handle from before the changes reads the last one."""
+    old, new = versions(b)
+    table, reader = Versions(b.spark, path := b.folder("published")), Versions(b.spark, path)
+    table.publish(old)
+    table.update(lambda rows: maintenance.upsert_overwrite(rows, new, "accession", order=["at"]).drop("change"))
+    table.update(lambda rows: rows.filter("gene_name is null or gene_name != ''"))
+    table.drop_others()
+    return reader.read()
 
 
 @query("store_embeddings", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
