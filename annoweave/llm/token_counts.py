@@ -21,6 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.versions import Pointer
 from .common import NOT_WS, checkpointed, map_slices, shared_folder, table, type_of
 
 KEYS = ("source", "lang", "version")
@@ -70,18 +71,23 @@ def revised(counts: DataFrame, version: str, old: str, new: str) -> DataFrame:
 
 
 class Rollup:
-    """Additive totals in a folder that all executors share."""
+    """Additive totals in a folder that all executors share. All handles of a path follow its pointer to the generation in use; there is one writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.pointer = spark, Pointer(spark, path)
+
+    @property
+    def path(self) -> str:
+        """The folder of the generation in use."""
+        return f"{self.pointer.path}/{self.pointer.get() or 'generation-0'}"
 
     def _mark(self) -> DataFrame:
         """A row that adds nothing."""
         one = self.spark.range(1, numPartitions=1)
         return one.select(*[F.lit(None).cast("string").alias(k) for k in KEYS], *[F.lit(0).cast("long").alias(c) for c in ("docs", "tokens")], F.lit(None).cast("string").alias("folded"))
 
-    def _write(self, batch: str, rows: DataFrame) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
+    def _write(self, batch: str, rows: DataFrame, path: str | None = None) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path or self.path)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Puts the batch's signed sums in place; doing so again leaves the totals as they are. False if it is folded already."""
@@ -105,16 +111,16 @@ class Rollup:
         return sums.filter("version is not null and (docs != 0 or tokens != 0)")
 
     def compact(self, into: str) -> None:
-        """Writes the totals as one batch in a new folder, with the ids of all batches it holds, and goes on from there.
+        """Writes the totals as one batch of a new generation, with the ids of all batches it holds, and then moves the pointer there.
 
-        The old folder stays until it is dropped, so a compaction that fails midway leaves a whole state behind.
+        A compaction that fails before that leaves the old generation in use, for new handles too.
         """
         own = self.batches()
         ids = own.select(F.col("batch").alias("folded")).union(own.filter("folded is not null").select("folded")).distinct()
         held = ids.crossJoin(self._mark().drop("folded")).select(*KEYS, "docs", "tokens", "folded")  # the mark is one row
-        new = Rollup(self.spark, f"{self.path.rstrip('/')}-{into}")
-        new._write(into, self.totals().withColumn("folded", F.lit(None).cast("string")).unionByName(held))
-        self.path = new.path
+        name = f"generation-{uuid.uuid4().hex}"
+        self._write(into, self.totals().withColumn("folded", F.lit(None).cast("string")).unionByName(held), f"{self.pointer.path}/{name}")
+        self.pointer.set(name)
 
 
 def state_folder(spark: SparkSession, name: str) -> str:

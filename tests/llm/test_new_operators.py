@@ -1,4 +1,4 @@
-"""Merkle multiproofs, SentencePiece rounds and spelling variants against brute force, and on awkward inputs."""
+"""Merkle multiproofs, SentencePiece rounds, spelling variants and the restarted rollup against brute force, and on awkward inputs."""
 
 import hashlib
 import random
@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from annoweave.llm import merkle, sentence_pieces, spelling
+from annoweave.llm import merkle, sentence_pieces, spelling, token_counts
 from annoweave.llm import entry as llm
 from test_llm import AWKWARD, SCHEMA, docs_of
 
@@ -312,3 +312,30 @@ def test_spelling_on_awkward_tables(spark, awkward, nothing):
     long = docs_of(spark, ["spelling " * 30_000 + "Spellings ÀSPELLING spellingx", None, "speling speling spelliñg spelliñg"])
     rows = [tuple(r) for r in long.select("doc_id", "text").collect()]
     assert as_text(map(tuple, spelling.spelling_variants(long).collect())) == as_text(brute_variants(brute_counts(rows)))
+
+
+# -- op2
+
+
+def test_a_rollup_is_one_state_for_all_handles_and_restarts(spark, monkeypatch):
+    """A new handle on the known path goes on from a compaction; one that dies before the switch leaves the old state in use."""
+    changes = spark.createDataFrame([("s", "en", "v", 1, 3)], token_counts.SCHEMA.replace(", folded string, batch string", ""))
+    path = token_counts.state_folder(spark, "restart")
+    one, two = token_counts.Rollup(spark, path), token_counts.Rollup(spark, path)
+
+    def state(roll):
+        return [(r.docs, r.tokens) for r in roll.totals().collect()]
+
+    one.commit("a", changes)
+    one.commit("b", changes)
+    with monkeypatch.context() as m:
+        m.setattr(type(one.pointer), "set", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            one.compact("base")
+    assert state(one) == state(two) == state(token_counts.Rollup(spark, path)) == [(2, 6)]
+    one.compact("base")
+    assert two.commit("a", changes) is False
+    assert token_counts.Rollup(spark, path).commit("c", changes) is True
+    two.compact("base2")
+    assert one.commit("c", changes) is False
+    assert state(one) == state(two) == state(token_counts.Rollup(spark, path)) == [(3, 9)]
