@@ -538,54 +538,87 @@ def temporal_training(b: Bound):
 
 # -- streaming
 
+_LINE = "protein string, go_id string, qualifier string, evidence_code string, assigned_by string, db_reference string, with_from string, annotation_date string, page long"
+_PAGE = 500
+
+
+def annotation_lines(b: Bound) -> DataFrame:
+    """Whole lines; all lines of a protein in one file, in their order."""
+    own = b.annotation.select(
+        "protein", "go_id", "qualifier", "evidence_code", F.lit("UniProtKB").alias("assigned_by"), F.concat(F.lit("PMID:"), "line_order").alias("db_reference"), F.lit(None).cast("string").alias("with_from"), F.lit("20240101").alias("annotation_date"), F.floor(F.col("line_order") / _PAGE).cast("long").alias("page"), "line_order", "line_number"
+    )
+    return own.repartition("protein").sortWithinPartitions("protein", "line_order", "line_number", "qualifier")
+
+
+def add_lines(b: Bound, folder: str, half: int) -> None:
+    """A delivery of files: the lines of even or odd orders."""
+    annotation_lines(b).filter(F.col("line_order") % 2 == half).drop("line_order", "line_number").write.mode("append").parquet(folder)
+
 
 @query(
     "stream_annotations",
-    "SELECT DISTINCT protein, go_id, evidence_code FROM v_annotation WHERE protein IN (SELECT accession FROM v_protein) AND go_id IN (SELECT go_id FROM v_term WHERE NOT is_obsolete)",
+    """SELECT protein, go_id, evidence_code, qualifier, assigned_by, db_reference, with_from, annotation_date FROM (
+ SELECT protein, go_id, evidence_code, qualifier, 'UniProtKB' AS assigned_by, concat('PMID:', line_order) AS db_reference, CAST(NULL AS STRING) AS with_from, '20240101' AS annotation_date, row_number() OVER (PARTITION BY protein, go_id, evidence_code ORDER BY line_order % 2, line_order, line_number, qualifier NULLS FIRST) AS k
+ FROM v_annotation WHERE protein IN (SELECT accession FROM v_protein) AND go_id IN (SELECT go_id FROM v_term WHERE NOT is_obsolete)) WHERE k = 1""",
 )
 def stream_annotations(b: Bound):
-    lines, path = b.folder("lines"), b.folder("ingested")
-    b.annotation.select("protein", "go_id", "qualifier", "evidence_code").repartition(3).write.parquet(lines)
-    stream = ingest.file_stream(b.spark, lines, "protein string, go_id string, qualifier string, evidence_code string")
-    ingest.stream_annotations(stream, b.protein, b.term.filter("not is_obsolete"), path, b.folder("checkpoint")).awaitTermination()
-    return b.spark.read.parquet(path).select("protein", "go_id", "evidence_code")
+    """Two deliveries, the stream started for each: the first line of a key stays, from whichever it came."""
+    lines, path, checkpoint = b.folder("lines"), b.folder("ingested"), b.folder("checkpoint")
+    for half in (0, 1):
+        add_lines(b, lines, half)
+        stream = ingest.file_stream(b.spark, lines, _LINE, 100).drop("page")
+        ingest.stream_annotations(stream, b.protein, b.term.filter("not is_obsolete"), path, checkpoint).awaitTermination()
+    return b.spark.read.parquet(path).drop("batch")
 
 
 @query("stream_predictions", "SELECT protein, go_id, ref FROM v_prediction")
 def stream_predictions(b: Bound):
+    """Every query delivered twice, predicted once."""
     source, path = b.folder("queries"), b.folder("predicted")
     b.queries.repartition(2).write.parquet(source)
-    stream = ingest.file_stream(b.spark, source, "id string, vector array<double>")
+    b.queries.write.mode("append").parquet(source)
+    stream = ingest.file_stream(b.spark, source, "id string, vector array<double>", 2)
     ingest.stream_predictions(stream, lambda q: knn.knn_exact(q, b.references, 5), b.old_labels, path, b.folder("checkpoint")).awaitTermination()
     return b.spark.read.parquet(path).select("protein", "go_id", "ref")
 
 
-_PAGE = 500
-
-
 @query(
     "ingest_counters",
     f"""SELECT page, count(*) AS read, count(*) FILTER (protein IN (SELECT accession FROM v_protein) AND go_id IN (SELECT go_id FROM v_term)) AS valid
  FROM (SELECT *, CAST(floor(line_order / {_PAGE}) AS BIGINT) AS page FROM v_annotation) GROUP BY 1""",
 )
 def ingest_counters(b: Bound):
-    """Counters of every page of lines, a page being a file."""
-    counts: list[dict] = []
+    """Lines read and valid of every page, kept by the stream over two deliveries."""
+    lines, path, checkpoint = b.folder("lines"), b.folder("counts"), b.folder("checkpoint")
+    for half in (0, 1):
+        add_lines(b, lines, half)
+        ingest.count_pages(ingest.file_stream(b.spark, lines, _LINE, 100), b.protein, b.term, "page", path, checkpoint).awaitTermination()
+    return ingest.page_counts(b.spark, path, "page")
+
+
+@query("ingest_batches", "SELECT count(*) AS read, count(*) FILTER (ok) AS valid, count(DISTINCT CASE WHEN ok THEN concat_ws('|', protein, go_id, coalesce(evidence_code, '')) END) AS inserted FROM (SELECT *, protein IN (SELECT accession FROM v_protein) AND go_id IN (SELECT go_id FROM v_term) AS ok FROM v_annotation)")
+def ingest_batches(b: Bound):
+    """What a listener observed of all batches: lines read, valid and inserted."""
     lines = b.folder("lines")
-    own = b.annotation.select("protein", "go_id", "qualifier", "evidence_code", F.floor(F.col("line_order") / _PAGE).cast("long").alias("page"))
-    own.repartition("page").write.parquet(lines)
-    stream = ingest.file_stream(b.spark, lines, "protein string, go_id string, qualifier string, evidence_code string, page long", 100)
-    ingest.stream_annotations(stream, b.protein, b.term, b.folder("ingested"), b.folder("checkpoint"), counts, page="page").awaitTermination()
-    return b.spark.createDataFrame([(p["page"], p["read"], p["valid"]) for c in counts for p in c["pages"]], "page long, read long, valid long").groupBy("page").agg(F.sum("read").alias("read"), F.sum("valid").alias("valid"))
+    add_lines(b, lines, 0)
+    add_lines(b, lines, 1)
+    counters = ingest.Counters(b.spark)
+    stream = ingest.stream_annotations(ingest.file_stream(b.spark, lines, _LINE, 4), b.protein, b.term, b.folder("ingested"), b.folder("checkpoint"))
+    stream.awaitTermination()
+    found = counters.of(stream)
+    counters.close()
+    return b.spark.createDataFrame([tuple(sum(c[k] for c in found.values()) for k in ("read", "valid", "inserted"))], "read long, valid long, inserted long")
 
 
 @query("ingest_limit", "SELECT least(count(*), 1000) AS read, TRUE AS stopped FROM v_annotation")
 def ingest_limit(b: Bound):
-    """Ingest ends within the first thousand lines, whatever more there is."""
-    counts: list[dict] = []
-    lines = b.folder("lines")
-    b.annotation.select("protein", "go_id", "qualifier", "evidence_code").repartition(3).write.parquet(lines)
-    stream = ingest.file_stream(b.spark, lines, "protein string, go_id string, qualifier string, evidence_code string")
-    ingest.stream_annotations(stream, b.protein, b.term, b.folder("ingested"), b.folder("checkpoint"), counts, total_limit=1_000).awaitTermination()
-    read = sum(c["read"] for c in counts)
+    """Ingest ends with the first thousand lines, also when it is started again with more of them there."""
+    lines, path, checkpoint = b.folder("lines"), b.folder("ingested"), b.folder("checkpoint")
+    counters, read = ingest.Counters(b.spark), 0
+    for half in (0, 1):
+        add_lines(b, lines, half)
+        stream = ingest.stream_annotations(ingest.file_stream(b.spark, lines, _LINE, 100, total_limit=1_000), b.protein, b.term, path, checkpoint)
+        stream.awaitTermination()
+        read = sum(c["read"] for c in counters.of(stream).values())
+    counters.close()
     return b.spark.createDataFrame([(read, read <= 1_000)], "read long, stopped boolean")

@@ -1,94 +1,139 @@
-"""Incremental ingest of annotations and predictions as file streams."""
+"""Incremental ingest of annotations and predictions as file streams.
+
+What is known already is keyed state of the stream, so a batch reads its own lines and nothing of the table. A batch that is run
+again after a failure has the same lines, time and state, and replaces its own folder; so the table is the same whenever a job dies. State and
+table belong to one checkpoint folder. Where keys are many, set `spark.sql.streaming.stateStore.providerClass` to RocksDB's.
+"""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import transfer
-from ..operators.maintenance import first_occurrence
 
 KEY = ["protein", "go_id", "evidence_code"]
-#: Parts of an ingested table.
-PARTS = 32
 
 
-def _append(path: str, keys: list[str], prepare: Callable[[DataFrame], DataFrame], counts: list[dict] | None, total_limit: int | None = None, page: str | None = None) -> Callable[[DataFrame, int], None]:
-    """Appends what is new of a micro-batch under `batch=<id>/part=<n>`, so that a batch that is run again replaces itself.
+def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1, total_limit: int | None = None) -> DataFrame:
+    """Lines of Parquet files with their `place` (file, number in the file); with `total_limit`, only the first ones by age, name and place of files.
 
-    The table is cut into `PARTS` parts by a hash of the key's first column; only parts that the batch has keys in are read for what is there already.
+    Which lines those are depends on the files alone, so a stream that is started again stops at the same line. It is found by one count a file.
     """
-    state = {"read": 0}
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    if total_limit is not None:
+        stream = stream.filter(_before_cut(spark, path, schema, total_limit))
+    return stream.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place"))
+
+
+def _before_cut(spark: SparkSession, path: str, schema: str, total_limit: int) -> Column:
+    age, name, row = F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = spark.read.schema(schema).parquet(path).groupBy(age.alias("age"), name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    before = files.withColumn("before", F.sum("n").over(Window.orderBy("age", "name")) - F.col("n"))  # a row a file
+    cut = before.filter((F.col("before") <= total_limit) & (F.col("before") + F.col("n") > total_limit)).orderBy("before").first()
+    if cut is None:
+        return F.lit(True)
+    earlier = (age < F.lit(cut["age"])) | ((age == F.lit(cut["age"])) & (name < cut["name"]))
+    return earlier | ((name == cut["name"]) & (row < total_limit - cut["before"]))
+
+
+class Counters(StreamingQueryListener):
+    """What streams observed: for each batch how many lines were read, valid and inserted."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__()
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+        self._ended: dict[str, threading.Event] = {}
+        self._spark = spark
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        self._ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics
+        if found:
+            self.batches[str(event.progress.id), event.progress.batchId] = {name: row["n"] or 0 for name, row in found.items()}
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def of(self, query: StreamingQuery) -> dict[int, dict[str, int]]:
+        """Counts by batch of a query that has ended, all runs of it that this listener saw."""
+        self._ended.setdefault(str(query.runId), threading.Event()).wait(60)
+        return {batch: counts for (own, batch), counts in sorted(self.batches.items()) if own == str(query.id)}
+
+    def close(self) -> None:
+        self._spark.streams.removeListener(self)
+
+
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    return df.observe(name, F.count(F.lit(1)).alias("n"))
+
+
+def _replace_batch(path: str, *parts: str) -> Callable[[DataFrame, int], None]:
+    """Writes a micro-batch under `batch=<id>`, in place of what an earlier run of it wrote."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if total_limit is not None:
-            batch = batch.limit(max(0, total_limit - state["read"]))
-        batch = batch.persist()
-        try:
-            read = batch.count()
-            state["read"] += read
-            own = prepare(batch).withColumn("part", F.pmod(F.xxhash64(keys[0]), F.lit(PARTS)).cast("int")).persist()
-            touched = [r["part"] for r in own.select("part").distinct().collect()]  # at most PARTS
-            try:
-                existing = spark.read.parquet(path).filter((F.col("batch") != number) & F.col("part").isin(touched))
-            except AnalysisException as e:  # the first batch: there is no table yet
-                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                    raise
-                existing = own.withColumn("batch", F.lit(0)).limit(0)
-            keyed = existing.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-            fresh = own.alias("n").join(keyed, _same(keys), "left_anti")
-            offered = Observation(f"new-{number}")
-            fresh.observe(offered, F.count(F.lit(1)).alias("inserted")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(path)
-            if counts is not None:
-                inserted = offered.get["inserted"]
-                entry = {"batch": number, "read": read, "inserted": inserted, "skipped": read - inserted}
-                if page is not None:
-                    valid = prepare.valid(batch).groupBy(page).agg(F.count(F.lit(1)).alias("valid"))
-                    entry["pages"] = [r.asDict() for r in batch.groupBy(page).agg(F.count(F.lit(1)).alias("read")).join(valid, page, "left").na.fill(0, ["valid"]).collect()]  # a row a page
-                counts.append(entry)
-            own.unpersist()
-        finally:
-            batch.unpersist()
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *parts).parquet(path)
 
     return run
 
 
-def _same(keys: list[str]):
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(f"n.{k}").eqNullSafe(F.col(f"_{k}"))
-    return out
+def _known(lines: DataFrame, proteins: DataFrame, terms: DataFrame) -> DataFrame:
+    return lines.join(proteins.select(F.col("accession").alias("protein")).distinct(), "protein", "left_semi").join(terms.select("go_id").distinct(), "go_id", "left_semi")
 
 
-def stream_annotations(lines: DataFrame, proteins: DataFrame, terms: DataFrame, path: str, checkpoint: str, counts: list[dict] | None = None, total_limit: int | None = None, page: str | None = None) -> StreamingQuery:
-    """Annotation lines (protein, go_id, qualifier, evidence_code as a stream) filtered by known proteins and terms, deduplicated, appended.
+def stream_annotations(lines: DataFrame, proteins: DataFrame, terms: DataFrame, path: str, checkpoint: str, existing: DataFrame | None = None, sink: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Annotation lines (KEY columns, any others and `place`, as a stream) of known proteins and terms; the first line of each key is appended whole.
 
-    `counts` gets read, inserted and skipped lines of every batch, and with a page column those read and valid of every page. Lines beyond `total_limit` are left.
+    First is the line that arrives in an earlier batch, in one batch the first by place; null keys are equal. The state holds that line with the
+    time of its batch, and a batch hands on the keys whose line bears its own time. `existing` is a table loaded by other means before the
+    stream's first batch. Lines read, valid and inserted are observed under these names.
     """
+    rest = [c for c in lines.columns if c not in (*KEY, "place")]
+    valid = _counted(_known(_counted(lines, "read"), proteins, terms), "valid")
+    if existing is not None:
+        held = existing.select(*[F.col(k).alias(f"_{k}") for k in KEY]).distinct()
+        same = F.lit(True)
+        for k in KEY:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        valid = valid.join(held, same, "left_anti")
+    first = valid.withColumn("_at", F.current_timestamp()).groupBy(*KEY).agg(F.min(F.struct("_at", "place", *rest)).alias("_first"))
+    new = _counted(first.filter(F.col("_first._at") == F.current_timestamp()), "inserted")
+    rows = new.select(*KEY, *[F.col(f"_first.{c}").alias(c) for c in rest])
+    return rows.writeStream.outputMode("update").foreachBatch(sink or _replace_batch(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def valid(batch: DataFrame) -> DataFrame:
-        return batch.join(proteins.select(F.col("accession").alias("protein")).distinct(), "protein", "left_semi").join(terms.select("go_id").distinct(), "go_id", "left_semi")
-
-    def prepare(batch: DataFrame) -> DataFrame:
-        return first_occurrence(valid(batch), KEY, [F.col("qualifier").asc_nulls_first()]).select("protein", "go_id", "qualifier", "evidence_code")
 
-    prepare.valid = valid
-    return lines.writeStream.foreachBatch(_append(path, KEY, prepare, counts, total_limit, page)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def count_pages(lines: DataFrame, proteins: DataFrame, terms: DataFrame, page: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Lines read and valid of every page so far, as a streaming aggregate; each batch writes the pages that it changed."""
+    accessions = proteins.select(F.col("accession").alias("protein"), F.lit(1).alias("_p")).distinct()
+    marked = lines.join(accessions, "protein", "left").join(terms.select("go_id", F.lit(1).alias("_t")).distinct(), "go_id", "left")
+    counts = marked.groupBy(page).agg(F.count(F.lit(1)).alias("read"), F.count(F.col("_p") + F.col("_t")).alias("valid"))
+    return counts.writeStream.outputMode("update").foreachBatch(_replace_batch(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_predictions(queries: DataFrame, neighbours_of: Callable[[DataFrame], DataFrame], annotations: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Query vectors (id, vector as a stream) against static references; predictions are appended unless their (protein, term) is there."""
+def page_counts(spark: SparkSession, path: str, page: str) -> DataFrame:
+    """(page, read, valid) after the last batch; counts only grow."""
+    return spark.read.parquet(path).groupBy(page).agg(F.max("read").alias("read"), F.max("valid").alias("valid"))
 
-    def prepare(batch: DataFrame) -> DataFrame:
-        return transfer.predict_terms(neighbours_of(batch), annotations)
 
-    return queries.writeStream.foreachBatch(_append(path, ["protein", "go_id"], prepare, None)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_predictions(queries: DataFrame, neighbours_of: Callable[[DataFrame], DataFrame], annotations: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Query vectors (id, vector as a stream) against static references. A query counts once, also over batches, so (protein, term) stays unique."""
+    write = _replace_batch(path)
 
+    def run(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            write(transfer.predict_terms(neighbours_of(batch), annotations), number)
+        finally:
+            batch.unpersist()
 
-def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return queries.select("id", "vector").dropDuplicates(["id"]).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

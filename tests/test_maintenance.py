@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from annoweave.operators import maintenance
 from annoweave.sources.versions import Versions
+from annoweave.streaming import ingest
 
 
 def rows(df):
@@ -66,3 +67,91 @@ def test_upserts_of_repeated_offers(spark):
             change(new)
         assert rows(change(new, order=["at"])) == [("x", "m", 3, "updated"), ("y", "v", 1, "kept"), ("z", "p", 1, "inserted")]
         assert rows(change(new, order=[F.col("c")])) == [("x", "m", 3, "updated"), ("y", "v", 1, "kept"), ("z", "q", 2, "inserted")]
+
+
+# -- streams
+
+LINE = "protein string, go_id string, evidence_code string, qualifier string"
+
+
+def deliver(spark, folder, lines):
+    """One file with these lines in order."""
+    spark.createDataFrame(lines, LINE).coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.fixture
+def known(spark):
+    return spark.createDataFrame([("P1",), ("P2",)], "accession string"), spark.createDataFrame([("G1",), ("G2",)], "go_id string")
+
+
+DELIVERIES = [
+    [("P1", "G1", "IEA", "b"), ("P1", "G1", "IEA", "a"), ("P2", "G1", None, None), ("P9", "G1", "IEA", None)],
+    [("P1", "G1", "IEA", "c"), ("P2", "G1", None, "x"), ("P2", "G2", "IDA", "z"), ("P2", "G2", "IDA", "y")],
+    [("P1", "G2", "IMP", None), ("P2", "G9", "IMP", None), ("P2", "G2", "IDA", "q")],
+    [("P1", "G2", "IDA", "late")],
+]
+WANT = sorted([("P1", "G1", "IEA", "b"), ("P2", "G1", None, None), ("P2", "G2", "IDA", "z"), ("P1", "G2", "IMP", None), ("P1", "G2", "IDA", "late")], key=repr)
+
+
+def ingested(spark, path):
+    return sorted([tuple(r) for r in spark.read.parquet(path).select("protein", "go_id", "evidence_code", "qualifier").collect()], key=repr)
+
+
+@pytest.mark.parametrize("after", [False, True])
+@pytest.mark.parametrize("dies", [0, 1, 2])
+def test_a_stream_killed_at_any_batch_gives_the_same_table(spark, tmp_path, known, dies, after):
+    """Killed before or after a batch is written, then started again: one row a key, the first line, whole."""
+    lines, path, checkpoint = f"{tmp_path}/lines", f"{tmp_path}/table", f"{tmp_path}/checkpoint"
+    for d in DELIVERIES:
+        deliver(spark, lines, d)
+    write = ingest._replace_batch(path)
+
+    def killed(batch, number):
+        if number != dies or after:
+            write(batch, number)
+        if number == dies:
+            raise RuntimeError("killed")
+
+    stream = lambda: ingest.file_stream(spark, lines, LINE)
+    with pytest.raises(Exception, match="killed"):
+        ingest.stream_annotations(stream(), *known, path, checkpoint, sink=killed).awaitTermination()
+    ingest.stream_annotations(stream(), *known, path, checkpoint).awaitTermination()
+    assert ingested(spark, path) == WANT
+    ingest.stream_annotations(stream(), *known, path, checkpoint).awaitTermination()  # nothing new
+    assert ingested(spark, path) == WANT
+
+
+def test_a_limit_holds_over_restarts(spark, tmp_path, known):
+    """Five lines: the first file and one of the next, whenever the stream is started and whatever comes later."""
+    lines, path, checkpoint = f"{tmp_path}/lines", f"{tmp_path}/table", f"{tmp_path}/checkpoint"
+    counters, read = ingest.Counters(spark), 0
+    for k, d in enumerate(DELIVERIES):
+        deliver(spark, lines, d)
+        if k != 1:
+            run = ingest.stream_annotations(ingest.file_stream(spark, lines, LINE, 1, total_limit=5), *known, path, checkpoint)
+            run.awaitTermination()
+            read = sum(c["read"] for c in counters.of(run).values())
+    counters.close()
+    assert read == 5
+    assert ingested(spark, path) == sorted([WANT[k] for k in range(5) if WANT[k] in (("P1", "G1", "IEA", "b"), ("P2", "G1", None, None))], key=repr)
+
+
+def test_streams_pass_over_a_table_loaded_before(spark, tmp_path, known):
+    lines, path = f"{tmp_path}/lines", f"{tmp_path}/table"
+    deliver(spark, lines, DELIVERIES[1])
+    held = spark.createDataFrame([("P2", "G1", None, "old")], LINE)
+    counters = ingest.Counters(spark)
+    run = ingest.stream_annotations(ingest.file_stream(spark, lines, LINE), *known, path, f"{tmp_path}/checkpoint", existing=held)
+    run.awaitTermination()
+    assert ingested(spark, path) == sorted([("P1", "G1", "IEA", "c"), ("P2", "G2", "IDA", "z")], key=repr)
+    assert list(counters.of(run).values()) == [{"read": 4, "valid": 4, "inserted": 2}]
+    counters.close()
+
+
+def test_pages_are_counted_over_batches(spark, tmp_path, known):
+    lines, path = f"{tmp_path}/lines", f"{tmp_path}/counts"
+    for d in DELIVERIES:
+        deliver(spark, lines, d)
+    paged = ingest.file_stream(spark, lines, LINE).withColumn("page", F.col("go_id"))
+    ingest.count_pages(paged, *known, "page", path, f"{tmp_path}/checkpoint").awaitTermination()
+    assert rows(ingest.page_counts(spark, path, "page")) == [("G1", 6, 5), ("G2", 5, 5), ("G9", 1, 0)]
