@@ -68,25 +68,28 @@ def thresholds(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(STEPS + 1).select(F.col("id").cast("int").alias("i"), (F.col("id") * F.lit(0.01)).alias("threshold"))
 
 
-def pr_curve(scored: DataFrame, truth: DataFrame, *keys: str, groups: DataFrame | None = None) -> DataFrame:
+def pr_curve(scored: DataFrame, truth: DataFrame, *keys: str, groups: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Micro-averaged precision, recall and F1 at 101 thresholds for each group of the keys.
 
     Only proteins with ground truth count; a pair's best score counts; recall is over all true pairs. Each pair falls into
     one bucket and buckets are summed from above, so nothing is multiplied by the thresholds. Groups are those of the scored rows unless given.
+    `by` names columns of truth, and perhaps of scored rows: each of their values is judged against its own truth, those without truth don't appear.
     """
-    pairs = truth.select("protein", "go_id").distinct()
-    within = scored.join(pairs.select("protein").distinct(), "protein", "left_semi")
-    best = within.groupBy(*keys, "protein", "go_id").agg(F.max("score").alias("score"))
-    hit = best.join(pairs.withColumn("hit", F.lit(1)), ["protein", "go_id"], "left")
-    counted = hit.groupBy(*keys, reached(F.col("score")).alias("n")).agg(F.count(F.lit(1)).alias("predicted"), F.count("hit").alias("right"))
-    total = pairs.agg(F.count(F.lit(1)).alias("total"))
+    by, own_by = list(by), [c for c in by if c in scored.columns]
+    keys = [k for k in keys if k not in by]
+    pairs = truth.select(*by, "protein", "go_id").distinct()
+    within = scored.join(pairs.select(*by, "protein").distinct(), [*own_by, "protein"])
+    best = within.groupBy(*by, *keys, "protein", "go_id").agg(F.max("score").alias("score"))
+    hit = best.join(pairs.withColumn("hit", F.lit(1)), [*by, "protein", "go_id"], "left")
+    counted = hit.groupBy(*by, *keys, reached(F.col("score")).alias("n")).agg(F.count(F.lit(1)).alias("predicted"), F.count("hit").alias("right"))
+    total = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
     if groups is None:
-        groups = scored.select(*keys).distinct() if keys else total.select()
-    grid = groups.crossJoin(F.broadcast(thresholds(scored)))
+        groups = scored.select(*keys).distinct() if keys else total.select().limit(1) if by else total.select()
+    grid = groups.crossJoin(total).crossJoin(F.broadcast(thresholds(scored)))
+    keys = [*by, *keys]
     grid = grid.withColumn("n", F.col("i") + 1).join(counted, [*keys, "n"], "left")
     above = Window.partitionBy(*keys).orderBy(F.desc("n")) if keys else Window.orderBy(F.desc("n"))
-    summed = grid.select(*keys, "threshold", F.sum(F.coalesce("predicted", F.lit(0))).over(above).alias("predicted"), F.sum(F.coalesce("right", F.lit(0))).over(above).alias("right"))
-    summed = summed.crossJoin(F.broadcast(total))
+    summed = grid.select(*keys, "threshold", "total", F.sum(F.coalesce("predicted", F.lit(0))).over(above).alias("predicted"), F.sum(F.coalesce("right", F.lit(0))).over(above).alias("right"))
     precision = F.when(F.col("predicted") > 0, F.col("right") / F.col("predicted")).otherwise(0.0)
     recall = F.when(F.col("total") > 0, F.col("right") / F.col("total")).otherwise(0.0)
     summed = summed.withColumns({"p": precision, "r": recall})

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 # The BLOSUM62 matrix, rows and columns in this order.
 RESIDUES = "ARNDCQEGHILKMFPSTWYVBZX*"
 BLOSUM62 = """
@@ -117,6 +119,26 @@ def alignment_features(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     return met.repartition("query", "ref").mapInPandas(run, f"query {pairs.schema['query'].dataType.simpleString()}, ref {pairs.schema['ref'].dataType.simpleString()}, {kinds}")
 
 
+def lineages(parents: DataFrame) -> DataFrame:
+    """(taxonomy_id, lineage) of (taxonomy_id, parent): the way from the root to the taxon itself, by pointer doubling.
+
+    A taxon without a parent, with itself as parent, or with one that isn't in the table is a root. A taxon on a cycle, or below one, has no
+    lineage. Each round joins every taxon with the one its way has reached and takes over that one's way, so rounds grow with the
+    logarithm of the depth.
+    """
+    own = parents.select("taxonomy_id", F.when(F.col("parent") != F.col("taxonomy_id"), F.col("parent")).alias("parent")).groupBy("taxonomy_id").agg(F.min("parent").alias("parent"))
+    there = own.select(F.col("taxonomy_id").alias("parent"), F.lit(True).alias("_there"))
+    ways = own.join(there, "parent", "left").select("taxonomy_id", F.when(F.col("_there"), F.col("parent")).alias("next"), F.array("taxonomy_id").alias("way"))
+    ways = graph.checkpointed(ways)
+    while ways.filter("next is not null").head(1):
+        onward = ways.select(F.col("taxonomy_id").alias("next"), F.col("next").alias("_next"), F.col("way").alias("_way"))
+        longer = ways.filter("next is not null").join(onward, "next").select("taxonomy_id", F.col("_next").alias("next"), F.concat("way", "_way").alias("way"))
+        # A way that comes back to where it has been, or leads to one that did, ends without a lineage: it takes no part in later rounds.
+        open_ = longer.filter(~F.coalesce(F.array_contains("way", F.col("next")), F.lit(False)))
+        ways = graph.checkpointed(ways.filter("next is null").unionByName(open_))
+    return ways.select("taxonomy_id", F.reverse("way").alias("lineage"))
+
+
 def taxonomy_features(pairs: DataFrame, lineages: DataFrame) -> DataFrame:
     """pairs (with query_taxonomy_id, ref_taxonomy_id) and the lowest common ancestor, distance, common ancestors and relation.
 

@@ -8,25 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import scalars, vectors
 
 
-def aggregate_layers(layers: Column, how: str = "mean") -> Column:
-    """One vector of an array<struct<layer, vector>>: the mean, the last of the sorted layers, or all joined in order."""
-    ordered = F.transform(F.array_sort(layers), lambda s: s["vector"])
-    if how == "last":
-        return F.element_at(ordered, 1)  # the first of the sorted layer numbers, the shallowest asked for
-    if how == "concat":
-        return F.flatten(ordered)
-    if how == "mean":
-        zero = F.transform(F.element_at(ordered, 1), lambda x: F.lit(0.0))
-        total = F.aggregate(ordered, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-        return F.transform(total, lambda x: x / F.size(ordered))
-    raise ValueError(f"unknown aggregation {how}")
-
-
 def pool_layers(layers: DataFrame, how: str = "mean") -> DataFrame:
-    """(sequence_id, embedding) from (sequence_id, layer, vector) with any number of layers: the mean, or the shallowest asked for ("last").
+    """(sequence_id, embedding) from (sequence_id, layer, vector) with any number of layers: the mean, the shallowest asked for ("last"), or all joined from there ("concat").
 
-    Nothing is gathered by sequence: means are partial sums by dimension, the other is a running choice.
+    Means are partial sums by dimension and the last is a running choice; only the joined vector, which is the result itself, is gathered by sequence.
     """
+    if how == "concat":
+        ordered = F.array_sort(F.collect_list(F.struct("layer", "vector")))
+        return layers.groupBy("sequence_id").agg(F.flatten(F.transform(ordered, lambda s: s["vector"])).alias("embedding"))
     if how == "last":
         return layers.groupBy("sequence_id").agg(F.min_by("vector", "layer").alias("embedding"))
     if how != "mean":

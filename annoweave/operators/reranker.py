@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Names of features.
 NUMERIC = (
     "distance", "identity_nw", "similarity_nw", "alignment_score_nw", "gaps_pct_nw", "alignment_length_nw", "identity_sw", "similarity_sw", "alignment_score_sw", "gaps_pct_sw", "alignment_length_sw",
     "length_query", "length_ref", "taxonomic_distance", "taxonomic_common_ancestors", "vote_count", "k_position", "go_term_frequency", "ref_annotation_density", "neighbor_distance_std",
@@ -132,16 +133,22 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return [(INPUTS[i].removesuffix("_i"), float(v)) for i, v in enumerate(model.stages[-1].featureImportances.toArray())]
 
 
-def route(scored_by_model: dict[str, PipelineModel], predictions: DataFrame) -> DataFrame:
-    """Each aspect by its own model, aspects without one by 1 - d/2: protein, go_id, aspect, score."""
+def route(models: dict[str, dict[str, PipelineModel]], predictions: DataFrame) -> DataFrame:
+    """Predictions (with category and aspect) by the model of their category and aspect: category, protein, go_id, aspect, score, source.
+
+    A category's model under "" scores all of its aspects, those without an aspect too. Where there is no model, the score is 1 - d/2.
+    """
     from ..functions.scalars import distance_score
 
-    parts = [apply(m, predictions.filter(F.col("aspect") == a)).select("protein", "go_id", "aspect", F.col("reranker_score").alias("score")) for a, m in scored_by_model.items()]
-    rest = predictions.filter(~F.coalesce(F.col("aspect").isin(*scored_by_model), F.lit(False))) if scored_by_model else predictions
-    out = rest.select("protein", "go_id", "aspect", distance_score(F.col("distance")).alias("score"))
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    columns = ["category", "protein", "go_id", "aspect"]
+    left, out = predictions, None
+    for category, by_aspect in models.items():
+        for aspect, model in {"": by_aspect[""]}.items() if "" in by_aspect else by_aspect.items():
+            own = F.col("category").eqNullSafe(category) & (F.lit(True) if aspect == "" else F.col("aspect").eqNullSafe(aspect))
+            found = apply(model, left.filter(own)).select(*columns, F.col("reranker_score").alias("score"), F.lit("model").alias("source"))
+            out, left = found if out is None else out.unionByName(found), left.filter(~own)
+    rest = left.select(*columns, distance_score(F.col("distance")).alias("score"), F.lit("distance").alias("source"))
+    return rest if out is None else out.unionByName(rest)
 
 
 def temporal_pairs(versions: list[str], available: set[str]) -> list[tuple[str, str]]:

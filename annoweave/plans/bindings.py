@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import evidence
-from ..operators import evaluation, graph, knn, transfer
+from ..operators import evaluation, features, graph, knn, transfer
 from ..operators.graph import checkpointed
 
 # `since` is the first release (0 to 3) that knows a line: by its date, later for every fifth protein and for one namespace of another fifth.
@@ -221,7 +221,10 @@ class Bound:
 
     @cached_property
     def lineage(self) -> DataFrame:
-        return self.view("v_lineage").select("taxonomy_id", F.array(F.lit(1), F.col("region") + 100, F.col("taxonomy_id")).alias("lineage"))
+        """Nations below regions below one root."""
+        own = self.view("v_lineage")
+        root = self.spark.range(1).select(F.lit(1).alias("taxonomy_id"), F.lit(1).alias("parent"))
+        return features.lineages(own.select("taxonomy_id", (F.col("region") + 100).alias("parent")).union(own.select((F.col("region") + 100), F.lit(1)).distinct()).union(root))
 
     def folder(self, name: str) -> str:
         """A new folder below the shared one, for files that a query writes and reads."""

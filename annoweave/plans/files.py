@@ -63,7 +63,9 @@ def obo_file(b: Bound) -> str:
     space = F.when(F.col("aspect") == "F", "molecular_function").when(F.col("aspect") == "P", "biological_process").otherwise("cellular_component")
     definition = F.when(F.col("t") % 10 == 0, "def: none").otherwise(F.concat(F.lit('def: "about '), "name", F.lit('" [x "y"]')))
     lines = F.concat(F.array(F.lit("[Term]"), F.concat(F.lit("id: "), "go_id"), F.concat(F.lit("name: "), "name"), F.concat(F.lit("namespace: "), space), definition, F.when(F.col("is_obsolete"), "is_obsolete: true").otherwise("comment: x"), F.lit("relationship: has_part GO:0000001"), F.lit("is_a: CHEBI:1")), F.coalesce("edges", F.array().cast("array<string>")))
-    return b.text_file("obo", b.term.join(parents, "go_id", "left").select(F.concat(F.array_join(lines, "\n"), F.lit("\n\n[Typedef]\nid: part_of\nname: part of\n"))))
+    stanzas = b.term.join(parents, "go_id", "left").select(F.concat(F.array_join(lines, "\n"), F.lit("\n\n[Typedef]\nid: part_of\nname: part of\n")).alias("value"))
+    head = b.spark.range(1).select(F.lit("format-version: 1.2\ndata-version: releases/2024-01-17\n"))
+    return b.text_file("obo", head.union(stanzas))
 
 
 @query("read_obo_terms", "SELECT go_id, name, aspect, CASE WHEN t % 10 <> 0 THEN concat('about ', name) END AS definition, is_obsolete FROM v_term")
@@ -214,34 +216,30 @@ def export_gt(b: Bound):
 
 @query(
     "export_delta_fasta",
-    """SELECT p.accession, concat('>', p.accession, coalesce(' ' || p.entry_name, ''), ' OS=', p.organism, ' OX=', p.taxonomy_id, ' (', l.label, ')', chr(10), rtrim(regexp_replace(md5(p.accession) || md5(p.organism), '(.{60})', '\\1' || chr(10), 'g'), chr(10))) AS record
- FROM v_protein p JOIN (SELECT protein, min(CASE category WHEN 'NK' THEN 'NK' WHEN 'LK' THEN 'LK' ELSE 'PK' END) FILTER (TRUE) AS x, CASE WHEN bool_or(category = 'NK') THEN 'NK' WHEN bool_or(category = 'LK') THEN 'LK' ELSE 'PK' END AS label FROM v_truth GROUP BY 1) l ON l.protein = p.accession""",
+    f"""SELECT p.accession, concat('>', p.accession, coalesce(' ' || p.entry_name, ''), ' OS=', p.organism, ' OX=', p.taxonomy_id, ' (', l.label, ')', chr(10), rtrim(regexp_replace({_SEQ.format(t='d.text')}, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))) AS record
+ FROM v_protein p JOIN documents d ON d.doc_id = p.idx JOIN (SELECT protein, CASE WHEN bool_or(category = 'NK') THEN 'NK' WHEN bool_or(category = 'LK') THEN 'LK' ELSE 'PK' END AS label FROM v_truth GROUP BY 1) l ON l.protein = p.accession""",
 )
 def export_delta_fasta(b: Bound):
-    proteins = b.protein.withColumn("sequence", F.concat(F.md5("accession"), F.md5("organism")))
+    """Proteins with new terms and their sequences: the letters of whole texts."""
     path = b.folder("delta-fasta")
-    sinks.write_fasta(sinks.delta_fasta(b.truth, proteins), path)
-    records = b.spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>|\n$", "").alias("r")).filter("r != ''")
+    sinks.write_fasta(sinks.delta_fasta(b.truth, fasta_records(b)), path)
+    records = b.spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>|\n+$", "").alias("r")).filter("r != ''")
     return records.select(F.split("r", " ")[0].alias("accession"), F.concat(F.lit(">"), "r").alias("record"))
 
 
 _METRICS = " UNION ALL ".join(
-    f"SELECT '{c}' AS category, '{a}' AS aspect, CASE WHEN isfinite(fmax) THEN fmax ELSE 0 END AS fmax, CASE WHEN isfinite(threshold_at_fmax) THEN threshold_at_fmax ELSE 0 END AS threshold_at_fmax, CASE WHEN isfinite(auc_pr) THEN auc_pr ELSE 0 END AS auc_pr FROM ({fmax_sql(curve_sql(f'SELECT * FROM ({_SCORED}) WHERE aspect = {a!r}', f'SELECT protein, go_id FROM v_truth WHERE category = {c!r} AND aspect = {a!r}'))})"
+    f"SELECT '{c}' AS category, '{a}' AS aspect, fmax, threshold_at_fmax, auc_pr FROM ({fmax_sql(curve_sql(f'SELECT * FROM ({_SCORED}) WHERE aspect = {a!r}', f'SELECT protein, go_id FROM v_truth WHERE category = {c!r} AND aspect = {a!r}'))}) WHERE EXISTS (SELECT 1 FROM v_truth WHERE category = '{c}' AND aspect = '{a}')"
     for c in ("NK", "LK", "PK") for a in ("P", "F", "C")
 )
 
 
 @query("export_metrics", _METRICS)
 def export_metrics(b: Bound):
-    """Fmax, its threshold and the area of each category and namespace, as a file; 0 where a cell has no truth."""
-    out, own = None, graph.checkpointed(scored(b))
-    for category in sinks.CATEGORY_ORDER:
-        for aspect in sinks.ASPECT_ORDER:
-            truth = b.truth.filter((F.col("category") == category) & (F.col("aspect") == aspect))
-            found = evaluation.fmax(evaluation.pr_curve(own.filter(F.col("aspect") == aspect), truth)).select(F.lit(category).alias("category"), F.lit(aspect).alias("aspect"), "fmax", "threshold_at_fmax", "auc_pr")
-            out = found if out is None else out.unionByName(found)
+    """Fmax, its threshold and the area of each category and namespace, as a file; cells without truth are skipped."""
+    curve = evaluation.pr_curve(scored(b), b.truth, by=("category", "aspect"))
+    found = evaluation.fmax(curve, "category", "aspect")
     path = b.folder("metrics")
-    sinks.write_tsv(sinks.metric_rows(out), path)
+    sinks.write_tsv(sinks.metric_rows(found), path)
     return b.spark.read.csv(path, sep=TAB, header=True, schema="category string, aspect string, fmax double, threshold_at_fmax double, auc_pr double")
 
 
@@ -510,30 +508,37 @@ def val_metrics(b: Bound):
 
 @query("route_models")
 def route_models(b: Bound):
-    """Namespace P by its model, the others by distance, on the last pair of releases."""
-    models = reranker.train_by_aspect(prepared(b), ("P",), rounds=ROUNDS)
-    last = reranker.prepare_features(pair_rows(b, *b.releases[-2:]))
-    return reranker.route(models, last).withColumn("score", F.round("score", 6))
+    """The last pair of releases: NK by a model a namespace, LK by one model for all, PK by distance."""
+    models = {"NK": reranker.train_by_aspect(prepared(b), ("P", "F"), rounds=ROUNDS), "LK": {"": reranker.train(prepared(b), rounds=ROUNDS)}}
+    last = None
+    for category in ("NK", "LK", "PK"):
+        own = reranker.prepare_features(pair_rows(b, *b.releases[-2:], category)).withColumn("category", F.lit(category))
+        last = own if last is None else last.unionByName(own)
+    return reranker.route(models, graph.checkpointed(last)).withColumn("score", F.round("score", 6))
 
 
 @query("temporal_training")
 def temporal_training(b: Bound):
-    """One model a category: trained on the pairs of releases before the last, judged on the last pair by Fmax against 1 - d/2."""
+    """One row a category: a model trained on the pairs of releases before the last, judged on the last pair by Fmax against 1 - d/2.
+
+    Where the training rows lack a label no model can be trained, and where the last pair has no truth none can be judged: gains are null there.
+    """
     pairs, (old, new) = reranker.temporal_pairs(list(b.releases[:-1]), set(b.releases)), b.releases[-2:]
-    out = None
+    found = []
     for category in ("NK", "LK", "PK"):
         rows = reranker.prepare_features(reranker.temporal_training_rows(pairs, lambda o, n, c=category: pair_rows(b, o, n, c)))
         rows = graph.checkpointed(reranker.stratified_split(rows, ["split", "protein", "go_id"]))
-        if rows.filter("not is_val").select("label").distinct().count() < 2:
-            continue
-        model = reranker.train(rows, rounds=ROUNDS)
-        test = graph.checkpointed(reranker.prepare_features(pair_rows(b, old, new, category)))
+        trained = rows.filter("not is_val").select("label").distinct().count() == 2
+        gains = (None, None)
         truth = graph.checkpointed(pair_truth(b, old, new).filter(F.col("category") == category))
-        base = evaluation.fmax(evaluation.pr_curve(test.select("protein", "go_id", scalars.distance_score(F.col("distance")).alias("score")), truth))
-        own = evaluation.fmax(evaluation.pr_curve(reranker.apply(model, test).select("protein", "go_id", F.col("reranker_score").alias("score")), truth))
-        found = evaluation.compare(base, own).withColumn("category", F.lit(category))
-        out = found if out is None else out.unionByName(found)
-    return out
+        if trained and truth.head(1):
+            model = reranker.train(rows, rounds=ROUNDS)
+            test = graph.checkpointed(reranker.prepare_features(pair_rows(b, old, new, category)))
+            base = evaluation.fmax(evaluation.pr_curve(test.select("protein", "go_id", scalars.distance_score(F.col("distance")).alias("score")), truth))
+            own = evaluation.fmax(evaluation.pr_curve(reranker.apply(model, test).select("protein", "go_id", F.col("reranker_score").alias("score")), truth))
+            gains = tuple(evaluation.compare(base, own).first())
+        found.append((category, rows.count(), trained, *gains))
+    return b.spark.createDataFrame(found, "category string, n_rows long, trained boolean, fmax_gain double, auc_gain double")
 
 
 # -- streaming

@@ -309,19 +309,15 @@ _SETS = f"""SELECT 'nearest' AS prediction_set, config, protein, go_id, score FR
 _CATEGORIES = ("NK", "LK", "PK")
 
 
-@query("experiment_sweep", " UNION ALL ".join(f"SELECT '{c}' AS category, * FROM ({fmax_sql(curve_sql(_SETS, f'SELECT protein, go_id FROM v_truth WHERE category = {c!r}', 'prediction_set, config'), 'prediction_set, config')})" for c in _CATEGORIES))
+@query("experiment_sweep", " UNION ALL ".join(f"SELECT '{c}' AS category, * FROM ({fmax_sql(curve_sql(_SETS, f'SELECT protein, go_id FROM v_truth WHERE category = {c!r}', 'prediction_set, config'), 'prediction_set, config')}) WHERE EXISTS (SELECT 1 FROM v_truth WHERE category = '{c}')" for c in _CATEGORIES))
 def experiment_sweep(b: Bound):
     """Prediction sets by configurations by categories: Fmax, its threshold and the area under the curve."""
     swept = relational.sweep(b.prediction, configs(b))
     near = b.prediction.filter("distance <= 0.7").select("protein", "go_id")
     sets = checkpointed(swept.withColumn("prediction_set", F.lit("nearest")).unionByName(swept.join(near, ["protein", "go_id"], "left_semi").withColumn("prediction_set", F.lit("near"))))
     groups = sets.select("prediction_set", "config").distinct()
-    out = None
-    for category in _CATEGORIES:
-        found = evaluation.fmax(evaluation.pr_curve(sets, b.truth.filter(F.col("category") == category), "prediction_set", "config", groups=groups), "prediction_set", "config")
-        own = found.withColumn("category", F.lit(category))
-        out = own if out is None else out.unionByName(own)
-    return out
+    curve = evaluation.pr_curve(sets.drop("aspect"), b.truth, "prediction_set", "config", groups=groups, by=("category",))
+    return evaluation.fmax(curve, "category", "prediction_set", "config")
 
 
 _IA = "SELECT go_id, CAST(1 + t % 7 AS DOUBLE) / 4 AS ia FROM v_term WHERE t % 5 <> 0"
@@ -406,13 +402,18 @@ def l2_normalize(b: Bound):
     return own.select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
-@query("agg_layers", "SELECT label, i, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS mean, round(first(CAST(embedding[i] AS DOUBLE) ORDER BY vec_id), 5) AS last FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2")
+@query(
+    "agg_layers",
+    """SELECT label, i, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS mean, round(first(CAST(embedding[i] AS DOUBLE) ORDER BY vec_id), 5) AS last, round(first(CAST(embedding[i] AS DOUBLE) ORDER BY vec_id DESC), 5) AS joined_last FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2""",
+)
 def agg_layers(b: Bound):
-    """Vectors of one label as the layers of one sequence, any number of them."""
+    """Vectors of one label as the layers of one sequence, any number of them; of the joined vector the part of the deepest layer."""
     layers = b.table("embeddings").select(F.col("label").alias("sequence_id"), F.col("vec_id").alias("layer"), F.col("embedding").cast("array<double>").alias("vector"))
-    cells = {how: pooling.pool_layers(layers, how).select("sequence_id", F.posexplode("embedding").alias("i", how)) for how in ("mean", "last")}
-    both = cells["mean"].join(cells["last"], ["sequence_id", "i"])
-    return both.select(F.col("sequence_id").alias("label"), (F.col("i") + 1).cast("long").alias("i"), F.round("mean", 5).alias("mean"), F.round("last", 5).alias("last"))
+    found = {how: pooling.pool_layers(layers, how) for how in ("mean", "last", "concat")}
+    found["concat"] = found["concat"].withColumn("embedding", F.slice("embedding", -64, 64))
+    cells = [df.select(F.col("sequence_id").alias("label"), F.posexplode("embedding").alias("i", how)) for how, df in found.items()]
+    both = cells[0].join(cells[1], ["label", "i"]).join(cells[2], ["label", "i"])
+    return both.select("label", (F.col("i") + 1).cast("long").alias("i"), *[F.round(c, 5).alias(n) for c, n in (("mean", "mean"), ("last", "last"), ("concat", "joined_last"))])
 
 
 @query(

@@ -25,6 +25,11 @@ def _fields(line: Column | str = "value") -> Column:
     return F.split(F.col(line) if isinstance(line, str) else line, "\t")
 
 
+def _place() -> Column:
+    """Where a line of a text source stands: file, beginning of the split, and the order within it. Places compare as lines follow one another, files by name."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(~F.col("value").startswith("#"))
 
@@ -73,7 +78,8 @@ def obo_version(spark: SparkSession, path: str) -> str:
 
 
 def read_obo_terms(spark: SparkSession, path: str) -> DataFrame:
-    """(go_id, name, aspect, definition, is_obsolete) of the [Term] stanzas."""
+    """(go_id, name, aspect, definition, is_obsolete) of the [Term] stanzas. An ontology without a data-version is an error."""
+    obo_version(spark, path)
     stanzas = _stanzas(spark, path)
     aspect = F.lit(None).cast("string")
     for name, letter in NAMESPACES.items():
@@ -83,7 +89,8 @@ def read_obo_terms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_obo_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(child, parent, relation_type) between known terms."""
+    """(child, parent, relation_type) between known terms. An ontology without a data-version is an error."""
+    obo_version(spark, path)
     stanzas = _stanzas(spark, path)
     lines = stanzas.select(F.col("go_id").alias("child"), F.explode("lines").alias("l"))
     is_a = F.regexp_extract("l", r"^is_a:\s+(GO:[^\s!]+)", 1)
@@ -107,8 +114,8 @@ def read_quickgo(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eco_map(spark: SparkSession, path: str) -> DataFrame:
-    """(eco_id, code): the first two tokens of lines that start ECO:, the last line of an id wins."""
-    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t"), F.monotonically_increasing_id().alias("at")).filter("size(t) >= 2 and startswith(t[0], 'ECO:')")
+    """(eco_id, code): the first two tokens of lines that start ECO:, the last line of an id wins, files in order of their names."""
+    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t"), _place().alias("at")).filter("size(t) >= 2 and startswith(t[0], 'ECO:')")
     return rows.groupBy(F.col("t")[0].alias("eco_id")).agg(F.max_by(F.col("t")[1], "at").alias("code"))
 
 
@@ -130,8 +137,8 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_emapper(spark: SparkSession, path: str) -> DataFrame:
-    """(protein, go_id); of a repeated protein the last line with terms counts."""
-    rows = _lines(spark, path).select(_fields().alias("f"), F.monotonically_increasing_id().alias("at")).filter("size(f) >= 10")
+    """(protein, go_id); of a repeated protein the last line with terms counts, files in order of their names."""
+    rows = _lines(spark, path).select(_fields().alias("f"), _place().alias("at")).filter("size(f) >= 10")
     terms = F.array_distinct(F.filter(F.transform(F.split(F.col("f")[9], ","), lambda x: F.trim(x)), lambda x: x.startswith("GO:")))
     last = rows.select(F.col("f")[0].alias("protein"), "at", terms.alias("terms")).filter("size(terms) > 0").groupBy("protein").agg(F.max_by("terms", "at").alias("terms"))
     return last.select("protein", F.explode("terms").alias("go_id"))
