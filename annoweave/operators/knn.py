@@ -11,16 +11,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors
 from .graph import checkpointed
 
 BLOCK = 2_048
+#: Queries, and references, that a cell of the grid holds about.
+CELL = 16_384
+#: References that a bucket of the hashing keeps about.
+BUCKET = 64
+#: References that could be compared in the time a bucket takes.
+PROBE = 32
 #: References that cells are fitted on at most, and queries that the number of probes is measured on.
 FIT_ROWS = 100_000
 MEASURED_QUERIES = 200
@@ -95,16 +103,106 @@ def search(met: DataFrame, k: int, metric: str, threshold: float | None, q_type:
     return met.select("q_ids", "q", "r_ids", "r", "groups").mapInPandas(local, f"aspect string, query {q_type}, ref {r_type}, distance double")
 
 
-def block_search(queries: DataFrame, references: DataFrame, k: int, metric: str, threshold: float | None, rows: int) -> DataFrame:
-    """Every block of queries against every block of references."""
-    q = blocks(queries, rows).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q"))
-    r = blocks(references, rows).select(F.col("ids").alias("r_ids"), F.col("matrix").alias("r"), "groups")
-    return search(q.crossJoin(r), k, metric, threshold, queries.schema["id"].dataType.simpleString(), references.schema["id"].dataType.simpleString())
+def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    own = column.combine_chunks()
+    own = own if isinstance(own, pa.ListArray) else pa.concat_arrays(own.chunks)
+    return own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
 
 
-def knn_exact(queries: DataFrame, references: DataFrame, k: int = 5, metric: str = "cosine", threshold: float | None = None, rows: int = BLOCK) -> DataFrame:
-    """Exact neighbours, block by block; the only shuffle has k rows a query and block."""
-    return top_k(block_search(queries.select("id", "vector"), references.select("id", "vector"), k, metric, threshold, rows).drop("aspect"), k)
+def cell_search(k: int, metric: str, threshold: float | None, rows: int, types: list[str]):
+    """The kernel of a cell: its queries against its references, `rows` of each at a time, and the k nearest references of each query (and group) in the cell.
+
+    References are taken in order of their ids and a repeated one counts once. With buckets, only those of one bucket meet.
+    """
+    arrow = to_arrow_schema(T.StructType.fromDDL(f"aspect string, query {types[0]}, ref {types[1]}, distance double"))
+
+    def meeting(x: np.ndarray, near: np.ndarray, y: np.ndarray, named: list | None) -> pd.DataFrame:
+        """(q, ref, distance, aspect), q being the number of the query."""
+        order = np.argsort(near, kind="stable")
+        near, y = near[order], y[order]
+        sets = {name: [i for i, at in enumerate(order) if name in named[at]] for name in sorted({n for own in named for n in own})} if named else {None: range(len(near))}
+        found = []
+        for name, members in sets.items():
+            members = np.asarray(members)
+            _, code = np.unique(near[members], return_inverse=True)
+            edges = [0, *np.flatnonzero(np.r_[False, code[1:] != code[:-1]]), len(members)]
+            for top in range(0, len(x), rows):
+                best = None
+                at = 0
+                while at < len(members):
+                    # A part ends where an id does, so all rows of a reference are in one part.
+                    end = next((e for e in edges[np.searchsorted(edges, min(at + rows, len(members))) :]), len(members))
+                    part = members[at:end]
+                    d = distances(x[top : top + rows], y[part], metric)
+                    first = np.flatnonzero(np.r_[True, near[part][1:] != near[part][:-1]])
+                    least = np.minimum.reduceat(d, first, axis=1)
+                    i, j = nearest(least, k)
+                    fresh = pd.DataFrame({"q": i + top, "ref": near[part][first][j], "distance": least[i, j]})
+                    best = fresh if best is None else pd.concat([best, fresh]).sort_values(["q", "distance", "ref"], kind="stable").groupby("q").head(k)
+                    at = end
+                found.append(best.assign(aspect=name))
+        return pd.concat(found)
+
+    def local(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not q.num_rows or not r.num_rows:
+            return arrow.empty_table()
+        own, near = np.asarray(q.column("q_id").to_pylist()), np.asarray(r.column("r_id").to_pylist())
+        x, y = matrix_of(q.column("q_vector")), matrix_of(r.column("r_vector"))
+        if "_bucket" in q.column_names:
+            order = np.argsort(near, kind="stable")
+            near, y = near[order], y[order]
+            mine, theirs = q.select(["_bucket", "_share"]).to_pandas().groupby(["_bucket", "_share"]).indices, r.select(["_bucket", "_share"]).to_pandas().iloc[order].groupby(["_bucket", "_share"]).indices
+            found = []
+            for key in mine.keys() & theirs.keys():
+                b = theirs[key]
+                first = np.flatnonzero(np.r_[True, near[b][1:] != near[b][:-1]])
+                for top in range(0, len(mine[key]), 512):
+                    a = mine[key][top : top + 512]
+                    d = distances(x[a], y[b], metric)
+                    least = d if len(first) == len(b) else np.minimum.reduceat(d, first, axis=1)
+                    i, j = nearest(least, k)
+                    found.append((own[a][i], near[b][first][j], least[i, j]))
+            if not found:
+                return arrow.empty_table()
+            out = pd.DataFrame(dict(zip(("q", "ref", "distance"), map(np.concatenate, zip(*found, strict=True)), strict=True))).assign(aspect=None)
+            out = out.sort_values(["q", "distance", "ref"]).drop_duplicates(["q", "ref"]).groupby("q").head(k)
+            own, out = out["q"].to_numpy(), out.assign(q=np.arange(len(out)))
+        else:
+            out = meeting(x, near, y, r.column("groups").to_pylist() if "groups" in r.column_names else None)
+        out = out if threshold is None else out[out["distance"] <= threshold]
+        return pa.Table.from_arrays([pa.array(out["aspect"].tolist(), arrow.field(0).type), pa.array(own[out["q"].to_numpy()].tolist(), arrow.field(1).type), pa.array(out["ref"].tolist(), arrow.field(2).type), pa.array(out["distance"].to_numpy())], schema=arrow)
+
+    return local, f"aspect string, query {types[0]}, ref {types[1]}, distance double"
+
+
+def as_rows(df: DataFrame, side: str) -> DataFrame:
+    """Vectors as `<side>_id` and `<side>_vector`: columns of their own, also where both sides come from one table."""
+    own = df.filter("vector is not null")
+    return own.select(F.col("id").alias(f"{side}_id"), F.col("vector").cast("array<float>").alias(f"{side}_vector"), *([F.col("groups").alias("groups")] if "groups" in df.columns else []))
+
+
+def types_of(queries: DataFrame, references: DataFrame) -> list[str]:
+    return [df.schema["id"].dataType.simpleString() for df in (queries, references)]
+
+
+def block_search(queries: DataFrame, references: DataFrame, k: int, metric: str, threshold: float | None, rows: int, cell: int = CELL) -> DataFrame:
+    """Every query against every reference, on a grid: queries are dealt to its rows and references to its columns, by ids.
+
+    A cell holds about `cell` of each. A query goes once to every column and a reference once to every row, so what is moved is the queries times
+    the columns and the references times the rows, and each cell gives k rows a query.
+    """
+    q, r = as_rows(queries, "q"), as_rows(references, "r")
+    down, across = (max(1, math.ceil(df.count() / cell)) for df in (q, r))
+    q = q.withColumn("_row", F.pmod(F.xxhash64("q_id"), F.lit(down)).cast("int")).withColumn("_col", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    r = r.withColumn("_col", F.pmod(F.xxhash64("r_id"), F.lit(across)).cast("int")).withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    kernel, schema = cell_search(k, metric, threshold, rows, types_of(queries, references))
+    return q.groupBy("_row", "_col").cogroup(r.groupBy("_row", "_col")).applyInArrow(kernel, schema)
+
+
+def knn_exact(queries: DataFrame, references: DataFrame, k: int = 5, metric: str = "cosine", threshold: float | None = None, rows: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """Exact neighbours over a grid of cells; behind it the only shuffle has k rows a query and column."""
+    return top_k(block_search(queries.select("id", "vector"), references.select("id", "vector"), k, metric, threshold, rows, cell).drop("aspect"), k)
 
 
 def knn_ivf(queries: DataFrame, references: DataFrame, k: int = 5, cells: int | None = None, probes: int | None = None, metric: str = "cosine", seed: int = 42, recall: float = 0.95, rows: int = BLOCK) -> DataFrame:
@@ -159,14 +257,98 @@ def or_exact(found: DataFrame, queries: DataFrame, references: DataFrame, k: int
     return found.join(full.withColumnRenamed("id", "query"), "query", "left_semi").select("query", "rank", "ref", "distance").unionByName(knn_exact(short, references, k, metric))
 
 
-def knn_lsh(queries: DataFrame, references: DataFrame, k: int = 5, tables: int = 8, width: float = 0.5, seed: int = 42) -> DataFrame:
-    """Random projections of unit vectors: candidates share a slot in a table, cosine distance is d²/2. Queries with fewer than k candidates are searched exactly."""
-    unit = array_to_vector(vectors.l2_normalize(F.col("vector").cast("array<double>")))
-    q, r = (df.filter("vector is not null").select("id", unit.alias("unit")) for df in (queries, references))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=seed).fit(r)
-    found = model.approxSimilarityJoin(q, r, 2.01, "euclid")  # two unit vectors are never farther apart than 2
-    near = top_k(found.select(F.col("datasetA.id").alias("query"), F.col("datasetB.id").alias("ref"), (F.col("euclid") ** 2 / 2).alias("distance")), k)
-    return or_exact(near, queries, references, k, "cosine")
+class SignHashing:
+    """Tables of buckets by the signs of several random projections each; a query looks into the buckets that lie nearest to it."""
+
+    #: Signs of a table, those with the smallest projections, that probes may flip.
+    FREE = 10
+
+    def __init__(self, dim: int, tables: int, bits: int, seed: int):
+        self.tables, self.bits = tables, bits
+        self.planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
+
+    def _sides(self, x: np.ndarray) -> np.ndarray:
+        return (x.astype(np.float64) @ self.planes).reshape(len(x), self.tables, self.bits)
+
+    def _numbers(self, sides: np.ndarray) -> np.ndarray:
+        return ((sides > 0) << np.arange(self.bits)).sum(2) + (np.arange(self.tables) << self.bits)
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        """The bucket of each vector in each table."""
+        return self._numbers(self._sides(x))
+
+    def probed(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The `probes` nearest buckets of each vector in each table, by the squared projections that would have to change sign."""
+        sides = self._sides(x)
+        free = min(self.FREE, self.bits)
+        low = np.argsort(np.abs(sides), axis=2, kind="stable")[:, :, :free]
+        margin = np.take_along_axis(sides, low, 2) ** 2
+        subsets = (np.arange(1 << free)[:, None] >> np.arange(free)) & 1
+        near = np.argsort(margin @ subsets.T, axis=2, kind="stable")[:, :, :probes]
+        flips = ((subsets[near] << low[:, :, None, :]).sum(3)).astype(np.int64)
+        return self._numbers(sides)[:, :, None] ^ flips
+
+
+def knn_lsh(queries: DataFrame, references: DataFrame, k: int = 5, tables: int = 16, bits: int | None = None, probes: int | None = None, seed: int = 42, recall: float = 0.92, cell: int = CELL) -> DataFrame:
+    """Buckets by the signs of `bits` random projections in each of `tables` tables (cosine); a query is compared with the references of the buckets it probes.
+
+    Bits grow with the logarithm of the references: at least so many that a bucket keeps about `BUCKET` of them. Unless given, bits and probes
+    are measured: the least number of buckets a table that finds the share `recall` of the exact neighbours of at most `MEASURED_QUERIES`
+    queries, and of the numbers of bits the one that then compares least. How few pairs that are depends on the vectors: neighbours that are
+    hardly nearer than others take many probes. Large buckets are split. Queries with fewer than k candidates are searched exactly.
+    """
+    queries, references = queries.select("id", "vector").filter("vector is not null"), references.select("id", "vector").filter("vector is not null")
+    n = references.count()
+    if not n:
+        return knn_exact(queries, references, k)
+    dim, least = len(references.first()["vector"]), max(4, math.ceil(math.log2(n / BUCKET)))
+    plans = [SignHashing(dim, tables, own, seed) for own in ([bits] if bits else range(least, least + 7))]
+    hashing, probes = (plans[0], probes) if probes else measured_probes(plans, queries, references, k, recall, n)
+
+    def placed(df: DataFrame, side: str, buckets) -> DataFrame:
+        names = [f"{side}_id", f"{side}_vector", "_bucket"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    found = buckets(matrix_of(pa.chunked_array([b.column(1)]))).reshape(b.num_rows, -1)
+                    take = pa.array(np.repeat(np.arange(b.num_rows), found.shape[1]))
+                    yield pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in (0, 1)], pa.array(found.ravel().astype(np.int64))], names)
+
+        return as_rows(df, side).mapInArrow(run, f"{side}_id {df.schema['id'].dataType.simpleString()}, {side}_vector array<float>, _bucket long")
+
+    r = placed(references, "r", hashing.homes)
+    sizes = checkpointed(r.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))  # at most tables * 2^bits rows, as bits are bounded by the references
+    shares = F.ceil(F.col("_n") / cell).cast("int")
+    r = r.join(sizes, "_bucket").withColumn("_share", F.pmod(F.xxhash64("r_id"), shares).cast("int")).drop("_n")
+    q = placed(queries, "q", lambda x: hashing.probed(x, probes)).join(sizes, "_bucket").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_n")
+    groups = max(1, math.ceil(n * tables / cell))  # of whole buckets, or of shares of large ones
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("_group", F.pmod(F.xxhash64("_bucket", "_share"), F.lit(groups)).cast("int"))
+
+    kernel, schema = cell_search(k, "cosine", None, BLOCK, types_of(queries, references))
+    met = dealt(q).groupBy("_group").cogroup(dealt(r).groupBy("_group")).applyInArrow(kernel, schema)
+    return or_exact(top_k(met.drop("aspect"), k), queries, references, k, "cosine")
+
+
+def measured_probes(plans: list[SignHashing], queries: DataFrame, references: DataFrame, k: int, recall: float, n: int) -> tuple[SignHashing, int]:
+    """The hashing that compares least of n references, a probe counted as `PROBE` of them, and how many buckets of a table it probes, to find the share `recall` of exact neighbours of some queries."""
+    some = queries.orderBy(F.xxhash64("id"), "id").limit(MEASURED_QUERIES)
+    pairs = knn_exact(some, references, k).select(F.col("query").alias("id"), "ref").join(some, "id").join(references.select(F.col("id").alias("ref"), F.col("vector").alias("near")), "ref").toPandas()  # at most MEASURED_QUERIES * k
+    if not len(pairs):
+        return plans[-1], 1
+    own, near, found = np.stack(pairs["vector"].to_numpy()), np.stack(pairs["near"].to_numpy()), []
+    for plan in plans:
+        most = 1 << min(plan.FREE, plan.bits)
+        homes, at = plan.homes(near), []
+        for i in range(len(own)):
+            hit = plan.probed(own[i : i + 1], most)[0] == homes[i][:, None]
+            at.append(np.where(hit.any(1), hit.argmax(1), most).min() + 1)
+        probes = int(min(most, np.sort(at)[max(0, math.ceil(recall * len(at)) - 1)]))
+        found.append((probes * (PROBE + n / (1 << plan.bits)), plan, probes))
+    _, plan, probes = min(found, key=lambda x: x[0])
+    return plan, probes
 
 
 def knn_per_aspect(queries: DataFrame, references: DataFrame, annotated: DataFrame, k: int = 5, metric: str = "cosine", rows: int = BLOCK) -> DataFrame:
