@@ -317,19 +317,26 @@ def knn_lsh(queries: DataFrame, references: DataFrame, k: int = 5, tables: int =
 
         return as_rows(df, side).mapInArrow(run, f"{side}_id {df.schema['id'].dataType.simpleString()}, {side}_vector array<float>, _bucket long")
 
-    r = placed(references, "r", hashing.homes)
-    sizes = checkpointed(r.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))  # at most tables * 2^bits rows, as bits are bounded by the references
-    shares = F.ceil(F.col("_n") / cell).cast("int")
-    r = r.join(sizes, "_bucket").withColumn("_share", F.pmod(F.xxhash64("r_id"), shares).cast("int")).drop("_n")
-    q = placed(queries, "q", lambda x: hashing.probed(x, probes)).join(sizes, "_bucket").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_n")
-    groups = max(1, math.ceil(n * tables / cell))  # of whole buckets, or of shares of large ones
+    r, q = placed(references, "r", hashing.homes), placed(queries, "q", lambda x: hashing.probed(x, probes))
+    return or_exact(top_k(bucket_search(q, r, k, "cosine", n * tables, cell), k), queries, references, k, "cosine")
+
+
+def bucket_search(q: DataFrame, r: DataFrame, k: int, metric: str, rows: int, cell: int = CELL) -> DataFrame:
+    """(query, ref, distance): queries (q_id, q_vector, _bucket) against the references (r_id, r_vector, _bucket) of their buckets, k a query and group.
+
+    A group is a set of whole buckets, or of shares of those with more than `cell` references, and has about `cell` of the `rows` references.
+    """
+    sizes = checkpointed(r.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))  # a row a bucket
+    shares, groups = F.ceil(F.col("_n") / cell).cast("int"), max(1, math.ceil(rows / cell))
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumn("_group", F.pmod(F.xxhash64("_bucket", "_share"), F.lit(groups)).cast("int"))
+        return df.withColumn("_group", F.pmod(F.xxhash64("_bucket", "_share"), F.lit(groups)).cast("int")).drop("_n")
 
-    kernel, schema = cell_search(k, "cosine", None, BLOCK, types_of(queries, references))
-    met = dealt(q).groupBy("_group").cogroup(dealt(r).groupBy("_group")).applyInArrow(kernel, schema)
-    return or_exact(top_k(met.drop("aspect"), k), queries, references, k, "cosine")
+    types = [df.schema[c].dataType.simpleString() for df, c in ((q, "q_id"), (r, "r_id"))]
+    r = dealt(r.join(sizes, "_bucket").withColumn("_share", F.pmod(F.xxhash64("r_id"), shares).cast("int")))
+    q = dealt(q.join(sizes, "_bucket").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1))))
+    kernel, schema = cell_search(k, metric, None, BLOCK, types)
+    return q.groupBy("_group").cogroup(r.groupBy("_group")).applyInArrow(kernel, schema).drop("aspect")
 
 
 def measured_probes(plans: list[SignHashing], queries: DataFrame, references: DataFrame, k: int, recall: float, n: int) -> tuple[SignHashing, int]:
