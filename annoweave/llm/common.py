@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -64,6 +65,14 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def release() -> None:
+    """Gives memory that kernels have freed back to the system, since a worker lives on for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(df: DataFrame, start: Callable[[], Callable[[dict[str, pa.Array]], dict]], schema: str, rows: int = SLICE) -> DataFrame:
     """df through a Python kernel, `rows` rows at a time as Arrow columns.
 
@@ -75,10 +84,13 @@ def map_slices(df: DataFrame, start: Callable[[], Callable[[dict[str, pa.Array]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = start()
         for batch in batches:
+            release()
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 found = kernel(dict(zip(part.schema.names, part.columns, strict=True)))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c := found[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
+        del kernel
+        release()
 
     return df.mapInArrow(run, schema)
 

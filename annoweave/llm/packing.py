@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Memo, table, text_or_empty, type_of
+from .common import Memo, release, table, text_or_empty, type_of
 
 LENGTH = 2_048
 END = 1
@@ -190,6 +190,8 @@ def pack(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end:
                 if held >= window:
                     yield packed(False)
         yield packed(True)
+        del encoder, packer, docs
+        release()
 
     return rows.mapInArrow(run, schema)
 
