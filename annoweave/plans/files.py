@@ -13,7 +13,7 @@ from ..functions.scoring import PRESETS
 from ..operators import evaluation, graph, maintenance, reranker, transfer
 from ..operators.cell_index import CellIndex
 from ..operators.relational import labelled
-from ..sources import readers, sinks
+from ..sources import loads, readers, sinks
 from ..sources.versions import Versions
 from ..streaming import ingest
 from .bindings import Bound
@@ -79,8 +79,8 @@ def read_obo_edges(b: Bound):
     return readers.read_obo_edges(b.spark, obo_file(b))
 
 
-def gaf_lines(b: Bound) -> DataFrame:
-    own = b.annotation
+def gaf_lines(b: Bound, own: DataFrame | None = None) -> DataFrame:
+    own = b.annotation if own is None else own
     e, blank = F.lit(""), F.lit("UniProtKB")
     fields = [blank, "protein", e, F.coalesce("qualifier", e), F.concat(F.lit(" "), "go_id"), F.concat(F.lit("PMID:"), F.col("line_order").cast("string")), F.coalesce("evidence_code", e), e, "aspect", e, e, e, e, F.lit("20240101"), blank]
     return own.select(F.when(F.col("line_number") == 7, "too\tshort").otherwise(F.concat_ws(TAB, *fields)).alias("value")).union(b.spark.createDataFrame([("!gaf-version: 2.2",), ("",)], "value string"))
@@ -102,6 +102,33 @@ def read_quickgo(b: Bound):
     return readers.read_quickgo(b.spark, path)
 
 
+_LOADED = """SELECT protein, go_id, evidence_code, qualifier, assigned_by, db_reference, with_from, annotation_date FROM (SELECT *, row_number() OVER (PARTITION BY protein, go_id, evidence_code ORDER BY line_order, line_number, qualifier NULLS FIRST) AS k FROM ({rows}) WHERE go_id IN (SELECT go_id FROM v_term WHERE NOT is_obsolete)) WHERE k = 1"""
+
+
+def in_order(b: Bound) -> DataFrame:
+    """Lines of one key in one file, in their order."""
+    return b.annotation.repartition("protein").sortWithinPartitions("protein", "line_order", "line_number", "qualifier")
+
+
+@query("load_gaf", _LOADED.format(rows="SELECT *, 'UniProtKB' AS assigned_by, concat('PMID:', line_order) AS db_reference, CAST(NULL AS STRING) AS with_from, '20240101' AS annotation_date FROM v_annotation WHERE line_number <> 7 AND protein IN (SELECT canonical_accession FROM v_protein)"))
+def load_gaf(b: Bound):
+    """GAF lines of canonical accessions and current terms, the first of each key whole."""
+    path = b.folder("gaf")
+    gaf_lines(b, in_order(b)).write.text(path)
+    return loads.load_gaf(readers.read_gaf(b.spark, path, places=True), b.protein, b.term.filter("not is_obsolete"))
+
+
+@query("load_quickgo", _LOADED.format(rows="SELECT a.* EXCLUDE (evidence_code), coalesce(e.code, a.evidence_code) AS evidence_code, 'GOC' AS assigned_by, concat('PMID:', line_order) AS db_reference, CAST(NULL AS STRING) AS with_from, CAST(NULL AS STRING) AS annotation_date FROM v_annotation a LEFT JOIN (SELECT 'ECO:0000314' AS eco, 'IDA' AS code) e ON e.eco = a.evidence_code WHERE protein IN (SELECT accession FROM v_protein)"))
+def load_quickgo(b: Bound):
+    """QuickGO rows of plain accessions; evidence by the map where it knows a code, so some rows have the key of another one."""
+    header = ["GENE PRODUCT ID", "QUALIFIER", "GO TERM", "ECO ID", "REFERENCE", "ASSIGNED BY"]
+    rows = in_order(b).select(F.concat_ws(TAB, "protein", F.coalesce("qualifier", F.lit("")), "go_id", F.coalesce("evidence_code", F.lit("")), F.concat(F.lit("PMID:"), "line_order"), F.lit("GOC")).alias("value"))
+    path = b.folder("quickgo")
+    rows.toDF(TAB.join(header)).write.csv(path, sep="\x01", header=True, quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    eco = readers.read_eco_map(b.spark, b.text_file("eco", b.spark.range(1).select(F.lit("ECO:0000314 IDA Default"))))
+    return loads.load_quickgo(readers.read_quickgo(b.spark, path, places=True), b.protein, b.term.filter("not is_obsolete"), eco)
+
+
 @query("read_eco_map", "SELECT concat('ECO:', lpad(CAST(p_partkey AS STRING), 7, '0')) AS eco_id, p_brand AS code FROM part WHERE p_brand NOT LIKE '% %'")
 def read_eco_map(b: Bound):
     eco = F.concat(F.lit("ECO:"), F.lpad(F.col("p_partkey").cast("string"), 7, "0"))

@@ -100,17 +100,17 @@ def read_obo_edges(spark: SparkSession, path: str) -> DataFrame:
     return edges.join(known, "parent", "left_semi").select("child", "parent", "relation_type")
 
 
-def read_gaf(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations of a GAF file, plain or gzip; lines of less than 15 fields are dropped. Only protein and GO id are trimmed, blanks are null."""
-    rows = spark.read.text(path).filter("value != '' and not startswith(value, '!')").select(_fields().alias("f")).filter("size(f) >= 15")
-    return rows.select(*[(F.trim(F.col("f")[i]) if c in ("protein", "go_id") else F.nullif(F.col("f")[i], F.lit(""))).alias(c) for c, i in GAF_COLUMNS.items()])
+def read_gaf(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """Annotations of a GAF file, plain or gzip; lines of less than 15 fields are dropped. Only protein and GO id are trimmed, blanks are null. With `places`, where each line stands."""
+    rows = spark.read.text(path).filter("value != '' and not startswith(value, '!')").select(_fields().alias("f"), *([_place().alias("place")] if places else [])).filter("size(f) >= 15")
+    return rows.select(*(["place"] if places else []), *[(F.trim(F.col("f")[i]) if c in ("protein", "go_id") else F.nullif(F.col("f")[i], F.lit(""))).alias(c) for c, i in GAF_COLUMNS.items()])
 
 
-def read_quickgo(spark: SparkSession, path: str) -> DataFrame:
-    """Rows under their header's names; rows shorter than the header are dropped, every field is trimmed and blanks are null."""
+def read_quickgo(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """Rows under their header's names; rows shorter than the header are dropped, every field is trimmed and blanks are null. With `places`, where each line stands."""
     header = spark.read.text(path).first()["value"].split("\t")
-    rows = spark.read.text(path).filter(F.col("value") != F.lit("\t".join(header))).select(_fields().alias("f")).filter(F.size("f") >= len(header))
-    return rows.select(*[scalars.blank_to_null(F.col("f")[i]).alias(c) for i, c in enumerate(header)])
+    rows = spark.read.text(path).filter(F.col("value") != F.lit("\t".join(header))).select(_fields().alias("f"), *([_place().alias("place")] if places else [])).filter(F.size("f") >= len(header))
+    return rows.select(*(["place"] if places else []), *[scalars.blank_to_null(F.col("f")[i]).alias(c) for i, c in enumerate(header)])
 
 
 def read_eco_map(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annoweave.operators import evaluation, features, pooling, reranker
-from annoweave.sources import readers
+from annoweave.sources import loads, readers
 
 
 def lineages_of(spark, pairs):
@@ -97,3 +97,23 @@ def test_models_by_category_and_aspect(spark, monkeypatch):
     assert got["NK", "F"] == got["NK", None] == got["PK", "P"] == (0.75, "distance")
     assert got["LK", "P"] == got["LK", None] == (0.2, "model")
     assert {r.score for r in reranker.route({}, rows).collect()} == {0.75}
+
+
+def test_loads_by_their_own_rules(spark, tmp_path):
+    """GAF knows canonical accessions, QuickGO plain ones; codes are mapped before keys are compared; keys of the table stay."""
+    proteins = spark.createDataFrame([("P1", "P1"), ("P1-2", "P1"), ("P2", "P2")], "accession string, canonical_accession string")
+    terms = spark.createDataFrame([("GO:1",)], "go_id string")
+
+    def gaf(protein, evidence, reference, go="GO:1"):
+        return "\t".join(["U", protein, "", "enables", go, reference, evidence, "", *"x" * 5, "2024", "by"])
+
+    (tmp_path / "a.gaf").write_text("\n".join(["!x", gaf("P1", "IEA", "first"), gaf("P1", "IEA", "second"), gaf("P1-2", "IEA", "isoform"), gaf("P2", "", "none"), gaf("P2", "", "again"), gaf("P2", "IDA", "x", "GO:9")]) + "\n")
+    rows = readers.read_gaf(spark, f"{tmp_path}/a.gaf", places=True)
+    got = loads.load_gaf(rows, proteins, terms)
+    assert sorted((r.protein, r.evidence_code or "", r.db_reference) for r in got.collect()) == [("P1", "IEA", "first"), ("P2", "", "none")]
+    again = loads.load_gaf(rows, proteins, terms, existing=got.filter("protein = 'P2'").withColumn("db_reference", F.lit("old")))
+    assert sorted((r.protein, r.db_reference) for r in again.collect()) == [("P1", "first"), ("P2", "old")]
+    (tmp_path / "q.tsv").write_text("GENE PRODUCT ID\tQUALIFIER\tGO TERM\tECO ID\nP1-2\t\tGO:1\tECO:1\nP1-2\tlate\tGO:1\tIDA\nP1\tq\tGO:1\tECO:2\nP3\t\tGO:1\tECO:1\n")
+    eco = spark.createDataFrame([("ECO:1", "IDA")], "eco_id string, code string")
+    found = loads.load_quickgo(readers.read_quickgo(spark, f"{tmp_path}/q.tsv", places=True), proteins, terms, eco)
+    assert sorted((r.protein, r.evidence_code, r.qualifier or "", r.with_from) for r in found.collect()) == [("P1", "ECO:2", "q", None), ("P1-2", "IDA", "", None)]
