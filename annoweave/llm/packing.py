@@ -108,8 +108,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Latin letters, which stand for themselves before and after this tokenizer's NFC form, then ASCII punctuation: its rules make them one word and one mark.
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)")
+#: Words of printable ASCII but the apostrophe and of Latin letters, which stand for themselves before and after this tokenizer's NFC form, without the
+#: beginning of an added token: its rules cut them into runs of letters, single digits, and runs of other signs.
+PLAIN = re.compile(r"(?:(?!<\|)[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])+")
+RUNS = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
 
 
 def byte_letters() -> dict[int, int]:
@@ -121,8 +123,8 @@ def byte_letters() -> dict[int, int]:
 class WordEncoder:
     """Token ids as little-endian 32-bit bytes.
 
-    This tokenizer never joins what a space or line feed separates, so words are encoded once and kept. Plain words go to its
-    BPE model directly; all others through the whole tokenizer.
+    This tokenizer never joins what a space or line feed separates, so words are encoded once and kept. Plain words are cut
+    by its rules and their runs go to its BPE model directly; all others go through the whole tokenizer.
     """
 
     def __init__(self, file: str):
@@ -135,11 +137,11 @@ class WordEncoder:
     def part(self, own: str) -> bytes:
         if not own.isascii():
             own = own.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(own)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(own)])
 
     def word(self, own: str) -> bytes:
-        if m := PLAIN.fullmatch(own):
-            return self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"")
+        if PLAIN.fullmatch(own):
+            return b"".join(map(self.parts.__getitem__, RUNS.findall(own.lower())))
         return np.array(self.tokenizer.encode(own, add_special_tokens=False).ids, "<u4").tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:

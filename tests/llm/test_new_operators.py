@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from annoweave.llm import merkle, sentence_pieces, spelling, token_counts
+from annoweave.llm import merkle, packing, sentence_pieces, spelling, token_counts
 from annoweave.llm import entry as llm
 from test_llm import AWKWARD, SCHEMA, docs_of
 
@@ -339,3 +339,17 @@ def test_a_rollup_is_one_state_for_all_handles_and_restarts(spark, monkeypatch):
     two.compact("base2")
     assert one.commit("c", changes) is False
     assert state(one) == state(two) == state(token_counts.Rollup(spark, path)) == [(3, 9)]
+
+
+# -- op10
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in range(0x21, 0x7F)] + list("ÀÉÖØßàéöøÿ×÷ªµº日İ́") + ["<|endoftext|>", "'s", "12", "mail9.example.com"], max_size=12))
+def test_words_are_cut_as_the_tokenizer_does(encoder, word):
+    assert np.frombuffer(encoder.word(word), "<u4").tolist() == encoder.tokenizer.encode(word, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return packing.WordEncoder(packing.default_tokenizer())
