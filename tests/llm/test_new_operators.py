@@ -345,7 +345,7 @@ def test_a_rollup_is_one_state_for_all_handles_and_restarts(spark, monkeypatch):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=[chr(c) for c in range(0x21, 0x7F)] + list("ÀÉÖØßàéöøÿ×÷ªµº日İ́") + ["<|endoftext|>", "'s", "12", "mail9.example.com"], max_size=12))
+@given(st.lists(st.sampled_from([chr(c) for c in range(0x21, 0x7F)] + list("ÀÉÖØßàéöøÿ×÷ªµº日İ́") + ["<|endoftext|>", "'s", "12", "mail9.example.com"]), max_size=12).map("".join))
 def test_words_are_cut_as_the_tokenizer_does(encoder, word):
     assert np.frombuffer(encoder.word(word), "<u4").tolist() == encoder.tokenizer.encode(word, add_special_tokens=False).ids
 
