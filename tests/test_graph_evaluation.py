@@ -172,3 +172,35 @@ def test_propagation_keeps_unknown_terms_and_the_best_score(spark):
     truth = spark.createDataFrame([("p", "a"), ("q", "z")], "protein string, go_id string")
     assert {tuple(r) for r in graph.propagate_truth(truth, edges).collect()} == {("p", "a"), ("p", "b"), ("p", "c"), ("q", "z")}
     assert graph.propagate_max(scores(spark, []), edges).count() == 0
+
+
+def test_closure_by_layers_above_a_core(spark):
+    """A bushy graph below a cycle and a chain: leaves are peeled in layers, cycle and chain stay in the core."""
+    pairs = [(f"n{i:03d}", f"n{i // 2:03d}") for i in range(2, 200)] + [(f"n{i:03d}", f"n{i // 3:03d}") for i in range(6, 200)] + [("n001", "x"), ("x", "y"), ("y", "x")] + [(f"k{i}", f"k{i + 1}") for i in range(9)] + [("y", "k0")]
+    up = {}
+    for c, p in pairs:
+        up.setdefault(c, set()).add(p)
+    want = set()
+    for t in {x for pair in pairs for x in pair}:
+        reached, todo = set(), list(up.get(t, ()))
+        while todo:
+            if (a := todo.pop()) not in reached:
+                reached.add(a)
+                todo += up.get(a, ())
+        want |= {(a, t) for a in reached}
+    steps = graph.steps_of(edges_of(spark, pairs), graph.CLOSURE_RELATIONS)
+    core, layers = graph.peeled(graph.numbered(steps)[0])
+    assert layers and core.count() >= 12
+    got = [tuple(r) for r in graph.descendants(edges_of(spark, pairs)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_ruled_out_without_descendants_is_what_negative_keys_leave(spark):
+    random.seed(5)
+    edges = edges_of(spark, random_dag(80, 4))
+    lines = [(f"p{random.randrange(12)}", f"t{random.randrange(84):03d}", "NOT|involved_in" if random.random() < 0.1 else None) for _ in range(600)]
+    annotations = spark.createDataFrame(lines, "protein string, go_id string, qualifier string")
+    pairs = annotations.select("protein", "go_id").distinct()
+    want = {tuple(r) for r in pairs.join(graph.negative_keys(annotations, edges), ["protein", "go_id"], "left_semi").collect()}
+    got = [tuple(r) for r in graph.ruled_out(pairs, annotations, graph.closed(edges)).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
