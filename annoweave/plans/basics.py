@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence, scalars
 from ..functions.scoring import PRESETS, score
-from ..operators import knn, maintenance, relational, summaries, transfer
+from ..operators import graph, knn, maintenance, relational, summaries, transfer
 from .bindings import Bound
 from .registry import query
 
@@ -190,7 +190,7 @@ def valid_refs(b: Bound):
 
 @query("drop_negatives", "SELECT line_order, line_number FROM v_annotation a WHERE NOT EXISTS (SELECT 1 FROM v_negative n WHERE n.protein = a.protein AND n.go_id = a.go_id)")
 def drop_negatives(b: Bound):
-    return b.annotation.join(b.negatives, ["protein", "go_id"], "left_anti").select("line_order", "line_number")
+    return b.annotation.join(graph.ruled_out(b.annotation, b.annotation, b.closed), ["protein", "go_id"], "left_anti").select("line_order", "line_number")
 
 
 @query("prediction_set_list", "SELECT o_orderkey AS set_id, concat_ws(' ', n_name, r_name) AS label, c_name AS config, coalesce(n, 0) AS n_rows FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
