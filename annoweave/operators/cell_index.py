@@ -1,8 +1,8 @@
 """An index of vectors that is kept: k-means centroids and the vectors of each cell, in files.
 
 `build` fits the centroids on a bounded sample and writes all references under their cells. `add` places more of them in the cells there are, without
-fitting again, under a batch that replaces itself when it is run again. A search reads only the cells that its queries probe. A reference that is
-added twice counts once, at its nearest.
+fitting again, under a batch that replaces itself when it is run again. Files hold ranges of cells, so a search skips those that no query probes. A reference
+that is added twice counts once, at its nearest.
 """
 
 from __future__ import annotations
@@ -58,15 +58,20 @@ class CellIndex:
         return knn.as_rows(df.select("id", "vector"), side).mapInArrow(run, f"{side}_id {df.schema['id'].dataType.simpleString()}, {side}_vector array<float>, _bucket long")
 
     def add(self, references: DataFrame, batch: str) -> None:
+        """Files by ranges of cells, in order of cells: as many as the shuffle has partitions, however many cells there are."""
         placed = self._placed(references, "r", 1).withColumnRenamed("_bucket", "cell").withColumn("batch", F.lit(batch))
-        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "cell").parquet(f"{self.path}/vectors")
+        placed = placed.repartitionByRange("cell").sortWithinPartitions("cell")
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/vectors")
 
     def vectors(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/vectors")
 
     def search(self, queries: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:
-        """(query, rank, ref, distance) among the cells that a query probes, all of them unless given. Only the partitions of probed cells are read."""
-        q = knn.checkpointed(self._placed(queries, "q", probes or len(self.centroids)))
-        cells = [r[0] for r in q.select("_bucket").distinct().collect()]  # at most all cells
-        r = self.vectors().filter(F.col("cell").isin(cells)).select("r_id", "r_vector", F.col("cell").cast("long").alias("_bucket"))
+        """(query, rank, ref, distance) among the cells that a query probes, all of them unless given. With all of them no query is placed: it meets every vector once."""
+        if probes is None or probes >= len(self.centroids):
+            return knn.knn_exact(queries, self.vectors().select(F.col("r_id").alias("id"), F.col("r_vector").alias("vector")), k)
+        q = knn.checkpointed(self._placed(queries, "q", probes))
+        probed = q.select(F.col("_bucket").alias("cell")).distinct()
+        low, high = q.agg(F.min("_bucket"), F.max("_bucket")).first()
+        r = self.vectors().filter(F.col("cell").between(low, high)).join(F.broadcast(probed), "cell", "left_semi").select("r_id", "r_vector", F.col("cell").alias("_bucket"))
         return knn.top_k(knn.bucket_search(q, r, k, "cosine", max(1, r.count())), k)

@@ -116,3 +116,13 @@ def test_a_kept_index_grows_without_fitting(spark, tmp_path):
     some = {tuple(x)[:3:2] for x in again.search(dq, 5, probes=len(before) // 5).collect()}
     assert len(some & {x[::2] for x in want}) >= 0.9 * len(want)
     assert again.search(dq.limit(0), 5).count() == 0
+
+
+def test_an_index_has_few_files_and_places_no_query_for_all_cells(spark, tmp_path, monkeypatch):
+    """As many files a batch as the shuffle has partitions, though there are more cells; with all cells a query is not written once a cell."""
+    q, r = clustered(40, 16, 1), clustered(900, 16, 2)
+    index = CellIndex.build(frame(spark, r, "r"), f"{tmp_path}/index", cells=30)
+    index.add(frame(spark, r, "r").filter("id < 'r0100'"), "more")
+    assert sum(1 for _ in (tmp_path / "index" / "vectors").rglob("*.parquet")) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(index, "_placed", None)
+    assert {tuple(x)[:3] for x in index.search(frame(spark, q, "q"), 5).collect()} == brute(q, r, 5)
