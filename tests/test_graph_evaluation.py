@@ -204,3 +204,14 @@ def test_ruled_out_without_descendants_is_what_negative_keys_leave(spark):
     want = {tuple(r) for r in pairs.join(graph.negative_keys(annotations, edges), ["protein", "go_id"], "left_semi").collect()}
     got = [tuple(r) for r in graph.ruled_out(pairs, annotations, graph.closed(edges)).collect()]
     assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_weighted_curve_hands_no_row_up_level_by_level(spark, monkeypatch):
+    """Rows meet the lists of their terms once: nothing is propagated and kept for every level."""
+    monkeypatch.setattr(graph, "propagate", None)
+    terms = spark.createDataFrame([(t, "F") for t in ("C1", "C2", "A")], "go_id string, aspect string")
+    edges = graph.leveled(edges_of(spark, [("C1", "A"), ("C2", "A")]))
+    scored = spark.createDataFrame([("p", "C2", 0.9)], "protein string, go_id string, score double")
+    truth = spark.createDataFrame([("p", "C1")], "protein string, go_id string")
+    weights = spark.createDataFrame([], "go_id string, ia double")
+    assert evaluation.fmax_weighted(scored, truth, weights, terms, edges).first()["fmax"] == 0.5
