@@ -1,5 +1,7 @@
 """Lineages, places of lines over many files, pooling of layers, curves by group and routed models."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,18 @@ def test_loads_by_their_own_rules(spark, tmp_path):
     eco = spark.createDataFrame([("ECO:1", "IDA")], "eco_id string, code string")
     found = loads.load_quickgo(readers.read_quickgo(spark, f"{tmp_path}/q.tsv", places=True), proteins, terms, eco)
     assert sorted((r.protein, r.evidence_code, r.qualifier or "", r.with_from) for r in found.collect()) == [("P1", "ECO:2", "q", None), ("P1-2", "IDA", "", None)]
+
+
+@pytest.mark.parametrize("local", [False, True])
+def test_pairs_aligned_together_are_aligned_as_alone(local):
+    """Texts of all lengths side by side, few and many letters, ties, unknown letters, empty texts, and one too long for packed counts."""
+    draw = random.Random(5)
+    for letters in ("A", "AR", "ARNDCQEGHILKMFPSTWYVBZX*", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACJx*é"):
+        pairs = [tuple("".join(draw.choices(letters, k=draw.randint(1, 30))) for _ in "ab") for _ in range(60)]
+        groups = list(features.alike([(len(a), len(b)) for a, b in pairs], 200))
+        assert sorted(i for g in groups for i in g) == list(range(60))
+        found = {i: row for g in groups for i, row in zip(g, features.align_together([pairs[i] for i in g], local), strict=True)}
+        assert [found[i] for i in range(60)] == [features.align(a, b, local) for a, b in pairs]
+    odd = [("", "ACE"), ("ACE", "ACE"), ("ACDE" * 700, "ACD" * 800)]
+    assert features.align_together(odd[:2], local) == [features.align(a, b, local) for a, b in odd[:2]]
+    assert features.align_together(odd[2:], local) == [features.align(*odd[2], local)]
