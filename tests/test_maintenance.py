@@ -155,3 +155,25 @@ def test_pages_are_counted_over_batches(spark, tmp_path, known):
     paged = ingest.file_stream(spark, lines, LINE).withColumn("page", F.col("go_id"))
     ingest.count_pages(paged, *known, "page", path, f"{tmp_path}/checkpoint").awaitTermination()
     assert rows(ingest.page_counts(spark, path, "page")) == [("G1", 6, 5), ("G2", 5, 5), ("G9", 1, 0)]
+
+
+def test_totals_hold_whoever_listened(spark, tmp_path, known):
+    """Streams killed in their second batch and started again by runs that nobody listens to: lines read, valid and inserted are exact; without lines they are 0."""
+    lines, path, counts = f"{tmp_path}/lines", f"{tmp_path}/table", f"{tmp_path}/counts"
+    for d in DELIVERIES:
+        deliver(spark, lines, d)
+    write = ingest._replace_batch(path)
+
+    def killed(batch, number):
+        write(batch, number)
+        if number == 1:
+            raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        ingest.stream_annotations(ingest.file_stream(spark, lines, LINE), *known, path, f"{tmp_path}/a", sink=killed).awaitTermination()
+    ingest.stream_annotations(ingest.file_stream(spark, lines, LINE), *known, path, f"{tmp_path}/a").awaitTermination()
+    ingest.count_pages(ingest.file_stream(spark, lines, LINE).withColumn("page", F.lit(1).cast("long")), *known, "page", counts, f"{tmp_path}/b").awaitTermination()
+    assert rows(ingest.totals(spark, path, counts, "page")) == [(12, 10, len(WANT))]
+    for empty in ("no_table", "no_counts"):
+        (tmp_path / empty).mkdir()
+    assert rows(ingest.totals(spark, f"{tmp_path}/no_table", f"{tmp_path}/no_counts", "page")) == [(0, 0, 0)]
