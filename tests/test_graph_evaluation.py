@@ -215,3 +215,22 @@ def test_weighted_curve_hands_no_row_up_level_by_level(spark, monkeypatch):
     truth = spark.createDataFrame([("p", "C1")], "protein string, go_id string")
     weights = spark.createDataFrame([], "go_id string, ia double")
     assert evaluation.fmax_weighted(scored, truth, weights, terms, edges).first()["fmax"] == 0.5
+
+
+def test_pairs_are_ruled_out_since_the_first_negation(spark):
+    """D below B and C, both below A: the least release among negations of a term and of those above it; a term's own negation counts too."""
+    edges = spark.createDataFrame([("B", "A", "is_a"), ("C", "A", "is_a"), ("D", "B", "is_a"), ("D", "C", "part_of")], "child string, parent string, relation_type string")
+    lines = [("P", "B", "NOT", 2), ("P", "C", "NOT", 1), ("P", "D", None, 0), ("Q", "A", "NOT", 3), ("Q", "D", "NOT", 2), ("Q", "A", "NOT", 1), ("R", "D", None, 0)]
+    annotations = spark.createDataFrame(lines, "protein string, go_id string, qualifier string, since int")
+    pairs = spark.createDataFrame([(p, t) for p in "PQR" for t in "ABCD"], "protein string, go_id string")
+    got = sorted(tuple(r) for r in graph.ruled_out(pairs, annotations, graph.closed(edges), "since").collect())
+    assert got == [("P", "B", 2), ("P", "C", 1), ("P", "D", 1), ("Q", "A", 1), ("Q", "B", 1), ("Q", "C", 1), ("Q", "D", 1)]
+
+
+def test_what_a_protein_negates_does_not_travel_with_its_pairs(spark):
+    """The plan holds no set of a protein's negated terms, so rows stay short however many there are."""
+    edges = spark.createDataFrame([("B", "A", "is_a")], "child string, parent string, relation_type string")
+    annotations = spark.createDataFrame([("P", "A", "NOT")], "protein string, go_id string, qualifier string")
+    out = graph.ruled_out(spark.createDataFrame([("P", "B")], "protein string, go_id string"), annotations, graph.closed(edges))
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [("P", "B")]
