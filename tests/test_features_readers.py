@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from annoweave.operators import evaluation, features, pooling, reranker
+from annoweave.operators import evaluation, features, pooling, reranker, transfer
 from annoweave.sources import loads, readers
 
 
@@ -134,3 +134,15 @@ def test_pairs_aligned_together_are_aligned_as_alone(local):
     odd = [("", "ACE"), ("ACE", "ACE"), ("ACDE" * 700, "ACD" * 800)]
     assert features.align_together(odd[:2], local) == [features.align(a, b, local) for a, b in odd[:2]]
     assert features.align_together(odd[2:], local) == [features.align(*odd[2], local)]
+
+
+def test_features_move_a_hit_twice(spark):
+    """All features of a term's nearest hit, only of the named proteins, in a plan that joins annotations once with the neighbours."""
+    neighbours = spark.createDataFrame([("q", 1, "r", 0.1), ("q", 2, "s", 0.3), ("z", 1, "r", 0.2)], "query string, rank int, ref string, distance double")
+    lines = [("r", "G1", "F", None, "IDA"), ("r", "G1", "F", None, "IEA"), ("s", "G1", "F", None, None), ("s", "G2", "P", "NOT", "IDA"), ("s", "G3", "P", None, "IDA")]
+    annotations = spark.createDataFrame(lines, "protein string, go_id string, aspect string, qualifier string, evidence_code string")
+    out = transfer.reranker_features(neighbours, annotations, spark.createDataFrame([("q",)], "protein string"))
+    got = sorted(tuple(r)[:-1] for r in out.collect())
+    assert got == [("q", "r", "G1", "F", 0.1, None, "IDA", 3, 1, 3, 2), ("q", "s", "G3", "P", 0.3, None, "IDA", 1, 2, 1, 2)]
+    assert abs(out.first()["neighbor_distance_std"] - 0.1) < 1e-9
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 2
