@@ -62,6 +62,17 @@ def test_closure_of_cycles_extended(spark):
     assert got == {(x, y) for x in "abcd" for y in "abcd"}
 
 
+def test_closure_extended_by_lists(spark, monkeypatch):
+    """Added edges with new terms, one that closes a cycle and some above untouched terms: lists are handed on, pairs are never joined with pairs."""
+    old = [(f"n{i:03d}", f"n{i // 2:03d}") for i in range(2, 64)] + [("a", "b"), ("b", "c")]
+    new = [(f"n{i:03d}", f"n{i // 3:03d}") for i in range(6, 64, 5)] + [("c", "a"), ("n001", "top"), ("new", "n040")]
+    want = {tuple(r) for r in graph.descendants(edges_of(spark, old + new)).collect()}
+    handed, own = [], graph.inherited
+    monkeypatch.setattr(graph, "inherited", lambda core, layers, rows: handed.append(len(layers)) or own(core, layers, rows))
+    got = [tuple(r) for r in graph.extend_descendants(graph.closed(edges_of(spark, old)), edges_of(spark, new)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and handed and handed[0] >= 3
+
+
 def test_levels(spark):
     found = {(r.child, r.parent): (r.level, r.parent_level) for r in graph.leveled(edges_of(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("d", "c"), ("c", "e")])).collect()}
     assert found == {("a", "b"): (0, 1), ("b", "c"): (1, 2), ("a", "c"): (0, 2), ("d", "c"): (0, 2), ("c", "e"): (2, 3)}
