@@ -238,6 +238,17 @@ def test_pairs_are_ruled_out_since_the_first_negation(spark):
     assert got == [("P", "B", 2), ("P", "C", 1), ("P", "D", 1), ("Q", "A", 1), ("Q", "B", 1), ("Q", "C", 1), ("Q", "D", 1)]
 
 
+def test_negations_are_handed_down_as_lists(spark, monkeypatch):
+    """No list of ancestors is made or made into rows for them, and marks beyond the bound are worked on in shares."""
+    monkeypatch.setattr(graph, "ancestor_lists", None)
+    monkeypatch.setattr(graph, "MARKS", 2)
+    edges = edges_of(spark, [("B", "A"), ("C", "B"), ("D", "C"), ("C", "D")])
+    annotations = spark.createDataFrame([(p, "A", "NOT") for p in "PQRST"] + [("P", "X", "NOT"), ("U", "D", "NOT")], "protein string, go_id string, qualifier string")
+    pairs = spark.createDataFrame([(p, t) for p in "PQRSTUV" for t in "ABCDX"] * 2, "protein string, go_id string")
+    got = sorted(tuple(r) for r in graph.ruled_out(pairs, annotations, graph.closed(edges)).collect())
+    assert got == sorted([(p, t) for p in "PQRST" for t in "ABCD"] + [("P", "X"), ("U", "C"), ("U", "D")])
+
+
 def test_what_a_protein_negates_does_not_travel_with_its_pairs(spark):
     """The plan holds no set of a protein's negated terms, so rows stay short however many there are."""
     edges = spark.createDataFrame([("B", "A", "is_a")], "child string, parent string, relation_type string")
