@@ -31,11 +31,12 @@ class CellIndex:
 
     @classmethod
     def build(cls, references: DataFrame, path: str, cells: int | None = None, seed: int = 42) -> CellIndex:
-        """Fits on at most `knn.FIT_ROWS` references, chosen by hash, and writes them all."""
+        """Fits on about `knn.FIT_ROWS` references at most, chosen by hash, and writes them all."""
         own = references.select("id", "vector").filter("vector is not null")
-        cells = cells or max(2, math.isqrt(own.count()))
+        n = own.count()
+        cells = cells or max(2, math.isqrt(n))
         unit = vectors.l2_normalize(F.col("vector").cast("array<double>"))
-        sample = own.orderBy(F.xxhash64("id"), "id").limit(knn.FIT_ROWS).select(array_to_vector(unit).alias("features"))
+        sample = knn.fit_rows(own, n).select(array_to_vector(unit).alias("features"))
         centres = KMeans(k=cells, seed=seed, maxIter=10).fit(sample).clusterCenters()
         own.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
         index = cls(own.sparkSession, path)

@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from annoweave.operators import knn
 from annoweave.operators.cell_index import CellIndex
 
@@ -126,3 +128,13 @@ def test_an_index_has_few_files_and_places_no_query_for_all_cells(spark, tmp_pat
     assert sum(1 for _ in (tmp_path / "index" / "vectors").rglob("*.parquet")) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     monkeypatch.setattr(index, "_placed", None)
     assert {tuple(x)[:3] for x in index.search(frame(spark, q, "q"), 5).collect()} == brute(q, r, 5)
+
+
+def test_fitting_rows_are_dealt_to_tasks(spark, monkeypatch):
+    """Neither the choice of rows to fit on nor the fit is left to one task; about FIT_ROWS are chosen of more, all of fewer."""
+    monkeypatch.setattr(knn, "FIT_ROWS", 400)
+    monkeypatch.setattr(knn, "FIT_PART", 50)
+    df = spark.range(2_000).select(F.col("id").cast("string").alias("id"), F.array(F.lit(1.0)).alias("vector"))
+    own = knn.fit_rows(df, 2_000)
+    assert own.rdd.getNumPartitions() == 8 and 320 <= own.count() <= 480
+    assert knn.fit_rows(df.limit(300), 300).count() == 300
