@@ -35,8 +35,9 @@ BUCKETS = 1 << 16
 PREFIXES = (4, 6)
 SHRINK = 20.0
 SAMPLE_ROWS = 20_000
-#: Tasks that the bounded sample is dealt to; each sends one gradient an iteration.
-SAMPLE_PARTS = 6
+#: Tasks that the bounded sample is dealt to; each sends one gradient an iteration. With more than five, treeAggregate puts a further stage
+#: between, and the driver serialises the whole vector of sums some more times for each stage of each iteration.
+SAMPLE_PARTS = 5
 FACTORS = 4
 ITERATIONS = 60
 STEP = 0.1
@@ -122,10 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return constant(1.0 if 1.0 in sizes else 0.0)
-    seen = sample.select(F.explode("terms").alias("bucket")).groupBy("bucket").count().orderBy("bucket").collect()  # at most BUCKETS rows
-    if not seen:
+    seen = sample.select(F.explode("terms").alias("bucket")).groupBy("bucket").count().orderBy("bucket").toArrow()  # at most BUCKETS rows, as columns
+    if not seen.num_rows:
         return constant(sizes[1.0] / sum(sizes.values()))
-    buckets, counts = (np.array([r[i] for r in seen]) for i in (0, 1))
+    buckets, counts = (seen.column(c).to_numpy() for c in ("bucket", "count"))
     shrink = counts / (counts + SHRINK)
     vectors = CountVectorizerModel.from_vocabulary([str(b) for b in buckets], inputCol="terms", outputCol="ones").setBinary(True)
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(shrink), inputCol="ones", outputCol="features")

@@ -779,6 +779,27 @@ def test_packing_against_the_tokenizer(spark, sf_dir):
     assert padding == 0
 
 
+def test_toxicity_fit_sends_its_sums_through_few_stages(spark, monkeypatch):
+    """A round of the optimizer has two stages, the sample's tasks and their sum; with a third one the driver serialises the vector of sums more often."""
+    monkeypatch.setattr(toxicity, "ITERATIONS", 2)
+    docs = spark.createDataFrame([(k, f"word{k % 7} {'vile' if k % 3 else 'kind'} text") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)], "doc_id long, toxic int")
+    context = spark.sparkContext
+    context.setJobGroup("toxicity-fit", "stages of a round")
+    try:
+        model = toxicity.fit(docs, labels)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    rounds = []
+    for job in tracker.getJobIdsForGroup("toxicity-fit"):
+        names = [i.name for k in tracker.getJobInfo(job).stageIds if (i := tracker.getStageInfo(k)) is not None]
+        rounds += [len(own)] if (own := [x for x in names if x.startswith("treeAggregate")]) else []
+    assert rounds and max(rounds) <= 2
+    bad, good = model.scores(["vile text", "kind text"])
+    assert bad > good
+
+
 # -- pipeline
 
 
