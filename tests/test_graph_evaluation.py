@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from annoweave.operators import evaluation, graph
+from annoweave.operators import climb, evaluation, graph
 
 
 def edges_of(spark, pairs):
@@ -256,3 +256,58 @@ def test_what_a_protein_negates_does_not_travel_with_its_pairs(spark):
     out = graph.ruled_out(spark.createDataFrame([("P", "B")], "protein string, go_id string"), annotations, graph.closed(edges))
     assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in out.collect()] == [("P", "B")]
+
+
+def climbing(spark, monkeypatch, rows):
+    """Pairs of a random graph and scores of proteins, dealt to shares and carried up by few rows and keys at a time."""
+    monkeypatch.setattr(climb, "FEW_ROWS", rows)
+    monkeypatch.setattr(climb, "ROWS", rows)
+    monkeypatch.setattr(climb, "KEYS", 3)
+    monkeypatch.setattr(climb, "BLOCK", 16)
+    pairs = random_dag(120, 3)
+    random.seed(4)
+    names = [*{t for e in pairs for t in e}, "unknown"]
+    return pairs, [(f"p{random.randrange(25)}", random.choice(names), random.choice([0.0, 0.01, 0.5, random.random()])) for _ in range(300)]
+
+
+def test_weighted_rows_go_without_lists(spark, monkeypatch):
+    """Tasks hold the graph: no list of the terms above a term is made or moved with rows, whatever the shares; larger graphs give the same by lists."""
+    pairs, predicted = climbing(spark, monkeypatch, 40)
+    terms = terms_of(spark, [(t, "PF"[int(t[1:]) % 2]) for t in sorted({t for e in pairs for t in e})])
+    edges = graph.closing(edges_of(spark, pairs))
+    own = spark.createDataFrame([(p, t, ("NK", "PK")[int(p[1:]) % 2]) for p, t, _ in predicted[:90]], "protein string, go_id string, category string")
+    known = spark.createDataFrame([(p, t, "PK") for p, t, _ in predicted[200:]], "protein string, go_id string, category string")
+
+    def curve():
+        got = evaluation.weighted_curve(scores(spark, predicted), own, weights(spark, [("t003", 2.5), ("t010", 0.0)]), terms, edges, known, by=("category",))
+        return {(r.category, r.aspect, r.tau): tuple(r)[3:] for r in got.collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(graph, "carried_up", None)
+        held = curve()
+    monkeypatch.setattr(climb, "HELD", 0)
+    lists = curve()
+    assert held and held.keys() == lists.keys()
+    for key, row in held.items():
+        assert row == pytest.approx(lists[key], abs=1e-9)
+
+
+def test_scores_go_up_in_one_pass(spark, monkeypatch):
+    """No checkpoint a level: tasks hold the graph. Null scores, unknown terms and keys of many rows keep their place; a cycle is an error."""
+    pairs, predicted = climbing(spark, monkeypatch, 40)
+    predicted += [("p1", "t119", None), ("lone", "t100", None), ("lone", "unknown", None), (None, "t100", 0.7)] + [("many", f"t{i:03d}", i / 120) for i in range(120)]
+    edges, up = graph.closing(edges_of(spark, pairs)), ancestors_of(pairs)
+    want = {}
+    for p, t, s in predicted:
+        for x in {t} | up.get(t, set()):
+            best = want.get((p, x))
+            want[p, x] = best if s is None else s if best is None else max(s, best)
+    with monkeypatch.context() as m:
+        m.setattr(graph, "checkpointed", None)
+        found = [tuple(r) for r in graph.propagate_max(scores(spark, predicted), edges).collect()]
+    assert len(found) == len(want) and {(p, t): s for p, t, s in found} == want
+    monkeypatch.setattr(climb, "HELD", 0)
+    assert {(p, t): s for p, t, s in map(tuple, graph.propagate_max(scores(spark, predicted), graph.leveled(edges)).collect())} == want
+    monkeypatch.setattr(climb, "HELD", 1 << 20)
+    with pytest.raises(Exception, match="on or above a cycle"):
+        graph.propagate_max(scores(spark, [("p", "a", 0.5)]), edges_of(spark, [("a", "b"), ("b", "c"), ("c", "b")])).collect()
