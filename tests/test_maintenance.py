@@ -177,3 +177,16 @@ def test_totals_hold_whoever_listened(spark, tmp_path, known):
     for empty in ("no_table", "no_counts"):
         (tmp_path / empty).mkdir()
     assert rows(ingest.totals(spark, f"{tmp_path}/no_table", f"{tmp_path}/no_counts", "page")) == [(0, 0, 0)]
+
+
+def test_counts_keep_no_state(spark, tmp_path, known, monkeypatch):
+    """Counting pages leaves no state store behind; the table's state is RocksDB's, whose changes are written, and the session's settings stay."""
+    lines, before = f"{tmp_path}/lines", dict(spark.conf.getAll)
+    spark.createDataFrame([("P1", "G1", "IDA", 1), ("P1", "G1", "IDA", 1), ("P9", "G1", "IDA", 2)], "protein string, go_id string, evidence_code string, page long").coalesce(1).write.parquet(lines)
+    stream = ingest.file_stream(spark, lines, "protein string, go_id string, evidence_code string, page long")
+    ingest.count_pages(stream, *known, "page", f"{tmp_path}/counts", f"{tmp_path}/a").awaitTermination()
+    ingest.stream_annotations(stream.drop("page"), *known, f"{tmp_path}/table", f"{tmp_path}/b").awaitTermination()
+    assert not (tmp_path / "a" / "state").exists()
+    assert list((tmp_path / "b" / "state").rglob("*.changelog")) and dict(spark.conf.getAll) == before
+    assert rows(ingest.page_counts(spark, f"{tmp_path}/counts", "page")) == [(1, 2, 2), (2, 1, 0)]
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 1
