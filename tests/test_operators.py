@@ -328,3 +328,19 @@ def test_readers_and_streams_of_empty_tables(spark):
     empty = spark.createDataFrame([], "id string, vector array<double>")
     full = spark.createDataFrame([("a", [1.0, 0.0])], "id string, vector array<double>")
     assert knn.knn_exact(empty, full).count() == 0 and knn.knn_exact(full, empty).count() == 0
+
+
+def test_inputs_without_values_are_not_trained_on(spark):
+    """An input that is the same in all rows takes no part in the rounds; trees, scores and importances are those with it."""
+    rng = np.random.default_rng(5)
+    data = [(f"P{i}", "g", float(x), int(i % 7), "a" if i % 5 else None, int(x + i % 7 > 3)) for i, x in enumerate(rng.random(400))]
+    df = reranker.prepare_features(spark.createDataFrame(data, "protein string, go_id string, distance double, vote_count int, qualifier string, label int"))
+    df = reranker.stratified_split(df, ["protein"]).localCheckpoint()
+    model = reranker.train(df, rounds=3)
+    assert model.stages[-2].getInputCols() == ["distance", "vote_count", "qualifier_i"]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(reranker, "varied", lambda rows: reranker.INPUTS)
+        whole = reranker.train(df, rounds=3)
+    got, want = ({r.protein: r.reranker_score for r in reranker.apply(x, df).collect()} for x in (model, whole))
+    assert got == want
+    assert dict(reranker.importances(model)) == pytest.approx(dict(reranker.importances(whole)))
