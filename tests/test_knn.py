@@ -138,3 +138,26 @@ def test_fitting_rows_are_dealt_to_tasks(spark, monkeypatch):
     own = knn.fit_rows(df, 2_000)
     assert own.rdd.getNumPartitions() == 8 and 320 <= own.count() <= 480
     assert knn.fit_rows(df.limit(300), 300).count() == 300
+
+
+def test_a_query_goes_once_to_a_group_of_buckets(spark, monkeypatch):
+    """With all buckets probed, hashing equals the exact search, in small groups, shares and parts; a group gets a query once, not once a bucket it probes."""
+    moved, whole = spark.sparkContext.accumulator(0), knn.slot_search
+
+    def counting(k, types, most=1_000_000):
+        kernel, schema = whole(k, types, 40)
+
+        def counted(q, r):
+            moved.add(q.num_rows)
+            return kernel(q, r)
+
+        return counted, schema
+
+    monkeypatch.setattr(knn, "slot_search", counting)
+    q, r = np.random.default_rng(1).normal(size=(40, 6)), np.random.default_rng(2).normal(size=(90, 6))
+    dq, dr = frame(spark, q, "q"), frame(spark, r, "r")
+    got = sorted(tuple(x)[:3] for x in knn.knn_lsh(dq, dr.union(dr), 3, bits=4, probes=16, cell=8).collect())
+    assert got == sorted(brute(q, r, 3))
+    moved.value = 0
+    assert knn.knn_lsh(dq, dr, 3, bits=4, probes=16, cell=480).count() == 120
+    assert moved.value <= 40 * 3  # three groups; 16 tables with 16 buckets each
